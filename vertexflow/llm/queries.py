@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_duplicates
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .packing import pack_documents
+from .secrets import scan_secrets
 from .token_counts import token_counts
 from .url_filter import filter_urls
 
@@ -47,3 +49,12 @@ URL_RULES = (
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_markov")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
