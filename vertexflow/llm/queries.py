@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .language_model import score_texts
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
 from .token_counts import token_counts
 from .url_filter import filter_urls
@@ -58,3 +60,23 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _crc(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def quality_model(docs: DataFrame, sf_dir: str):
+    """A model from the labels that are not held out."""
+    return fit_quality(docs, _table(docs.sparkSession, sf_dir, "labels").where(_crc(3) != 1))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), quality_model(docs, sf_dir))
+    return scored.select("doc_id", (_crc(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents"), _crc(7) != 2)
+    return scored.withColumn("held_out", ~F.col("training")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
