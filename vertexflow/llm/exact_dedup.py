@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vertexflow.storage import materialize
 
-from .text import column
+from .text import column, fresh
 
 #: Fingerprints that one owner should get.
 OWNED = 1_000_000
@@ -148,3 +148,23 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         (F.col("id").eqNullSafe(keep)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, as :func:`exact_duplicates` decides.
+
+    Of equal rows that share the largest id of a group, one stays.  Rows without an
+    id stay only where no row with an id has their text, and then one of them.
+    """
+    sha, one = fresh(docs, "sha", "one")
+    found = materialize(exact_duplicates(docs, text, id_col).where("group_size > 1"), "decided")
+    ids = found.select(F.col(id_col).alias("__i"), F.col("text_sha256").alias("__s"), "kept")
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+
+    lost = ids.where("not kept").select("__i", "__s").distinct()
+    twins = ids.where("kept").groupBy("__i", "__s").agg(F.count("*").alias("n")).where("n > 1").select("__i", "__s")
+    gone = lost.union(twins)
+    lone = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col(sha) == F.col("__s")), "left_anti")
+    both = keyed.join(twins, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col(sha) == F.col("__s")), "left_semi")
+    both = both.groupBy(id_col, sha).agg(F.any_value(F.struct(*docs.columns)).alias(one))
+    return lone.select(docs.columns).unionByName(both.select(f"{one}.*"))

@@ -93,8 +93,8 @@ def plan(tokens: dict, target_entropy=None, repetition_limit=None, budget=None)
     return out
 
 
-def mix_sources(docs: DataFrame, tokens: str, source: str = "source", id_col: str = "doc_id", target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: int | None = None, seed: int = 0) -> DataFrame:
-    """``docs`` with ``weight`` (the source's) and ``copies`` (how often the mix holds the row).
+def mix_sources(docs: DataFrame, tokens: str, source: str = "source", id_col: str = "doc_id", target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: int | None = None, seed: int = 0, names: tuple[str, str] = ("weight", "copies")) -> DataFrame:
+    """``docs`` with the source's weight, and how often the mix holds the row, in columns ``names``.
 
     ``tokens`` names the column of token counts; null counts as 0.  Without
     ``budget`` it is the least that passes over every source once at least, so
@@ -103,36 +103,36 @@ def mix_sources(docs: DataFrame, tokens: str, source: str = "source", id_col: st
     by the md5 of seed and id; rows without an id come last, equal ids are taken
     together.  Null is a source like any other.  A source without tokens has
     weight 0 and each of its rows once.  An empty table gives an empty result.
-    Columns of ``docs`` stay as they are, but for old ones named weight or copies.
+    Columns of ``docs`` stay as they are, but old ones of these names are replaced.
     """
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     order = F.when(F.col(id_col).isNull(), F.lit("g")).otherwise(hashed)
-    rows = docs.drop("weight", "copies").withColumn("_order", order).withColumn("_block", F.substring("_order", 1, BLOCK_DIGITS))
-    rows = rows.withColumn("_tokens", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
-    blocks = materialize(rows.groupBy(F.col(source).alias("_source"), "_block").agg(F.sum("_tokens").alias("_sum")), "blocks")
-    totals = blocks.groupBy("_source").agg(F.sum("_sum").alias("n")).limit(MAX_SOURCES + 1).collect()
+    rows = docs.drop(*names).withColumn("__order", order).withColumn("__block", F.substring("__order", 1, BLOCK_DIGITS))
+    rows = rows.withColumn("__tokens", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
+    blocks = materialize(rows.groupBy(F.col(source).alias("__source"), "__block").agg(F.sum("__tokens").alias("__sum")), "blocks")
+    totals = blocks.groupBy("__source").agg(F.sum("__sum").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     shares = plan({r[0]: r[1] for r in totals}, target_entropy, repetition_limit, budget)
 
     spark, kind = docs.sparkSession, docs.schema[source].dataType.simpleString()
-    share = spark.createDataFrame([(s.source, s.weight, s.passes, s.rest) for s in shares], f"_s {kind}, weight double, _passes long, _rest double")
-    before = W.partitionBy("_source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    ends = (F.col("_start") < F.col("_rest")) & (F.col("_start") + F.col("_sum") >= F.col("_rest"))
-    cut = starts.join(F.broadcast(share), F.col("_source").eqNullSafe(F.col("_s"))).where(ends).select("_s", F.col("_block").alias("_cut"), "_start", "_rest")
+    share = spark.createDataFrame([(s.source, s.weight, s.passes, s.rest) for s in shares], f"__s {kind}, __weight double, __passes long, __rest double")
+    before = W.partitionBy("__source").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    ends = (F.col("__start") < F.col("__rest")) & (F.col("__start") + F.col("__sum") >= F.col("__rest"))
+    cut = starts.join(F.broadcast(share), F.col("__source").eqNullSafe(F.col("__s"))).where(ends).select("__s", F.col("__block").alias("__cut"), "__start", "__rest")
     cut = materialize(cut, "cut")
 
     # Of each source, only the documents of the block where the budget ends are put in order.
-    inside = rows.select(F.col(source).alias("_r"), "_order", "_block", "_tokens").join(F.broadcast(cut), F.col("_r").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_cut")))
-    own = inside.groupBy("_s", "_cut", "_order", "_start", "_rest").agg(F.sum("_tokens").alias("_t"))
-    run = F.coalesce(F.sum("_t").over(W.partitionBy("_s").orderBy("_order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = own.withColumn("_run", F.col("_start") + run).where("_run < _rest")
-    edge = materialize(taken.groupBy(F.col("_s").alias("_e"), "_cut").agg(F.max("_order").alias("_edge")), "edges")
+    inside = rows.select(F.col(source).alias("__r"), "__order", "__block", "__tokens").join(F.broadcast(cut), F.col("__r").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__cut")))
+    own = inside.groupBy("__s", "__cut", "__order", "__start", "__rest").agg(F.sum("__tokens").alias("__t"))
+    run = F.coalesce(F.sum("__t").over(W.partitionBy("__s").orderBy("__order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = own.withColumn("__run", F.col("__start") + run).where("__run < __rest")
+    edge = materialize(taken.groupBy(F.col("__s").alias("__e"), "__cut").agg(F.max("__order").alias("__edge")), "edges")
 
     # A row for each source, so at most MAX_SOURCES.
-    choice = share.join(edge, F.col("_s").eqNullSafe(F.col("_e")), "left").select("_s", "weight", "_passes", "_cut", "_edge")
-    out = rows.join(F.broadcast(choice), F.col(source).eqNullSafe(F.col("_s")), "left")
-    extra = (F.col("_block") < F.col("_cut")) | ((F.col("_block") == F.col("_cut")) & (F.col("_order") <= F.col("_edge")))
-    out = out.withColumn("copies", (F.col("_passes") + F.coalesce(extra, F.lit(False)).cast("long")).cast("long"))
-    return out.select(*[c for c in docs.columns if c not in ("weight", "copies")], "weight", "copies")
+    choice = share.join(edge, F.col("__s").eqNullSafe(F.col("__e")), "left").select("__s", "__weight", "__passes", "__cut", "__edge")
+    out = rows.join(F.broadcast(choice), F.col(source).eqNullSafe(F.col("__s")), "left")
+    extra = (F.col("__block") < F.col("__cut")) | ((F.col("__block") == F.col("__cut")) & (F.col("__order") <= F.col("__edge")))
+    out = out.withColumn("__copies", (F.col("__passes") + F.coalesce(extra, F.lit(False)).cast("long")).cast("long"))
+    return out.select(*docs.drop(*names).columns, F.col("__weight").alias(names[0]), F.col("__copies").alias(names[1]))

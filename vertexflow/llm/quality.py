@@ -208,19 +208,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
     return model.fit(x, found.column("y").to_numpy().astype(np.float64))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (probability of label 1) and ``predicted`` (1 if 0.5 or more).
+def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with the probability of label 1, and 1 if it is 0.5 or more, in columns ``names``.
 
     Every row is scored by its whole text alone; null counts as empty, which has
-    a score too.  Old columns named score or predicted are replaced.
+    a score too.  Old columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score", "predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def judge(batches):
         for batch in batches:
             p = shared.value.probabilities(shared.value.features(column(batch, text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, *names])
 
     return docs.mapInArrow(judge, schema)

@@ -15,6 +15,11 @@ from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
 from .token_counts import token_counts
 from .url_filter import filter_urls
+from .vector_search import nearest
+
+
+#: Words of a text; a null text has none.
+WORDS = F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +35,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("n_tokens"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", WORDS.alias("n_tokens"))
     return mix_sources(docs, "n_tokens", repetition_limit=2.0).withColumn("weight", F.round("weight", 9))
 
 
@@ -80,3 +84,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(_table(spark, sf_dir, "documents"), _crc(7) != 2)
     return scored.withColumn("held_out", ~F.col("training")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -171,6 +171,18 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values).cast(kind))
 
 
+def fresh(docs, *names: str) -> list[str]:
+    """Names close to ``names`` that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column with nulls as empty texts."""
     col = batch.column(batch.schema.get_field_index(name))
