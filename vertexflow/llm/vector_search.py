@@ -24,16 +24,16 @@ from pyspark.sql import functions as F
 
 from vertexflow.storage import materialize
 
-#: Vectors that centroids are fitted on: those with the least hashes.
-SAMPLE = 50_000
-#: Most sampled vectors of one centroid; so there are SAMPLE / 16 centroids or a few more.
-LEAF = 32
+#: Vectors that centroids are fitted on: those with the least hashes of their ids.
+SAMPLE = 65_536
+#: Most sampled vectors of one centroid; so there are at most SAMPLE / 32 centroids.
+LEAF = 64
 #: Neighbours of a centroid in the graph, and centroids that a search keeps in view.
-DEGREE, VIEW = 16, 64
+DEGREE, VIEW = 16, 32
 #: Most lists that hold a vector, and how much farther than the nearest they may be.
-REPLICAS, BOUNDARY = 4, 1.15
-#: Most lists that a query reads, and how much farther than the nearest they may be.
-PROBES, RATIO = 32, 1.6
+REPLICAS, BOUNDARY = 2, 1.1
+#: How much farther than the nearest the lists that a query reads may be.  There is no limit to their number.
+RATIO = 1.75
 #: Vectors of one slice of a list.
 SLICE = 4_096
 
@@ -81,38 +81,45 @@ class CentroidGraph:
         self.links = np.hstack([links, rng.integers(0, max(n, 1), (n, 4))])
         self.entries = rng.choice(n, min(n, 16), replace=False) if n else np.zeros(0, np.int64)
 
-    def search(self, x: np.ndarray, view: int = VIEW) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids by distance from the unit vector ``x``, about the ``view`` nearest, and the distances."""
-        seen = np.zeros(len(self.centroids), bool)
-        seen[self.entries] = True
-        dist = 1 - self.centroids[self.entries] @ x
-        ahead = list(zip(dist.tolist(), self.entries.tolist(), strict=True))
+    def search(self, x: np.ndarray, view: int = VIEW, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids by distance from the unit vector ``x``, and the distances.
+
+        Best-first: about the ``view`` nearest are found, and those within
+        ``ratio`` of the nearest's distance.
+        """
+        dist = np.full(len(self.centroids), np.inf)
+        dist[self.entries] = 1 - self.centroids[self.entries] @ x
+        ahead = [(dist[c], c) for c in self.entries.tolist()]
         heapq.heapify(ahead)
-        best = [(-d, c) for d, c in ahead]
+        best = heapq.nlargest(view, (-d for d, _ in ahead))  # of the nearest so far, the farthest on top
         heapq.heapify(best)
-        while len(best) > view:
-            heapq.heappop(best)
+        least = min(d for d, _ in ahead)
         while ahead:
             d, c = heapq.heappop(ahead)
-            if len(best) >= view and d > -best[0][0]:
+            if d > ratio * least and len(best) >= view and d > -best[0]:
                 break
-            new = np.unique(self.links[c])
-            new = new[~seen[new]]
-            seen[new] = True
-            for nd, nc in zip((1 - self.centroids[new] @ x).tolist(), new.tolist(), strict=True):
-                if len(best) < view or nd < -best[0][0]:
+            new = self.links[c]
+            new = new[dist[new] == np.inf]
+            if not len(new):
+                continue
+            dist[new] = found = 1 - self.centroids[new] @ x
+            for nd, nc in zip(found.tolist(), new.tolist(), strict=True):
+                if nd <= ratio * least or len(best) < view or nd < -best[0]:
                     heapq.heappush(ahead, (nd, nc))
-                    heapq.heappush(best, (-nd, nc))
-                    if len(best) > view:
-                        heapq.heappop(best)
-        found = sorted((-d, c) for d, c in best)
-        return np.array([c for _, c in found], np.int64), np.array([d for d, _ in found])
+                    least = min(least, nd)
+                    if len(best) < view:
+                        heapq.heappush(best, -nd)
+                    else:
+                        heapq.heappushpop(best, -nd)
+        order = np.argsort(dist, kind="stable")[: np.count_nonzero(dist < np.inf)]
+        return order, dist[order]
 
 
-def _lists(graph: CentroidGraph, x: np.ndarray, most: int, ratio: float) -> np.ndarray:
+def _lists(graph: CentroidGraph, x: np.ndarray, most: int | None, ratio: float) -> np.ndarray:
     """Lists for one unit vector: the nearest, and others whose distance is within ``ratio`` of its."""
-    c, d = graph.search(x)
-    return c[: max(1, min(most, int(np.searchsorted(d, max(d[0], 1e-6) * ratio, "right"))))]
+    c, d = graph.search(x, VIEW, 1.0 if most else ratio)
+    within = max(1, int(np.searchsorted(d, max(d[0], 1e-6) * ratio, "right")))
+    return c[: min(most or within, within)]
 
 
 def _valid(embedding: str) -> Column:
@@ -142,7 +149,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
     empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull() & _valid(embedding)).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.where(F.col(id_col).isNotNull() & _valid(embedding)).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast(kind).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dims = common[0] if common else 1
     rows = rows.where(F.size("v") == dims)
@@ -161,14 +169,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
                 lists += held.tolist()
                 asks += [False] * len(held)
                 if q:
-                    read = _lists(shared.value, unit[i], PROBES, RATIO)
+                    read = _lists(shared.value, unit[i], None, RATIO)
                     at += [i] * len(read)
                     lists += read.tolist()
                     asks += [True] * len(read)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.int64()), pa.array(asks, pa.bool_())], ["id", "v", "list", "asks"])
 
-    dealt = materialize(rows.mapInArrow(deal, "id long, v array<double>, list long, asks boolean"), "dealt")
+    dealt = materialize(rows.mapInArrow(deal, f"id long, v {kind}, list long, asks boolean"), "dealt")
     slices = dealt.where("not asks").groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     sized = dealt.join(slices, "list")
     held = sized.where("not asks").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
@@ -183,11 +191,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
         order = np.argsort(ids, kind="stable")
         ids, rows_ = ids[order], rows_[order]
         out: list[tuple[int, int, float]] = []
-        for query, v in zip(every[asks].tolist(), x[asks], strict=True):
-            score = cosines(v, rows_)
+        near = _unit(x[asks]) @ _unit(rows_).T if len(rows_) and asks.any() else np.zeros((int(asks.sum()), len(rows_)))
+        for query, v, rough in zip(every[asks].tolist(), x[asks], near, strict=True):
             other = np.flatnonzero(ids != query)
-            best = other[np.argsort(-score[other], kind="stable")[:k]]
-            out += [(query, int(ids[b]), float(score[b])) for b in best]
+            if len(other) > k:  # all that may be among the first k, with room for the product's rounding
+                other = other[rough[other] >= np.partition(rough[other], -k)[-k] - 1e-9]
+            score = cosines(v, rows_[other])
+            best = np.argsort(-score, kind="stable")[:k]
+            out += [(query, int(ids[b]), float(s)) for b, s in zip(other[best], score[best], strict=True)]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
     found = both.groupBy("list", "slice").applyInArrow(search, "query_id long, vec_id long, score double").distinct()
