@@ -76,7 +76,6 @@ def _trim(loop: Rounds, edges: DataFrame) -> DataFrame:
     """Edges between vertices that have both in- and out-edges, until that holds for all ends."""
     count = edges.count()
     while count:
-        loop.next()
         both = edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id")))
         edges = loop.keep(Graph(edges).within(both).edges)
         before, count = count, edges.count()
@@ -90,7 +89,6 @@ def _colours(loop: Rounds, edges: DataFrame) -> DataFrame:
     state = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("colour", F.col("id"))
     frontier = state = loop.keep(state)
     while True:
-        loop.next()
         found = edges.join(frontier, edges.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("new"))
         better = loop.keep(found.join(state, "id").where("new < colour").select("id", F.col("new").alias("colour")))
         if better.isEmpty():

@@ -140,7 +140,6 @@ def voronoi_blocks(graph: Graph, rate: float = 0.001, most: int = 1 << 20, growt
         grown = loop.keep(active.where(drawn).select("id", F.col("id").alias("block")))
         frontier = grown
         for step in range(growth):
-            loop.next()
             if frontier.isEmpty():
                 break
             sizes = grown.groupBy("block").agg(F.count("*").alias("_size"))

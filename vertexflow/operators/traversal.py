@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexflow.plans.loop import Rounds
+from vertexflow.plans.loop import MERGE_EVERY, Rounds
 
 from .graph import Graph
 
@@ -31,12 +31,11 @@ def label_levels(graph: Graph, roots: DataFrame, most: int | None = None) -> Dat
     layers, level = [frontier], 0
     while (most is None or level < most) and not frontier.isEmpty():
         level += 1
-        loop.next()
         reached = edges.join(frontier, edges.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
         reached = reached.join(_union(layers).select("id"), "id", "left_anti")
         frontier = loop.keep(reached.select("id", F.lit(level).cast("long").alias("level"), "label"))
         layers.append(frontier)
-        if len(layers) >= loop.cut_every:
+        if len(layers) >= MERGE_EVERY:
             layers = [loop.result(_union(layers))]
             frontier = layers[0].where(F.col("level") == level)
     out = loop.result(_union(layers))
@@ -66,9 +65,9 @@ def shortest_paths(graph: Graph, root: int, weight: str = "w") -> DataFrame:
         better = loop.keep(better)
         if better.isEmpty():
             break
-        known = loop.keep(known.join(better, "id", "left_anti").unionByName(better))
+        before, known = known, loop.keep(known.join(better, "id", "left_anti").unionByName(better))
+        loop.drop(before, frontier)
         frontier = better
-        loop.next()
     out = loop.result(known)
     edges.unpersist()
     return out

@@ -1,7 +1,8 @@
 """Driver-side iteration with bounded lineage.
 
-A step's table is persisted and, every few rounds, written to the shared folder
-instead, so plans don't grow and no recomputation reaches far back.
+Every round's table is written to the shared folder and read again.  A plan never
+holds more than one round, whatever a step does with its state, and the loss of an
+executor repeats nothing of the rounds before.
 """
 
 from __future__ import annotations
@@ -11,40 +12,32 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
 
-#: Rounds between tables that cut lineage.
-CUT_EVERY = 8
+#: Layers of a result that are kept apart before they are merged into one table.
+MERGE_EVERY = 16
 
 
 class Rounds:
-    """Keeps the tables of a loop and releases those that are no longer needed."""
+    """The tables of a loop: ``keep`` makes one, ``drop`` deletes those that nothing reads any more."""
 
-    def __init__(self, tag: str, cut_every: int = CUT_EVERY):
-        self.tag, self.cut_every, self.number, self.held = tag, cut_every, 0, []
+    def __init__(self, tag: str):
+        self.tag, self.held = tag, []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """``df`` for reuse in later rounds."""
-        return materialize(df, self.tag) if self.number % self.cut_every == self.cut_every - 1 else self._persist(df)
-
-    def _persist(self, df: DataFrame) -> DataFrame:
-        df = df.persist()
-        self.held.append((self.number, df))
-        return df
-
-    def next(self) -> None:
-        """Begin another round; tables from before the last cut are released."""
-        self.number += 1
-        cut = (self.number // self.cut_every - 1) * self.cut_every
-        for _, df in [x for x in self.held if x[0] < cut]:
-            df.unpersist()
-        self.held = [x for x in self.held if x[0] >= cut]
+        table = materialize(df, self.tag)
+        self.held.append(table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        own = [t for t in self.held if any(t is x for x in tables)]
+        self.held = [t for t in self.held if not any(t is x for x in own)]
+        discard(*own)
 
     def result(self, df: DataFrame) -> DataFrame:
-        """The loop's result as a table of its own, after which nothing of the loop is held."""
+        """The loop's result as a table of its own, after which the others are deleted."""
         out = materialize(df, self.tag)
-        for _, held in self.held:
-            held.unpersist()
+        discard(*self.held)
         self.held = []
         return out
 
@@ -66,13 +59,13 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], round
     """
     loop, progress = Rounds(tag), Progress()
     for i in range(rounds):
-        new = loop.keep(step(state, i))
+        old, new = state, loop.keep(step(state, i))
         progress.iteration = i + 1
         if measure:
-            progress.measures.append({"iteration": i + 1, **measure(new, state)})
+            progress.measures.append({"iteration": i + 1, **measure(new, old)})
             progress.stop = bool(done and done(progress.measures[-1]))
+        loop.drop(old)
         state = new
-        loop.next()
         if progress.stop:
             break
-    return loop.result(state), progress
+    return state, progress
