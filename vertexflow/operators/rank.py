@@ -54,7 +54,7 @@ def pagerank(graph: Graph, iterations: int = 10, epsilon: float | None = None, w
         return both.agg(*made).first().asDict()
 
     tell = measure if epsilon is not None or watch or audit is not None else None
-    ranks, progress = iterate(state, step, iterations, tell, (lambda m: m["largest"] <= epsilon) if epsilon is not None else None, "rank")
+    ranks, progress = iterate(state, step, iterations, tell, (lambda m: m["largest"] <= epsilon) if epsilon is not None else None, "rank", fuse=5)
     links.unpersist()
     return Ranked(ranks, progress.measures)
 

@@ -1,32 +1,108 @@
 """Breadth-first search, shortest paths, level dumps and multi-source labelling.
 
 Each round joins the edges with the frontier only, which is every vertex whose
-value changed in the round before, and anti-joins what has been reached.
+value changed in the round before, and anti-joins what has been reached.  A graph
+that was counted to have LOCAL_EDGES edges at most is worked through by one task
+instead, with the same frontiers over arrays.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexflow.plans.loop import MERGE_EVERY, Rounds
+from vertexflow.storage import discard, materialize
 
 from .graph import Graph
 
 
+#: Edges that one task takes: 24 bytes each.
+LOCAL_EDGES = 2_000_000
+
+
+class _Local:
+    """A task's edges by source, and the starting vertices; ``src`` is null in the rows of the latter."""
+
+    def __init__(self, frames):
+        rows = pd.concat([f for f in frames if len(f)] or [pd.DataFrame({"src": [], "dst": [], "x": []})])
+        starts = rows["src"].isna()
+        own, edges = rows[starts], rows[~starts]
+        src, dst = edges["src"].to_numpy("int64"), edges["dst"].to_numpy("int64")
+        self.ids = np.unique(np.concatenate([src, dst, own["dst"].to_numpy("int64")]))
+        order = np.argsort(src, kind="stable")
+        self.dst, self.x = np.searchsorted(self.ids, dst[order]), edges["x"].to_numpy("float64")[order]
+        self.first = np.searchsorted(src[order], self.ids)
+        self.last = np.searchsorted(src[order], self.ids, "right")
+        self.starts, self.values = np.searchsorted(self.ids, own["dst"].to_numpy("int64")), own["x"].to_numpy("float64")
+
+    def out(self, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the frontier's edges, and for each the place of its source in the frontier."""
+        n = self.last[frontier] - self.first[frontier]
+        ends = np.cumsum(n)
+        at = np.repeat(np.arange(len(frontier)), n)
+        return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + self.first[frontier][at], at
+
+
+def _in_one_task(edges: DataFrame, starts: DataFrame, run, schema: str) -> DataFrame:
+    null = F.lit(None).cast("long")
+    rows = edges.unionByName(starts.select(null.alias("src"), F.col("id").alias("dst"), F.col("x")))
+    return materialize(rows.coalesce(1).mapInPandas(run, schema), "local")
+
+
+def _levels_run(most: int | None):
+    def run(frames):
+        g = _Local(frames)
+        level, label = np.full(len(g.ids), -1), np.full(len(g.ids), np.inf)
+        np.minimum.at(label, g.starts, g.values)
+        frontier, now = np.unique(g.starts), 0
+        level[frontier] = 0
+        while len(frontier) and (most is None or now < most):
+            now += 1
+            edge, at = g.out(frontier)
+            fresh = level[g.dst[edge]] < 0
+            to = g.dst[edge][fresh]
+            np.minimum.at(label, to, label[frontier[at[fresh]]])
+            frontier = np.unique(to)
+            level[frontier] = now
+        met = level >= 0
+        yield pd.DataFrame({"id": g.ids[met], "level": level[met], "label": label[met].astype("int64")})
+
+    return run
+
+
+def _paths_run(frames):
+    g = _Local(frames)
+    distance = np.full(len(g.ids), np.inf)
+    distance[g.starts] = 0
+    frontier = np.unique(g.starts)
+    while len(frontier):
+        edge, at = g.out(frontier)
+        before = distance.copy()
+        np.minimum.at(distance, g.dst[edge], distance[frontier[at]] + g.x[edge])
+        frontier = np.flatnonzero(distance < before)
+    met = np.isfinite(distance)
+    yield pd.DataFrame({"id": g.ids[met], "distance": distance[met]})
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def label_levels(graph: Graph, roots: DataFrame, most: int | None = None) -> DataFrame:
+def label_levels(graph: Graph, roots: DataFrame, most: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``id, level, label`` of all vertices that edges lead to from ``roots`` (id, label).
 
     A vertex takes the least label among those that reach it first.  ``most``: the
     deepest level.  Roots that repeat keep their least label.
     """
-    loop, edges = Rounds("levels"), graph.edges.select("src", "dst").distinct().repartition("src").persist()
+    loop, edges = Rounds("levels"), materialize(graph.edges.select("src", "dst").distinct(), "edges")
+    if edges.count() <= local_edges:
+        starts = roots.select("id", F.col("label").cast("double").alias("x"))
+        return _in_one_task(edges.withColumn("x", F.lit(0.0)), starts, _levels_run(most), "id long, level long, label long")
     frontier = loop.keep(roots.groupBy("id").agg(F.min("label").alias("label")).select("id", F.lit(0).cast("long").alias("level"), "label"))
     layers, level = [frontier], 0
     while (most is None or level < most) and not frontier.isEmpty():
@@ -39,7 +115,7 @@ def label_levels(graph: Graph, roots: DataFrame, most: int | None = None) -> Dat
             layers = [loop.result(_union(layers))]
             frontier = layers[0].where(F.col("level") == level)
     out = loop.result(_union(layers))
-    edges.unpersist()
+    discard(edges)
     return out
 
 
@@ -54,11 +130,13 @@ def reach(graph: Graph, root: int, backward: bool = False) -> DataFrame:
     return bfs(graph.reversed() if backward else graph, start).select("id")
 
 
-def shortest_paths(graph: Graph, root: int, weight: str = "w") -> DataFrame:
+def shortest_paths(graph: Graph, root: int, weight: str = "w", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``id, distance`` of all vertices that ``root`` reaches, by non-negative edge weights."""
     loop = Rounds("paths")
-    edges = graph.edges.groupBy("src", "dst").agg(F.min(weight).cast("double").alias("w")).repartition("src").persist()
+    edges = materialize(graph.edges.groupBy("src", "dst").agg(F.min(weight).cast("double").alias("w")), "edges")
     known = frontier = edges.sparkSession.range(root, root + 1).select("id", F.lit(0.0).alias("distance"))
+    if edges.count() <= local_edges:
+        return _in_one_task(edges.withColumnRenamed("w", "x"), known.withColumnRenamed("distance", "x"), _paths_run, "id long, distance double")
     while True:
         found = edges.join(frontier, edges.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("new"))
         better = found.join(known, "id", "left").where("distance is null or new < distance").select("id", F.col("new").alias("distance"))
@@ -69,7 +147,7 @@ def shortest_paths(graph: Graph, root: int, weight: str = "w") -> DataFrame:
         loop.drop(before, frontier)
         frontier = better
     out = loop.result(known)
-    edges.unpersist()
+    discard(edges)
     return out
 
 

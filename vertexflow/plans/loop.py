@@ -51,20 +51,24 @@ class Progress:
     stop: bool = False
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, measure: Callable[[DataFrame, DataFrame], dict] | None = None, done: Callable[[dict], bool] | None = None, tag: str = "state") -> tuple[DataFrame, Progress]:
+def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, measure: Callable[[DataFrame, DataFrame], dict] | None = None, done: Callable[[dict], bool] | None = None, tag: str = "state", fuse: int = 1) -> tuple[DataFrame, Progress]:
     """Apply ``step(state, iteration)`` up to ``rounds`` times.
 
     ``measure(new, old)`` is one aggregation for each round and ``done`` decides on
-    it whether to end.
+    it whether to end.  Without ``measure``, ``fuse`` rounds make one plan, which
+    suits steps that read their state once.
     """
     loop, progress = Rounds(tag), Progress()
     for i in range(rounds):
-        old, new = state, loop.keep(step(state, i))
+        old, new = state, step(state, i)
+        if measure or (i + 1) % fuse == 0 or i + 1 == rounds:
+            new = loop.keep(new)
         progress.iteration = i + 1
         if measure:
             progress.measures.append({"iteration": i + 1, **measure(new, old)})
             progress.stop = bool(done and done(progress.measures[-1]))
-        loop.drop(old)
+        if measure:
+            loop.drop(old)
         state = new
         if progress.stop:
             break
