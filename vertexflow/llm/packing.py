@@ -5,12 +5,12 @@ pieces' lengths are packed; ids are needed for their checksum alone.  A full pie
 is a bin of its own.  The others are packed in rounds:
 
 *   Each partition runs best-fit decreasing on its pieces and computes a lower
-    bound on its bins from dual feasible functions.  A partition that needed no
-    more bins than the bound is certified: its bins stand, but for the emptiest.
-*   Of the others only the full bins stand.  The pieces of all other bins are
-    exchanged: they are dealt over fewer partitions, together with those of others,
-    and best-fit decreasing runs again, until one partition is left or their
-    number falls no more.
+    bound on its bins from dual feasible functions, which certifies the partition
+    if it needed no more.  Full bins stand; where all gaps together are less than
+    one bin, so do all bins but the emptiest.
+*   The pieces of all other bins are exchanged: they are dealt over fewer
+    partitions, together with those of others, and best-fit decreasing runs again,
+    until one partition is left or their number falls no more.
 """
 
 from __future__ import annotations
@@ -140,9 +140,9 @@ def _packer(size: int, last: bool):
         lengths = group.column("length").to_numpy()
         bins, offsets = best_fit(lengths, size)
         filled = np.bincount(bins, weights=lengths).astype(np.int64)
-        certified = len(filled) == lower_bound(lengths, size)
+        certified, spent = len(filled) == lower_bound(lengths, size), len(filled) * size - int(filled.sum()) < size
         loose = filled < size
-        if certified:
+        if spent:  # only the emptiest bin has room that others could use
             loose &= np.arange(len(filled)) == filled.argmin()
         exchanged = np.zeros(len(bins), bool) if last else loose[bins]
         for name, values in (("bin", bins), ("offset", offsets), ("open", exchanged), ("certified", np.full(len(bins), certified))):
