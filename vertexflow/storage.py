@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; only where none is set (tests), a local one."""
+    """The session's shared folder.  Only in local mode, where none may be set, it is a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     root = root or spark.conf.get("vertexflow.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="vertexflow-")
         spark.conf.set("vertexflow.shared.dir", root)
     return root.rstrip("/")
