@@ -7,9 +7,10 @@ that are about as near.  Centroids are found through an in-memory graph of their
 own neighbours, by best-first search.  A query reads the lists whose centroids are
 within a ratio of its nearest one's distance.  Candidates are scored exactly.
 
-Lists and queries meet in a shuffle by list and slice.  A list that is longer than
-a slice should be, as that of many equal vectors, is cut into slices, to each of
-which its queries go.
+Lists and queries meet in a shuffle by shelf.  A shelf holds neighbouring lists up to
+a number of vectors, so a query goes to few places and each answers with its ``k``
+best.  A list that is longer than a shelf should be, as that of many equal vectors,
+is cut into slices, to each of which its queries go.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ DEGREE, VIEW = 16, 32
 REPLICAS, BOUNDARY = 2, 1.1
 #: How much farther than the nearest the lists that a query reads may be.  There is no limit to their number.
 RATIO = 1.75
-#: Vectors of one slice of a list.
-SLICE = 4_096
+#: Vectors of one shelf, or of one slice of a long list.
+SLICE = 16_384
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -137,6 +138,23 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
 
 
+def _shelves(held: DataFrame) -> dict[int, tuple[int, int]]:
+    """Shelf and number of slices for each list; there are no more lists than centroids.
+
+    Neighbouring lists share a shelf until it holds SLICE rows; a longer list has one
+    of its own, in slices.
+    """
+    out, shelf, total = {}, 0, 0
+    for c, n in sorted((r.list, r["count"]) for r in held.groupBy("list").count().collect()):
+        if total and total + n > SLICE:
+            shelf, total = shelf + 1, 0
+        out[c] = shelf, -(-n // SLICE)
+        total += n
+        if n > SLICE:
+            shelf, total = shelf + 1, 0
+    return out
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows nearest to each row where ``queries`` holds.
 
@@ -158,49 +176,62 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
     graph = CentroidGraph(fit_centroids(_unit(np.unique(_matrix(drawn), axis=0))) if len(drawn) else np.zeros((0, dims)))
     shared = spark.sparkContext.broadcast(graph)
 
-    def deal(batches):
+    def hold(batches):
+        for batch in batches:
+            unit = _unit(_matrix(batch.column(1)) if len(batch) else np.zeros((0, dims))).astype(np.float32)
+            own = [_lists(shared.value, u, REPLICAS, BOUNDARY) for u in unit]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own]) if own else np.zeros(0, np.int64)
+            take = pa.array(at.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["id", "v", "list"])
+
+    held = materialize(rows.mapInArrow(hold, f"id long, v {kind}, list long"), "lists")
+    shelves = _shelves(held)
+    placed = held.join(F.broadcast(spark.createDataFrame([(c, s, n) for c, (s, n) in shelves.items()], "list long, shelf int, slices int")), "list")
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    where = spark.sparkContext.broadcast(shelves)
+
+    def ask(batches):
         for batch in batches:
-            x = _matrix(batch.column(1)) if len(batch) else np.zeros((0, dims))
-            unit = _unit(x).astype(np.float32)
-            at, lists, asks = [], [], []
-            for i, q in enumerate(batch.column(2).to_pylist()):
-                held = _lists(shared.value, unit[i], REPLICAS, BOUNDARY)
-                at += [i] * len(held)
-                lists += held.tolist()
-                asks += [False] * len(held)
-                if q:
-                    read = _lists(shared.value, unit[i], None, RATIO)
-                    at += [i] * len(read)
-                    lists += read.tolist()
-                    asks += [True] * len(read)
+            at, shelf, slices, asked = [], [], [], []
+            for i, u in enumerate(_unit(_matrix(batch.column(1)) if len(batch) else np.zeros((0, dims))).astype(np.float32)):
+                by_shelf: dict[tuple[int, int], list[int]] = {}
+                for c in _lists(shared.value, u, None, RATIO).tolist():
+                    if c in where.value:
+                        by_shelf.setdefault(where.value[c], []).append(c)
+                for (s, n), lists in by_shelf.items():
+                    for k in range(n):
+                        at.append(i)
+                        shelf.append(s)
+                        slices.append(k)
+                        asked.append(lists)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.int64()), pa.array(asks, pa.bool_())], ["id", "v", "list", "asks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(shelf, pa.int32()), pa.array(slices, pa.int32()), pa.array(asked, pa.list_(pa.int64()))], ["id", "v", "shelf", "slice", "asked"])
 
-    dealt = materialize(rows.mapInArrow(deal, f"id long, v {kind}, list long, asks boolean"), "dealt")
-    slices = dealt.where("not asks").groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    sized = dealt.join(slices, "list")
-    held = sized.where("not asks").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    asked = sized.where("asks").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    both = held.unionByName(asked).select("list", "slice", "id", "v", "asks")
+    asks = rows.where("q").mapInArrow(ask, f"id long, v {kind}, shelf int, slice int, asked array<long>").withColumn("list", F.lit(-1).cast("long"))
+    both = placed.select("shelf", "slice", "id", "v", "list", F.lit(None).cast("array<long>").alias("asked")).unionByName(asks)
 
     def search(key, table):
-        table = table.combine_chunks()
-        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        own = np.array([x is None for x in table.column("asked").to_pylist()], bool)
         every, x = table.column("id").to_numpy(), _matrix(table.column("v").combine_chunks())
-        ids, rows_ = every[~asks], x[~asks]
+        ids, stored, lists = every[own], x[own], table.column("list").to_numpy()[own]
         order = np.argsort(ids, kind="stable")
-        ids, rows_ = ids[order], rows_[order]
+        ids, stored, lists = ids[order], stored[order], lists[order]
+        unit, ask_ids, ask_x = _unit(stored), every[~own], x[~own]
+        asked = [a for a in table.column("asked").to_pylist() if a is not None]
+        wanted = np.zeros(int(lists.max(initial=-1)) + 1, bool)
         out: list[tuple[int, int, float]] = []
-        near = _unit(x[asks]) @ _unit(rows_).T if len(rows_) and asks.any() else np.zeros((int(asks.sum()), len(rows_)))
-        for query, v, rough in zip(every[asks].tolist(), x[asks], near, strict=True):
-            other = np.flatnonzero(ids != query)
-            if len(other) > k:  # all that may be among the first k, with room for the product's rounding
-                other = other[rough[other] >= np.partition(rough[other], -k)[-k] - 1e-9]
-            score = cosines(v, rows_[other])
-            best = np.argsort(-score, kind="stable")[:k]
-            out += [(query, int(ids[b]), float(s)) for b, s in zip(other[best], score[best], strict=True)]
+        for query, v, read in zip(ask_ids.tolist(), ask_x, asked, strict=True):
+            wanted[:] = False
+            wanted[[c for c in read if c < len(wanted)]] = True
+            other = np.flatnonzero(wanted[lists] & (ids != query))
+            most = k * REPLICAS  # a vector may be here once in each of its lists
+            if len(other) > most:  # all that may be among the first, with room for the product's rounding
+                rough = unit[other] @ (v / np.linalg.norm(v))
+                other = other[rough >= np.partition(rough, -most)[-most] - 1e-9]
+            best = sorted({(-s, i) for s, i in zip(cosines(v, stored[other]).tolist(), ids[other].tolist(), strict=True)})[:k]
+            out += [(query, i, -s) for s, i in best]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    found = both.groupBy("list", "slice").applyInArrow(search, "query_id long, vec_id long, score double").distinct()
+    found = both.groupBy("shelf", "slice").applyInArrow(search, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
