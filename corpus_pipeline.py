@@ -15,7 +15,7 @@ from vertexflow.llm.mixing import mix_sources
 from vertexflow.llm.near_dedup import near_duplicates
 from vertexflow.llm.packing import pack_documents
 from vertexflow.llm.quality import score_quality
-from vertexflow.llm.queries import WORDS, quality_model
+from vertexflow.llm.queries import quality_model, word_count
 from vertexflow.llm.text import fresh
 from vertexflow.storage import materialize
 
@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, those of small sources up to twice."""
     tokens, weight, copies = fresh(docs, "tokens", "weight", "copies")
-    mixed = mix_sources(docs.withColumn(tokens, WORDS), tokens, repetition_limit=2.0, names=(weight, copies))
+    mixed = mix_sources(docs.withColumn(tokens, word_count()), tokens, repetition_limit=2.0, names=(weight, copies))
     return mixed.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(docs.columns)
 
 

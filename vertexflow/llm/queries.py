@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
@@ -18,8 +18,9 @@ from .url_filter import filter_urls
 from .vector_search import nearest
 
 
-#: Words of a text; a null text has none.
-WORDS = F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
+def word_count() -> Column:
+    """Words of a text; a null text has none."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", WORDS.alias("n_tokens"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("n_tokens"))
     return mix_sources(docs, "n_tokens", repetition_limit=2.0).withColumn("weight", F.round("weight", 9))
 
 
