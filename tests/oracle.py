@@ -22,5 +22,5 @@ def differences(con, df, sql: str) -> tuple[int, int]:
     kinds = [sorted((r[0], r[1]) for r in con.execute(f"DESCRIBE {t}").fetchall()) for t in ("made", "expected")]
     assert kinds[0] == kinds[1]
     cols = ", ".join(f'"{n}"' for n, _ in kinds[0])
-    count = lambda a, b: con.execute(f"SELECT count(*) FROM (SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b})").fetchone()[0]
+    count = lambda a, b: con.execute(f"SELECT count(*) FROM (SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b})").fetchall()[0][0]
     return count("made", "expected"), count("expected", "made")
