@@ -183,14 +183,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets with several groups; ``members``: key, id, root, n, place, size.
+    """Links inside buckets with several groups; ``members``: key, id, root, size of the bucket.
 
     Blocks x <= y of a bucket meet in one task.  A pair is confirmed unless its
     ends are in one group already, by earlier links or by those of the same task.
     """
-    blocks = members.withColumn("own", F.floor(F.col("place") / BLOCK)).withColumn("last", F.floor((F.col("size") - 1) / BLOCK))
-    met = blocks.select("key", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("other"))
-    met = met.select("key", "id", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = placed.select("key", "id", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     joined = met.join(sets, "id")
 
     def link(key, table):
@@ -256,11 +256,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     grouped = members.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    loose = grouped.join(mixed, "key", "left_semi").where("id != head").select("key", "id", "root", "n")
-    loose = materialize(loose, "loose")
-    counts = loose.groupBy("key").agg(F.count("*").alias("size"))
-    placed = loose.join(counts.where("size > 1"), "key").withColumn("place", F.pmod(F.xxhash64("id"), F.col("size")))
-    more = materialize(_block_links(placed, sets, percent), "more")
+    loose = grouped.join(mixed, "key", "left_semi").where("id != head").select("key", "id", "root", "size")
+    more = materialize(_block_links(materialize(loose, "loose"), sets, percent), "more")
     own = some.join(reps, ["s1", "s2", "n"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     final = components(links.union(more).union(own.select("a", "b")), "a", "b")
 
