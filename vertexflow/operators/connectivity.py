@@ -110,8 +110,10 @@ def strong_components(graph: Graph, local_edges: int = LOCAL_EDGES) -> DataFrame
     edges = materialize(graph.edges.select("src", "dst").distinct(), "strong-edges")
     done: DataFrame | None = None
     while True:
-        edges = _trim(loop, edges)
         left = edges.count()
+        if left > local_edges:
+            edges = _trim(loop, edges)
+            left = edges.count()
         if not left:
             break
         if left <= local_edges:
