@@ -36,7 +36,7 @@ REPLICAS, BOUNDARY = 2, 1.1
 #: How much farther than the nearest the lists that a query reads may be.  There is no limit to their number.
 RATIO = 1.75
 #: Vectors of one shelf, or of one slice of a long list.
-SLICE = 16_384
+SLICE = 4_096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
