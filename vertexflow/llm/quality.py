@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .merge import merged
 from .text import Words, chunks, column, words
 
 #: Rows of word vectors, their dimensions, and non-zero places of an index vector.
@@ -193,7 +194,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
         return total
 
     sums = rows.mapInArrow(gather, "at binary, sums binary").rdd.map(unpack)
-    total = sums.treeReduce(np.add) if sums.getNumPartitions() else np.zeros((ROWS, DIMS), np.float32)
+    total = merged(sums, np.add, np.zeros((ROWS, DIMS), np.float32))
     model = QualityModel(total / (np.linalg.norm(total, axis=1, keepdims=True) + 1), seed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
