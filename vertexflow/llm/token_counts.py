@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merge import merged
 from .pieces import encode, load, table
 from .text import chunks, column, spaced
 
@@ -83,8 +84,7 @@ def frequent_table(docs: DataFrame, text: str, path: str, size: int = FREQUENT)
 
     parts = docs.select(F.col(text).cast("string").alias(text)).mapInArrow(summarise, "w array<binary>, n array<long>")
     rdd = parts.rdd.map(lambda r: Counter(dict(zip(map(bytes, r.w), r.n, strict=True))))
-    top = rdd.treeAggregate(Counter(), merge, merge, depth=2) if rdd.getNumPartitions() else {}
-    texts = pa.array([w.decode() for w in _largest(Counter(top), size)], pa.string())
+    texts = pa.array([w.decode() for w in _largest(merged(rdd, merge, Counter()), size)], pa.string())
     w = spaced(texts)
     whole = np.flatnonzero(np.diff(w.first) == 1)
     hashes = w.hashes[w.first[whole]]
