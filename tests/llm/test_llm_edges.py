@@ -221,3 +221,25 @@ def test_language_model(spark, odd):
     nothing = score_texts(odd, F.lit(False)).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in nothing)
     assert score_texts(empty(odd), F.lit(True)).count() == 0
+
+
+def test_bigrams_seen_twice_have_arcs_in_a_large_corpus(spark, monkeypatch):
+    """A small lexicon and small broadcast arcs, as beside many tokens, give the scores of whole ones."""
+    from vertexflow.llm import language_model as lm
+
+    texts = ["rare pair here", "rare pair there", *["the most of all of the words"] * 300, "some rare pair", "pair rare"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    training = F.col("doc_id") < len(texts) - 2
+    whole = {r.doc_id: (r.n_known, r.base_score, r.score) for r in score_texts(df, training).collect()}
+    monkeypatch.setattr(lm, "LEXICON", 2.0**-3)
+    monkeypatch.setattr(lm, "CACHED", 2.0**-3)
+    parts = {r.doc_id: (r.n_known, r.base_score, r.score) for r in score_texts(df, training).collect()}
+    assert all(parts[d] == pytest.approx(whole[d]) for d in whole)
+
+
+def test_arcs_do_not_depend_on_the_number_of_tokens(spark):
+    """A bigram seen twice keeps its arc beside two million tokens of other text."""
+    texts = ["rare pair here", "rare pair there", *["of the most " * 35_000] * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(spark.createDataFrame([(-1, "rare pair"), (-2, "pair rare")], "doc_id long, text string"))
+    got = {r.doc_id: r.score - r.base_score for r in score_texts(df, F.col("doc_id") >= 0).collect()}
+    assert got[-1] > got[-2] + 3

@@ -1,16 +1,21 @@
 """Language-model scores by a weighted backoff automaton.
 
 States are the contexts of smoothed bigrams and a root.  A state has an arc for
-each word that was seen often after its context, weighted with the discounted
+each word that was seen LEAST times after its context, weighted with the discounted
 log-probability, and a failure arc to the root with the backoff weight.  The root
-has an arc for every word, weighted with the add-one unigram log-probability.  One
-traversal from left to right carries the state and adds the weights.
-
-Corpus counts are exact and cover all training text.  Two relative thresholds
-bound what is broadcast, at any size of corpus: at most 1 / LEXICON words can have
-that share of all tokens, and at most 1 / ARCS bigrams theirs.  Counts of the other
-words are joined by their hashes, and their root arcs' weights are added by
-document.
+has an arc for every word, weighted with the add-one unigram log-probability.
+
+The state before a word is the word before it, so a text's path is known without
+walking it, and its weights may be added in any order and in parts: the failure
+arc and the root arc of every word and, where the bigram has an arc, what its weight
+is more than those two.
+
+Counts are exact and cover all training text; every word is a context, and the least
+count of a bigram does not depend on the corpus.  What is broadcast is bounded at
+any size: words with a share LEXICON of all tokens, of which there are 1 / LEXICON at
+most, and bigrams with a share CACHED.  Other words and arcs are joined by their
+hashes, and their weights are added by document.  Sieves of 2^SIEVE bits keep back
+bigrams that have no arc; full ones let more through, which decides speed only.
 """
 
 from __future__ import annotations
@@ -26,8 +31,12 @@ from vertexflow.storage import materialize
 
 from .text import chunks, column, lists, words
 
-#: Least share of all tokens: of a word in the broadcast lexicon, of a context's word, of a bigram with an arc.
-LEXICON, CONTEXT, ARCS = 2.0**-18, 2.0**-14, 2.0**-19
+#: Least share of all tokens: of a word in the broadcast lexicon, of a bigram in the broadcast arcs.
+LEXICON, CACHED = 2.0**-18, 2.0**-19
+#: Least share of all tokens of a context's word and of a bigram with an arc: none.
+CONTEXT = ARCS = 0.0
+#: Binary logarithm of the bits in a broadcast sieve of hashes.
+SIEVE = 26
 #: Taken off a bigram's count; least count of a bigram with an arc.
 DISCOUNT, LEAST = 0.75, 2
 #: Stands for the end of a text, before which a text also begins.
@@ -36,25 +45,55 @@ END = 0x1EE7C0DE
 HELD = 2_000_000
 
 
-class Lexicon(NamedTuple):
-    """Frequent words by hash; the first ``contexts`` ids are words frequent enough for bigrams."""
+class Model(NamedTuple):
+    """Weights of frequent words and arcs, by sorted hashes; ``sieve`` is of the other arcs, none if ``whole``."""
 
-    hashes: np.ndarray
-    ids: np.ndarray
-    counts: np.ndarray
-    contexts: int
-    tokens: int
-    distinct: int
+    words: np.ndarray
+    root: np.ndarray
+    fail: np.ndarray
+    arcs: np.ndarray
+    more: np.ndarray
+    sieve: np.ndarray
+    whole: bool
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words, -1 outside the lexicon."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], -1)
 
-    def unigram(self) -> np.ndarray:
-        return np.log10((self.counts + 1) / (self.tokens + self.distinct + 1))
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a sorted table, -1 outside it."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def _sieve(hashes: DataFrame) -> np.ndarray:
+    """Bits by the first bits of the hashes ``h``, in words of 64."""
+    at, bit = F.shiftrightunsigned("h", 70 - SIEVE), F.shiftrightunsigned("h", 64 - SIEVE).bitwiseAND(F.lit(63)).cast("int")
+    table = hashes.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE - 6), np.uint64)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    top = hashes >> np.uint64(64 - SIEVE)
+    return (sieve[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _turned(before: np.ndarray) -> np.ndarray:
+    return (before << np.uint64(21)) | (before >> np.uint64(43))
+
+
+def _arc(before: Column, word: Column) -> Column:
+    """The same hash of a bigram as ``_turned(before) ^ word``."""
+    return F.shiftleft(before, 21).bitwiseOR(F.shiftrightunsigned(before, 43)).bitwiseXOR(word)
+
+
+def _before(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each one, an end at the beginning of a document."""
+    out = np.empty(len(hashes), np.uint64)
+    out[1:] = hashes[:-1]
+    out[first[:-1]] = END
+    return out
 
 
 def _with_ends(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,32 +101,34 @@ def _with_ends(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.insert(hashes, first[1:], np.uint64(END)), first + np.arange(len(first))
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
+def _counted(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of counts by key; ``more`` is equal where keys are."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
+    return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts, *(m[order][cut] for m in more)
 
 
-def _count(docs: DataFrame, keys_of) -> DataFrame:
-    """Sums of the keys that ``keys_of(words)`` finds in training documents: ``h, c``."""
+def _count(docs: DataFrame, keys_of, emit, schema: str) -> DataFrame:
+    """Counts in training documents of the keys, the first of ``keys_of(words)``: the columns of ``emit``, and ``c``."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def count(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def merged():
-            keys, counts = _counted(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            keys, counts, *more = _counted(*map(np.concatenate, zip(*held, strict=True)))
+            out = [x.view(np.int64) for x in emit(keys, *more)]
             for lo in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000].view(np.int64)), pa.array(counts[lo : lo + 200_000])], ["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000]) for x in (*out, counts)], [*names, "c"])
 
         for batch in batches:
             bodies = column(batch.filter(batch.column(2)), "body")
             for lo, hi in chunks(bodies):
                 w = words(bodies.slice(lo, hi - lo))
-                held.append(_counted(keys_of(*_with_ends(w.hashes, w.first))))
+                keys, *more = keys_of(*_with_ends(w.hashes, w.first))
+                held.append(_counted(keys, np.ones(len(keys), np.int64), *more))
                 size += len(held[-1][0])
                 if size > HELD:
                     yield from merged()
@@ -95,53 +136,22 @@ def _count(docs: DataFrame, keys_of) -> DataFrame:
         if held:
             yield from merged()
 
-    return docs.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def _lexicon(counts: DataFrame) -> Lexicon:
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    tokens, distinct = total[0] or 0, total[1]
-    top = counts.where(F.col("c") >= max(1, tokens * LEXICON)).toArrow()
-    hashes, count = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.lexsort((hashes, -count))
-    hashes, count = hashes[order], count[order]
-    by_hash = np.argsort(hashes)
-    return Lexicon(hashes[by_hash], by_hash, count, int((count >= tokens * CONTEXT).sum()), tokens, distinct)
-
-
-class Automaton:
-    """``arcs``: weight by state << 32 | word; ``fail``: the state's backoff weight; ``state``: where a word leads."""
-
-    def __init__(self, lexicon: Lexicon, keys: np.ndarray, counts: np.ndarray):
-        self.lexicon = lexicon
-        unigram = lexicon.unigram()
-        context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        kept, number = np.unique(context, return_inverse=True)
-        p = (counts - DISCOUNT) / lexicon.counts[context]
-        spent = np.bincount(number, p, len(kept))
-        seen = np.bincount(number, 10 ** unigram[word], len(kept))
-        self.root = len(kept)
-        self.fail = [*np.log10((1 - spent) / (1 - seen)).tolist(), 0.0]
-        to = np.full(len(lexicon.counts) + 1, self.root)
-        to[kept] = np.arange(len(kept))
-        self.state = to.tolist()  # the last entry is for words outside the lexicon, at -1
-        self.keys, self.weights = (number.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), np.log10(p)
-        self.unigram = [*unigram.tolist(), 0.0]
-        end = int(lexicon.find(np.array([END], np.uint64))[0])
-        self.start = self.state[end]
-        self.arcs: dict | None = None
-
-    def score(self, ids: list[int]) -> float:
-        """Log10 probability of a text's tokens, without the root arcs of words outside the lexicon."""
-        if self.arcs is None:
-            self.arcs = dict(zip(self.keys.tolist(), self.weights.tolist(), strict=True))
-        arcs, fail, unigram, state = self.arcs, self.fail, self.unigram, self.state
-        s, total, root = self.start, 0.0, self.root
-        for w in ids:
-            weight = arcs.get(s << 32 | w) if s != root else None
-            total += unigram[w] + fail[s] if weight is None else weight
-            s = state[w]
-        return total
+    return docs.mapInArrow(count, f"{schema}, c long").groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def _pairs(hashes: np.ndarray, first: np.ndarray, sieve: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of bigrams and the word before; with a sieve, of those whose words pass it both."""
+    before = _before(hashes, first)
+    if sieve is not None:
+        fine = _passes(sieve, hashes) & _passes(sieve, before)
+        hashes, before = hashes[fine], before[fine]
+    return _turned(before) ^ hashes, before
+
+
+def _beside(rows: DataFrame, table: DataFrame, key: str, least: float) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose words of ``n`` at ``least`` are broadcast, so that none is too many for a task."""
+    top = F.broadcast(table.where(F.col("n") >= least)).drop("n")
+    return rows.join(top, key).unionByName(rows.join(top, key, "left_anti").join(table.where(F.col("n") < least).drop("n"), key))
 
 
 def score_texts(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -159,45 +169,64 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", id_col: s
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("body"), F.coalesce(training, F.lit(False)).alias("train"))
     spark, id_type = docs.sparkSession, rows.schema["id"].dataType.simpleString()
-    counts = materialize(_count(rows, lambda hashes, first: hashes), "words")
-    lexicon = _lexicon(counts)
-    shared = spark.sparkContext.broadcast(lexicon)
-
-    def bigrams(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        ids = shared.value.find(hashes)
-        before = np.empty(len(ids), np.int64)
-        before[1:] = ids[:-1]
-        before[first[:-1]] = shared.value.find(np.array([END], np.uint64))[0]
-        near = np.minimum(ids, before) >= 0
-        near &= np.maximum(ids, before) < shared.value.contexts
-        return (before[near].astype(np.uint64) << np.uint64(32)) | ids[near].astype(np.uint64)
-
-    pairs = _count(rows, bigrams).where(F.col("c") >= max(LEAST, lexicon.tokens * ARCS)).orderBy("h").toArrow()
-    automaton = Automaton(lexicon, pairs.column("h").to_numpy().view(np.uint64), pairs.column("c").to_numpy())
-    model = spark.sparkContext.broadcast(automaton)
+    counts = materialize(_count(rows, lambda hashes, first: (hashes,), lambda keys: (keys,), "h long"), "words")
+    twice = spark.sparkContext.broadcast(_sieve(counts.where(F.col("c") >= LEAST).select("h")))
+    pairs = _count(rows, lambda hashes, first: _pairs(hashes, first, twice.value), lambda keys, before: (before, keys ^ _turned(before)), "before long, word long")
+    pairs = materialize(pairs.where(F.col("c") >= LEAST), "bigrams")
+    row = counts.agg(F.sum("c"), F.count("*")).first()
+    tokens, distinct = row[0] or 0, row[1]
+    total, least, cached = tokens + distinct + 1, max(1, tokens * LEXICON), max(LEAST, tokens * CACHED)
+
+    followed = _beside(pairs, counts.select(F.col("h").alias("word"), F.col("c").alias("n"), ((F.col("c") + 1) / F.lit(float(total))).alias("one")), "word", least)
+    left = followed.groupBy("before").agg(F.sum(F.col("c") - DISCOUNT).alias("spent"), F.sum("one").alias("seen"))
+    fail = F.log10((1 - F.col("spent") / F.col("n")) / (1 - F.col("seen")))
+    contexts = left.join(counts.select(F.col("h").alias("before"), F.col("c").alias("n")), "before").select("before", "n", fail.alias("fail"))
+    contexts = materialize(contexts, "contexts")
+    weight = F.log10((F.col("c") - DISCOUNT) / F.col("m")) - F.log10("one") - F.col("fail")
+    arcs = _beside(followed, contexts.withColumn("m", F.col("n")), "before", least)
+    arcs = materialize(arcs.select(_arc(F.col("before"), F.col("word")).alias("h"), "c", weight.alias("more")), "arcs")
+
+    top = counts.where(F.col("c") >= least).orderBy("h").toArrow()
+    kept = contexts.where(F.col("n") >= least).toArrow()
+    near = arcs.where(F.col("c") >= cached).toArrow()
+
+    def sorted_by_hash(table: pa.Table, *names: str) -> list[np.ndarray]:
+        out = [table.column(n).to_numpy() for n in names]
+        out[0] = out[0].view(np.uint64)
+        order = np.argsort(out[0])
+        return [x[order] for x in out]
+
+    known, times = sorted_by_hash(top, "h", "c")
+    before, back = sorted_by_hash(kept, "before", "fail")
+    fails = np.zeros(len(known) + 1)  # the last entries are for words outside the lexicon, at -1
+    fails[_find(known, before)] = back
+    fails[-1] = 0.0
+    root = np.log10(np.append(times + 1, 1) / total)
+    model = spark.sparkContext.broadcast(Model(known, root, fails, *sorted_by_hash(near, "h", "more"), _sieve(arcs.where(F.col("c") < cached).select("h")), cached <= LEAST))
 
     def walk(batches):
         m = model.value
-        unigram = np.array(m.unigram)
         for batch in batches:
             bodies = column(batch, "body")
             for lo, hi in chunks(bodies):
                 w = words(bodies.slice(lo, hi - lo))
                 hashes, first = _with_ends(w.hashes, w.first)
-                ids = m.lexicon.find(hashes)
-                base = np.concatenate([[0], np.cumsum(unigram[ids])])
-                every, rare, cut, times = ids.tolist(), [], [0], []
-                scores = []
+                keys, _ = _pairs(hashes, first)
+                ids, at = _find(m.words, hashes), _find(m.arcs, keys)
+                arc = np.append(m.more, 0.0)[at]
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (ids >= 0, m.root[ids], m.fail[ids] + arc)]
+                known, base, more = (x[first[1:]] - x[first[:-1]] for x in sums)
+                rare, cut, times = [], [0], []
+                far = (ids < 0, hashes), ((at < 0) & _passes(m.sieve, keys), keys)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    scores.append(m.score(every[a:b]))
-                    own, n = np.unique(hashes[a:b][ids[a:b] < 0], return_counts=True)
-                    rare.append(own)
-                    times.append(n)
-                    cut.append(cut[-1] + len(own))
-                known = np.concatenate([[0], np.cumsum(ids >= 0)])
-                at = np.array(cut)
+                    for out, key in far[: 1 if m.whole else 2]:
+                        own, n = np.unique(key[a:b][out[a:b]], return_counts=True)
+                        rare.append(own)
+                        times.append(n)
+                    cut.append(cut[-1] + sum(map(len, rare[-1 if m.whole else -2 :])))
+                cut = np.array(cut)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(known[first[1:]] - known[first[:-1]]), pa.array(base[first[1:]] - base[first[:-1]]), pa.array(scores, pa.float64()), lists(np.concatenate(rare).view(np.int64), at, pa.int64()), lists(np.concatenate(times), at, pa.int32())],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(base + more), lists(np.concatenate(rare).view(np.int64), cut, pa.int64()), lists(np.concatenate(times), cut, pa.int32())],
                     ["id", "train", "n", "known", "base", "score", "rare", "times"],
                 )
 
@@ -205,17 +234,20 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", id_col: s
     walked = materialize(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
 
     apart = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("n"))
-    weight = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(lexicon.tokens + lexicon.distinct + 1)))
-    few = counts.where(F.col("c") < max(1, lexicon.tokens * LEXICON))
-    sums = apart.join(few, "h", "left").groupBy("row").agg(F.sum(F.col("n") * weight).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("seen"))
+    # What rare words have above unseen ones, failure weights of rare contexts, and rare arcs.
+    rare = counts.where(F.col("c") < least).select("h", F.log10(F.col("c") + 1).alias("root"), F.lit(0.0).alias("more"), F.lit(1).alias("seen"))
+    for table, h, value in ((contexts.where(F.col("n") < least), "before", "fail"), (arcs.where(F.col("c") < cached), "h", "more")):
+        rare = rare.unionByName(table.select(F.col(h).alias("h"), F.lit(0.0).alias("root"), F.col(value).alias("more"), F.lit(0).alias("seen")))
+    n = F.col("n")
+    sums = apart.join(rare, "h").groupBy("row").agg(F.sum(n * F.col("root")).alias("root"), F.sum(n * F.col("more")).alias("more"), F.sum(n * F.col("seen")).alias("seen"))
     out = walked.drop("rare", "times").join(sums, "row", "left")
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
+    root, more, seen = F.coalesce("root", F.lit(0.0)), F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     return out.select(
         F.col("id").alias(id_col),
         F.col("train").alias("training"),
         F.col("n").alias("n_tokens"),
         (F.col("known") + seen).alias("n_known"),
-        F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + root).alias("base_score"),
+        (F.col("score") + root + more).alias("score"),
     )
