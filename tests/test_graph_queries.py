@@ -17,3 +17,13 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_every_sparse_query_has_one_of_the_whole_graph(spark):
+    sparse = {n for n, sql in catalog.ORACLES.items() if "l_orderkey % 20" in sql}
+    assert {f"whole_{n}" for n in sparse} | {"whole_msbfs_blocks", "whole_voronoi_blocks", "whole_dag_partition"} == {n for n in catalog.QUERIES if n.startswith("whole_")}
+    assert not any("l_orderkey % 20" in catalog.ORACLES.get(n, "") for n in catalog.QUERIES if n.startswith("whole_"))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    edges = lines.count() - lines.select("l_orderkey").distinct().count()
+    loops = catalog.QUERIES["whole_parse_edgelist"](spark, SF).count()
+    assert edges * 0.9 < loops <= edges

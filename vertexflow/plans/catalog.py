@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from vertexflow.sources import formats, generators, writers
 from vertexflow.storage import new_path
 from vertexflow.streaming.dynamic import DynamicGraph
 
-from .oracles import ORACLES  # noqa: F401
-from .tables import copurchase, nation_trade, sparse_simple, table
+from .oracles import ORACLES, SPARSE_FILTER
+from .tables import copurchase, nation_trade, sparse_simple, table, whole_graph
 
 QUERIES: dict = {}
 PARTS = 4
@@ -582,3 +584,19 @@ def dynamic_delete(spark, d):
     g.remove_out_edges(spark.range(0, 1000, 50))
     g.compact()
     return g.degrees()
+
+
+# The queries of the sparse graph on the whole one
+
+
+def _on_whole(f):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        with whole_graph():
+            return f(spark, d)
+
+    return run
+
+
+_SPARSE = [n for n, f in QUERIES.items() if SPARSE_FILTER in ORACLES.get(n, "") or "sparse" in inspect.getsource(f)]
+QUERIES |= {f"whole_{n}": _on_whole(QUERIES[n]) for n in _SPARSE}
+ORACLES |= {f"whole_{n}": ORACLES[n].replace(SPARSE_FILTER, "") for n in _SPARSE if n in ORACLES}

@@ -12,6 +12,8 @@ def _edges(where: str = "") -> str:
     return f"(SELECT src, dst, w FROM (SELECT l_partkey AS src, {_LEAD} AS dst, l_quantity AS w FROM lineitem {where}) WHERE dst IS NOT NULL AND src <> dst)"
 
 
+#: What only the queries of the sparse graph have.
+SPARSE_FILTER = "WHERE l_orderkey % 20 = 0"
 _SPARSE_EDGES = _edges("WHERE l_orderkey % 20 = 0")
 _COMMON = """
 n AS MATERIALIZED (SELECT max(greatest(src, dst)) + 1 AS n FROM e),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,19 @@ from pyspark.sql import functions as F
 from vertexflow.operators.graph import Graph
 
 
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole_graph():
+    """Within this, what asks for the sparse graph gets the whole one."""
+    before = _whole.set(True)
+    try:
+        yield
+    finally:
+        _whole.reset(before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def copurchase(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Graph:
     """An edge from each part of an order to the next one, with its quantity; parallel edges are kept."""
     lines = table(spark, sf_dir, "lineitem")
-    if sparse:
+    if sparse and not _whole.get():
         lines = lines.where("l_orderkey % 20 = 0")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return Graph(lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.col("l_quantity").alias("w")))
