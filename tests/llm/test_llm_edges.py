@@ -243,3 +243,12 @@ def test_arcs_do_not_depend_on_the_number_of_tokens(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(spark.createDataFrame([(-1, "rare pair"), (-2, "pair rare")], "doc_id long, text string"))
     got = {r.doc_id: r.score - r.base_score for r in score_texts(df, F.col("doc_id") >= 0).collect()}
     assert got[-1] > got[-2] + 3
+
+
+def test_lists_with_few_vectors_are_not_the_only_ones_read(spark):
+    """Clusters of 96, 157 and 3 vectors, the 3 between the others: all queries have k answers."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([c + 1e-3 * rng.normal(size=(n, 3)) for c, n in (([1, 0, 0], 96), ([0, 1, 0], 157), ([0.7, 0.7, 0.1], 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    answers = nearest(df, F.lit(True), k=5).groupBy("query_id").count().collect()
+    assert len(answers) == 256 and {r["count"] for r in answers} == {5}

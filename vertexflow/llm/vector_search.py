@@ -5,7 +5,8 @@ every part is small, so lists are balanced.  Each vector goes to its nearest
 centroid's list and, if it is near the boundary, to those of further centroids
 that are about as near.  Centroids are found through an in-memory graph of their
 own neighbours, by best-first search.  A query reads the lists whose centroids are
-within a ratio of its nearest one's distance.  Candidates are scored exactly.
+within a ratio of its nearest one's distance, and the next ones while these hold too
+few vectors.  Candidates are scored exactly.
 
 Lists and queries meet in a shuffle by shelf.  A shelf holds neighbouring lists up to
 a number of vectors, so a query goes to few places and each answers with its ``k``
@@ -138,8 +139,8 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
 
 
-def _shelves(held: DataFrame) -> dict[int, tuple[int, int]]:
-    """Shelf and number of slices for each list; there are no more lists than centroids.
+def _shelves(held: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """Shelf, number of slices and vectors for each list; there are no more lists than centroids.
 
     Neighbouring lists share a shelf until it holds SLICE rows; a longer list has one
     of its own, in slices.
@@ -148,7 +149,7 @@ def _shelves(held: DataFrame) -> dict[int, tuple[int, int]]:
     for c, n in sorted((r.list, r["count"]) for r in held.groupBy("list").count().collect()):
         if total and total + n > SLICE:
             shelf, total = shelf + 1, 0
-        out[c] = shelf, -(-n // SLICE)
+        out[c] = shelf, -(-n // SLICE), n
         total += n
         if n > SLICE:
             shelf, total = shelf + 1, 0
@@ -186,18 +187,32 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
 
     held = materialize(rows.mapInArrow(hold, f"id long, v {kind}, list long"), "lists")
     shelves = _shelves(held)
-    placed = held.join(F.broadcast(spark.createDataFrame([(c, s, n) for c, (s, n) in shelves.items()], "list long, shelf int, slices int")), "list")
+    placed = held.join(F.broadcast(spark.createDataFrame([(c, s, n) for c, (s, n, _) in shelves.items()], "list long, shelf int, slices int")), "list")
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     where = spark.sparkContext.broadcast(shelves)
 
+    enough = REPLICAS * (k + 1)  # k others with unique ids and the query's own, each in all its lists
+
+    def read(u: np.ndarray) -> list[int]:
+        lists = [c for c in _lists(shared.value, u, None, RATIO).tolist() if c in where.value]
+        total = sum(where.value[c][2] for c in lists)
+        if total < enough:
+            taken = set(lists)
+            for c in np.argsort(-(shared.value.centroids @ u), kind="stable").tolist():
+                if c in where.value and c not in taken:
+                    lists.append(c)
+                    total += where.value[c][2]
+                    if total >= enough:
+                        break
+        return lists
+
     def ask(batches):
         for batch in batches:
             at, shelf, slices, asked = [], [], [], []
             for i, u in enumerate(_unit(_matrix(batch.column(1)) if len(batch) else np.zeros((0, dims))).astype(np.float32)):
                 by_shelf: dict[tuple[int, int], list[int]] = {}
-                for c in _lists(shared.value, u, None, RATIO).tolist():
-                    if c in where.value:
-                        by_shelf.setdefault(where.value[c], []).append(c)
+                for c in read(u):
+                    by_shelf.setdefault(where.value[c][:2], []).append(c)
                 for (s, n), lists in by_shelf.items():
                     for k in range(n):
                         at.append(i)
