@@ -252,3 +252,11 @@ def test_lists_with_few_vectors_are_not_the_only_ones_read(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     answers = nearest(df, F.lit(True), k=5).groupBy("query_id").count().collect()
     assert len(answers) == 256 and {r["count"] for r in answers} == {5}
+
+
+def test_token_counts_of_two_very_long_words(spark):
+    """A word of more than 65,535 tokens that is met twice, so the broadcast table has it."""
+    word = "".join(random.Random(3).choices("bcdfghjklmnpqrstvwxz", k=200_000))
+    n = len(pieces.encode(BYTE, [word])[0])
+    df = spark.createDataFrame([(1, word), (2, word)], "doc_id long, text string").coalesce(1)
+    assert n > 65_535 and [r.n_tokens for r in token_counts(df, BYTE).collect()] == [n, n]

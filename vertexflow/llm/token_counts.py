@@ -30,7 +30,7 @@ from .merge import merged
 from .pieces import encode, load, table
 from .text import chunks, column, spaced
 
-#: Entries of the broadcast table; at 10 bytes each it stays below 1 MB.
+#: Entries of the broadcast table; at 12 bytes each it stays below 1 MB.
 FREQUENT = 65_536
 #: Counters that a summary may hold, and those that it passes on.
 HELD, SENT = 400_000, FREQUENT
@@ -90,7 +90,7 @@ def frequent_table(docs: DataFrame, text: str, path: str, size: int = FREQUENT)
     hashes = w.hashes[w.first[whole]]
     counts = np.array([len(x) for x in encode(path, texts.take(pa.array(whole)).to_pylist())], np.int64)
     order = np.argsort(hashes)
-    return hashes[order], counts[order].astype(np.uint16)
+    return hashes[order], counts[order].astype(np.uint32)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", limit: int = 1024) -> DataFrame:
