@@ -260,3 +260,9 @@ def test_token_counts_of_two_very_long_words(spark):
     n = len(pieces.encode(BYTE, [word])[0])
     df = spark.createDataFrame([(1, word), (2, word)], "doc_id long, text string").coalesce(1)
     assert n > 65_535 and [r.n_tokens for r in token_counts(df, BYTE).collect()] == [n, n]
+
+
+def test_word_vectors_come_from_unlabelled_documents_too(spark):
+    df = spark.createDataFrame([(i, f"only{i} word{i} here{i}") for i in range(40)], "doc_id long, text string")
+    few = df.where("doc_id < 4").select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    assert fit_quality(df, few).vectors.any(1).sum() > 60

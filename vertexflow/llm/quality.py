@@ -169,7 +169,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, seed: int = 7) -> QualityModel:
     """A model from ``labels`` (id_col, label 0/1) of ``docs``.
 
-    At most ``sample`` labelled rows count, those with the least hashes of their
+    Word vectors are gathered from all of ``docs``.  For the network at most ``sample`` labelled rows count, those with the least hashes of their
     ids; rows with a null id or label don't.  Texts stay on the executors: what
     comes to the driver is one table of word vectors and a row of features for
     each sampled document.  With fewer than 10 rows or one label only, the model
@@ -193,7 +193,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
         total[np.frombuffer(row.at, np.int32)] = np.frombuffer(row.sums, np.float32).reshape(-1, DIMS)
         return total
 
-    sums = rows.mapInArrow(gather, "at binary, sums binary").rdd.map(unpack)
+    every = docs.select(F.col(text).cast("string").alias("body"))
+    sums = every.mapInArrow(gather, "at binary, sums binary").rdd.map(unpack)
     total = merged(sums, np.add, np.zeros((ROWS, DIMS), np.float32))
     model = QualityModel(total / (np.linalg.norm(total, axis=1, keepdims=True) + 1), seed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
