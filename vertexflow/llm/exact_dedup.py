@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from vertexflow.storage import materialize
 
 from .text import column, fresh
+from .worker import state
 
 #: Fingerprints that one owner should get.
 OWNED = 1_000_000
@@ -72,6 +73,7 @@ def _fingerprints(rows: DataFrame, owners: int) -> DataFrame:
     fields = ["sender", "owner", "place", "id", "sha", "blob"]
 
     def digest(batches):
+        state("exact_dedup")
         sender = TaskContext.get().partitionId()
         ids, shas = [], []
         for batch in batches:

@@ -29,6 +29,7 @@ from vertexflow.operators.components import components
 from vertexflow.storage import discard, materialize
 
 from .text import chunks, column, lists, mix, shingles, words
+from .worker import state
 
 #: Chance that a pair at exactly the threshold shares no band.
 MISS = 1e-5
@@ -38,6 +39,8 @@ REGISTERS = 336
 JOINT_STEPS = 12
 #: Shingles that have such tables at once.
 TABLE_ROWS = 16_384
+#: Shingles that are walked together.
+WALKED = 1 << 17
 #: Members of a bucket that meet those of another block in one task.
 BLOCK = 512
 
@@ -63,7 +66,23 @@ def _draw(h: np.ndarray, j: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """Registers of each document, from its distinct shingle hashes; all ones where it has none."""
+    """Registers of each document, from its distinct shingle hashes; all ones where it has none.
+
+    Documents are taken up to WALKED shingles together.  A longer one goes in parts:
+    its registers are the least of those of the parts.
+    """
+    out = np.full((len(first) - 1, k), _NONE)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + WALKED, "right")) - 1)
+        for a in range(int(first[lo]), int(first[hi]), 2 * WALKED):
+            b = min(int(first[hi]), a + 2 * WALKED)
+            np.minimum(out[lo:hi], _registers(sets[a:b], np.clip(first[lo : hi + 1], a, b) - a, k), out=out[lo:hi])
+        lo = hi
+    return out
+
+
+def _registers(sets: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     n = len(first) - 1
     best = np.full(n * k, _NONE)
     doc = np.repeat(np.arange(n), np.diff(first))
@@ -129,6 +148,7 @@ def _set_marks(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def sign(batches):
+        state("near_dedup")
         for batch in batches:
             bodies = column(batch, "body")
             for lo, hi in chunks(bodies):
@@ -147,6 +167,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """Whole shingle sets as packed sorted 64-bit hashes."""
 
     def pack(batches):
+        state("near_dedup")
         for batch in batches:
             bodies = column(batch, "body")
             for lo, hi in chunks(bodies):
@@ -172,6 +193,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
     def check(batches):
+        state("near_dedup")
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(a, b, strict=True)]

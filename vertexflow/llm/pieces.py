@@ -10,21 +10,23 @@ import os
 
 import numpy as np
 
-from .text import Words
+from .text import Words, blocks
+from .worker import state
 
 #: Entries beyond the base tier before the table is cut back to that tier.
 CACHE = 1_000_000
-_tokenizers: dict = {}
-_tables: dict = {}
+#: Pieces that the library gets in one call.
+ENCODED = 1 << 14
 
 
 def load(path: str):
     """The library's tokenizer for a file: tokenizers for .json, sentencepiece for .model."""
-    if path not in _tokenizers:
+    kept = state("pieces")
+    if path not in kept:
         if path.endswith(".model"):
             import sentencepiece
 
-            _tokenizers[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+            kept[path] = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -32,8 +34,8 @@ def load(path: str):
             tok = Tokenizer.from_file(path)
             tok.no_truncation()
             tok.no_padding()
-            _tokenizers[path] = tok
-    return _tokenizers[path]
+            kept[path] = tok
+    return kept[path]
 
 
 def encode(path: str, texts: list[str]) -> list[list[int]]:
@@ -74,13 +76,20 @@ class PieceTable:
                 self.reset()
                 slots = self.find(known)
                 new = np.flatnonzero(slots < 0)
-            data, at = w.data.tobytes(), first[new]
-            texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-            ids = encode(self.path, texts)
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            at, counts, flat = first[new], [], []
+            for lo in range(0, len(new), ENCODED):
+                part = at[lo : lo + ENCODED]
+                base, end = int(w.starts[part].min()), int(w.ends[part].max())
+                data = w.data[base:end].tobytes()
+                texts = [data[s - base : e - base].decode("utf-8", "replace") for s, e in zip(w.starts[part].tolist(), w.ends[part].tolist(), strict=True)]
+                ids = encode(self.path, texts)
+                counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                if self.keep_ids:
+                    flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(counts[-1].sum())))
+            counts = np.concatenate(counts)
             slots[new] = fresh = len(self.counts) + np.arange(len(new))
             if self.keep_ids:
-                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
+                flat = np.concatenate(flat)
                 room = self.used + len(flat)
                 if room > len(self.ids):
                     self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(room, 1 << 16), np.uint32)])
@@ -95,22 +104,29 @@ class PieceTable:
 
     def totals(self, w: Words) -> np.ndarray:
         """Token counts of the documents."""
-        slots = self.slots_of(w)
-        sums = np.concatenate([[0], np.cumsum(self.counts[slots])])
-        return sums[w.first[1:]] - sums[w.first[:-1]]
+        out = np.zeros(len(w.first) - 1, np.int64)
+        for part in blocks(w):
+            slots = self.slots_of(part)
+            sums = np.concatenate([[0], np.cumsum(self.counts[slots])])
+            out += sums[part.first[1:]] - sums[part.first[:-1]]
+        return out
 
     def token_ids(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the documents in a row, and where each document's begin."""
-        slots = self.slots_of(w)
-        counts = self.counts[slots]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.repeat(self.offsets[slots] - ends[:-1], counts) + np.arange(ends[-1])
-        return self.ids[at], ends[w.first]
+        ids, first = [np.zeros(0, np.uint32)], np.zeros(len(w.first), np.int64)
+        for part in blocks(w):
+            slots = self.slots_of(part)
+            counts = self.counts[slots]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            at = np.repeat(self.offsets[slots] - ends[:-1], counts) + np.arange(ends[-1])
+            ids.append(self.ids[at])
+            first += ends[part.first]
+        return np.concatenate(ids), first
 
 
 def table(path: str, key, base=None, keep_ids: bool = False) -> PieceTable:
     """This worker's table for ``key``; one at a time is kept."""
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = PieceTable(path, base() if base else None, keep_ids)
-    return _tables[key]
+    kept = state("pieces")
+    if kept.get("key") != key:
+        kept["key"], kept["table"] = key, PieceTable(path, base() if base else None, keep_ids)
+    return kept["table"]

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .merge import merged
 from .text import Words, chunks, column, words
+from .worker import state
 
 #: Rows of word vectors, their dimensions, and non-zero places of an index vector.
 ROWS, DIMS, PLACES = 1 << 14, 64, 4
@@ -29,6 +30,8 @@ ROWS, DIMS, PLACES = 1 << 14, 64, 4
 SAMPLE = 12_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 256, 3e-3, 1e-4
 _SHAPES = 256
+#: Words to each side that are neighbours; words whose vectors are held at once.
+REACH, BLOCK = 2, 1 << 13
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-"]] = True
@@ -51,19 +54,23 @@ def index_vectors(seed: int = 7) -> np.ndarray:
 
 def _shapes(w: Words) -> np.ndarray:
     """A number below _SHAPES for each word, from flags of its bytes and of the word before."""
-    size = w.ends - w.starts
-
-    def count(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags[w.data])])
-        return total[w.ends] - total[w.starts]
-
-    upper, lower, symbols = count(_UPPER), count(_LOWER), count(_SYMBOL)
-    same = np.zeros(len(size), bool)
+    out = np.empty(len(w.hashes), np.int16)
+    for lo in range(0, len(out), BLOCK):
+        starts, ends = w.starts[lo : lo + BLOCK], w.ends[lo : lo + BLOCK]
+        base = int(starts[0])
+        data = w.data[base : int(ends[-1])]
+
+        def count(flags: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(flags[data], dtype=np.int32)])  # noqa: B023
+            return total[ends - base] - total[starts - base]  # noqa: B023
+
+        upper, lower, symbols = count(_UPPER), count(_LOWER), count(_SYMBOL)
+        length = np.digitize(ends - starts, [3, 7, 13])
+        out[lo : lo + BLOCK] = (upper > lower + 1) + 2 * (symbols == 1) + 4 * (symbols > 1) + 8 * (count(_DIGIT) > 0) + 32 * length + 128 * (upper + lower == 0)
+    same = np.zeros(len(out), bool)
     same[1:] = w.hashes[1:] == w.hashes[:-1]
-    inner = w.first[(w.first > 0) & (w.first < len(size))]
-    same[inner] = False
-    length = np.digitize(size, [3, 7, 13])
-    return (upper > lower + 1) + 2 * (symbols == 1) + 4 * (symbols > 1) + 8 * (count(_DIGIT) > 0) + 16 * same + 32 * length + 128 * (upper + lower == 0)
+    same[w.first[(w.first > 0) & (w.first < len(out))]] = False
+    return out + 16 * same.astype(np.int16)
 
 
 class Tokens(NamedTuple):
@@ -74,39 +81,43 @@ class Tokens(NamedTuple):
 
 def _tokens(bodies: pa.Array) -> Tokens:
     w = words(bodies)
-    return Tokens(w.first, (w.hashes & np.uint64(ROWS - 1)).astype(np.int64), _shapes(w).astype(np.int64))
+    return Tokens(w.first, (w.hashes & np.uint64(ROWS - 1)).astype(np.int32), _shapes(w))
 
 
 def _contexts(t: Tokens, index: np.ndarray, total: np.ndarray) -> None:
     """Add to each row of ``total`` what its word's occurrences have around them."""
     n = len(t.rows)
-    if not n:
-        return
-    own, shape = index[t.rows], index[ROWS + t.shapes]
-    around = shape.copy()
     doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
-    for step in (1, 2):
-        near = (doc[step:] == doc[:-step])[:, None]
-        around[step:] += (own[:-step] + shape[:-step]) * near
-        around[:-step] += (own[step:] + shape[step:]) * near
-    order = np.argsort(t.rows, kind="stable")
-    rows = t.rows[order]
-    cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    total[rows[cut]] += np.add.reduceat(around[order], cut, axis=0)
-
-
-def _means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(first) - 1, values.shape[1]), np.float32)
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
-        out[some] = np.add.reduceat(values, first[some], axis=0) / np.diff(first)[some, None]
-    return out
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        a, b = max(0, lo - REACH), min(n, hi + REACH)  # with the neighbours of the block's words
+        around = index[ROWS + t.shapes[a:b]]
+        both = index[t.rows[a:b]] + around
+        for step in range(1, REACH + 1):
+            near = (doc[a + step : b] == doc[a : b - step])[:, None]
+            around[step:] += both[:-step] * near
+            around[:-step] += both[step:] * near
+        rows = t.rows[lo:hi]
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        total[rows[cut]] += np.add.reduceat(around[lo - a + order], cut, axis=0)
 
 
 def _pooled(bodies: pa.Array, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Means over each text's words, summed by blocks of words."""
     t = _tokens(bodies)
-    n = np.diff(t.first).astype(np.float32)
-    return np.hstack([_means(vectors[t.rows], t.first), _means(index[ROWS + t.shapes], t.first), np.log1p(n)[:, None]])
+    docs = len(t.first) - 1
+    sums, shapes = np.zeros((docs, DIMS)), np.zeros((docs, DIMS))
+    for lo in range(0, len(t.rows), BLOCK):
+        first = np.clip(t.first, lo, lo + BLOCK) - lo
+        some = np.flatnonzero(np.diff(first))
+        own = np.repeat(np.arange(len(some)), np.diff(first)[some])
+        sums[some] += np.add.reduceat(vectors[t.rows[lo : lo + BLOCK]], first[some], axis=0)
+        count = np.bincount(own * _SHAPES + t.shapes[lo : lo + BLOCK], minlength=len(some) * _SHAPES)
+        shapes[some] += count.reshape(-1, _SHAPES) @ index[ROWS:]
+    n = np.diff(t.first)[:, None]
+    return np.hstack([sums / np.maximum(n, 1), shapes / np.maximum(n, 1), np.log1p(n)]).astype(np.float32)
 
 
 class QualityModel:
@@ -169,17 +180,20 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, seed: int = 7) -> QualityModel:
     """A model from ``labels`` (id_col, label 0/1) of ``docs``.
 
-    Word vectors are gathered from all of ``docs``.  For the network at most ``sample`` labelled rows count, those with the least hashes of their
-    ids; rows with a null id or label don't.  Texts stay on the executors: what
-    comes to the driver is one table of word vectors and a row of features for
-    each sampled document.  With fewer than 10 rows or one label only, the model
-    scores every text by the smoothed share of label 1.
+    Word vectors are gathered from all of ``docs``.  For the network at most
+    ``sample`` labelled ids count, those with the least hashes; rows with a null id
+    or label don't, and an id that has several labels counts once, with the
+    largest.  Documents that share a labelled id are all used.  Texts stay on the
+    executors: what comes to the driver is one table of word vectors and a row of
+    features for each sampled document.  With fewer than 10 rows or one label only,
+    the model scores every text by the smoothed share of label 1.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
+    chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("body")).join(F.broadcast(chosen), "id").select("id", "body", "y")
 
     def gather(batches):
+        state("quality")
         index, total = index_vectors(seed), np.zeros((ROWS, DIMS), np.float32)
         for batch in batches:
             bodies = column(batch, "body")
@@ -200,6 +214,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def pool(batches):
+        state("quality")
         for batch in batches:
             x = shared.value.features(column(batch, "body")).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
@@ -221,6 +236,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", name
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def judge(batches):
+        state("quality")
         for batch in batches:
             p = shared.value.probabilities(shared.value.features(column(batch, text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, *names])

@@ -68,6 +68,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crc(modulus: int):
+    """The remainder that splits rows; null for a null id, whose row is held out everywhere."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
@@ -79,7 +80,7 @@ def quality_model(docs: DataFrame, sf_dir: str):
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = score_quality(docs.select("doc_id", "text"), quality_model(docs, sf_dir))
-    return scored.select("doc_id", (_crc(3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(_crc(3) == 1, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

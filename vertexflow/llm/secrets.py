@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import column
+from .worker import state
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 #: Kinds of spans in the order in which ties are listed.
@@ -128,6 +129,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sa
     id_type = rows.schema["id"].dataType.simpleString()
 
     def scan(batches):
+        state("secrets")
         for batch in batches:
             bodies = column(batch, "body")
             found = [([], [])] * len(bodies)

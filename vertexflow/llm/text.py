@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Words handled at once where much is held for each.
+BLOCK_WORDS = 1 << 18
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,18 +31,17 @@ _ASCII_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]]
 _LATIN = np.zeros(256, bool)
 _LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 _BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
+def _power_tables() -> list[np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to CHUNK_BYTES."""
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(CHUNK_BYTES + 1, base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            _powers.append(np.multiply.accumulate(steps))
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,12 +104,44 @@ def words(texts: pa.Array, fold: bool = True) -> Words:
 
 
 def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letter: np.ndarray) -> np.ndarray:
-    """Hashes of the spans ``starts:ends``, from prefix sums of a polynomial over the bytes."""
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(letter[data] * power[: len(data)], out=total[1:])
-    hashes = (total[ends] - total[starts]) * inverse[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64))
+    """Hashes of the spans ``starts:ends``, a polynomial over the bytes of each; spans are in order.
+
+    Prefix sums over CHUNK_BYTES at most give the spans that lie there; a longer span is summed by parts.
+    """
+    power, inverse = _power_tables()
+    sums = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = int(np.searchsorted(ends, base + CHUNK_BYTES, "right"))
+        if hi <= lo:
+            sums[lo] = _long_span(data[base : int(ends[lo])], letter, power)
+            lo += 1
+            continue
+        part = data[base : int(ends[hi - 1])]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(letter[part] * power[: len(part)], out=total[1:])
+        s, e = starts[lo:hi] - base, ends[lo:hi] - base
+        sums[lo:hi] = (total[e] - total[s]) * inverse[s]
+        lo = hi
+    return mix(sums + (ends - starts).astype(np.uint64))
+
+
+def _long_span(data: np.ndarray, letter: np.ndarray, power: np.ndarray) -> np.uint64:
+    total, scale = 0, 1
+    for lo in range(0, len(data), CHUNK_BYTES):
+        part = data[lo : lo + CHUNK_BYTES]
+        total += scale * int((letter[part] * power[: len(part)]).sum(dtype=np.uint64))
+        scale = scale * pow(_BASE, CHUNK_BYTES, 1 << 64) % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
+def blocks(w: Words, most: int = BLOCK_WORDS) -> Iterator[Words]:
+    """The same words, at most ``most`` at once: every block has all documents, most of them empty."""
+    n = len(w.hashes)
+    for lo in range(0, n, most):
+        hi = min(n, lo + most)
+        yield Words(np.clip(w.first, lo, hi) - lo, w.hashes[lo:hi], w.starts[lo:hi], w.ends[lo:hi], w.data)
 
 
 def spaced(texts: pa.Array, fold: bool = False) -> Words:
