@@ -1,160 +1,185 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the contexts of smoothed bigrams and a root.  A state has an arc for
-each word that was seen LEAST times after its context, weighted with the discounted
-log-probability, and a failure arc to the root with the backoff weight.  The root
-has an arc for every word, weighted with the add-one unigram log-probability.
-
-The state before a word is the word before it, so a text's path is known without
-walking it, and its weights may be added in any order and in parts: the failure
-arc and the root arc of every word and, where the bigram has an arc, what its weight
-is more than those two.
-
-Counts are exact and cover all training text; every word is a context, and the least
-count of a bigram does not depend on the corpus.  What is broadcast is bounded at
-any size: words with a share LEXICON of all tokens, of which there are 1 / LEXICON at
-most, and bigrams with a share CACHED.  Other words and arcs are joined by their
-hashes, and their weights are added by document.  Sieves of 2^SIEVE bits keep back
-bigrams that have no arc; full ones let more through, which decides speed only.
+States are the contexts of smoothed trigrams: two words, one word, or the root.  A
+state has an arc for every word that was seen after its context, weighted with the
+word's log-probability there, and a failure arc to the state without the first word
+of the context.  A text is read from left to right; the state is the longest context
+that was seen, and a word without an arc takes failure arcs until it finds one.  The
+root has an arc for every word, with the add-one unigram probability.
+
+Smoothing is hierarchical (Dirichlet): with c the counts, s the order's strength and
+h' the context without its first word,
+
+    p(w | h) = (c(hw) + s p(w | h')) / (c(h) + s),
+
+so a failure arc weighs s / (c(h) + s), and each state's probabilities sum to 1.  All
+n-grams of the training texts count, also those that occur once.
+
+The automaton is as large as the corpus's n-grams, so no task holds it.  Texts are
+put into chunks of bounded size.  A chunk sends its distinct n-grams, as sorted coded
+hashes, to the owners of the hashes' ranges; owners add up the counts and answer each
+chunk in its own order; and the chunk walks its texts with just the arcs that it
+needs.  An n-gram goes to its owner once from each chunk, however often it occurs.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
 
-from .text import chunks, column, lists, words
+from . import sorted_keys as sk
+from .tables import bucketed
+from .text import column, cut_text, mix, words
+from .worker import state
 
-#: Least share of all tokens: of a word in the broadcast lexicon, of a bigram in the broadcast arcs.
-LEXICON, CACHED = 2.0**-18, 2.0**-19
-#: Least share of all tokens of a context's word and of a bigram with an arc: none.
-CONTEXT = ARCS = 0.0
-#: Binary logarithm of the bits in a broadcast sieve of hashes.
-SIEVE = 26
-#: Taken off a bigram's count; least count of a bigram with an arc.
-DISCOUNT, LEAST = 0.75, 2
+#: Bytes of text of a chunk; n-grams that one owner should get from all chunks.
+CHUNK, OWNED = 8 << 20, 2_000_000
+#: Strength of the lower order in bigrams and trigrams.
+STRENGTH = (256.0, 4.0)
+#: Bits of a word's hash, and of an n-gram's: these, or 20 more than a bigram's number in the corpus takes.
+WORD_BITS, LEAST_BITS = 56, 44
 #: Stands for the end of a text, before which a text also begins.
-END = 0x1EE7C0DE
-#: Counters that a partition holds before it passes them on.
-HELD = 2_000_000
+END = np.uint64(0x1EE7C0DE5EED1DEA)
 
 
-class Model(NamedTuple):
-    """Weights of frequent words and arcs, by sorted hashes; ``sieve`` is of the other arcs, none if ``whole``."""
+class Tokens(NamedTuple):
+    """``doc``: the row of a token; ``scored``: not one that only leads in; ``keys``: hashes of n-grams
+    by order, of which ``has`` says where they are."""
 
-    words: np.ndarray
-    root: np.ndarray
-    fail: np.ndarray
-    arcs: np.ndarray
-    more: np.ndarray
-    sieve: np.ndarray
-    whole: bool
+    doc: np.ndarray
+    scored: np.ndarray
+    has: list[np.ndarray]
+    keys: list[np.ndarray]
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table, -1 outside it."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(((before << np.uint64(21)) | (before >> np.uint64(43))) ^ word)
 
 
-def _sieve(hashes: DataFrame) -> np.ndarray:
-    """Bits by the first bits of the hashes ``h``, in words of 64."""
-    at, bit = F.shiftrightunsigned("h", 70 - SIEVE), F.shiftrightunsigned("h", 64 - SIEVE).bitwiseAND(F.lit(63)).cast("int")
-    table = hashes.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (SIEVE - 6), np.uint64)
-    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return out
+def _tokens(table: pa.Table, bits: int) -> Tokens:
+    w = words(table.column("body").combine_chunks())
+    last = table.column("last").to_numpy().astype(bool)
+    lead = table.column("lead").to_numpy().astype(np.int64)
+    hashes = np.insert(w.hashes, w.first[1:][last], END)
+    first = w.first + np.concatenate([[0], np.cumsum(last)])
+    doc = np.repeat(np.arange(len(lead)), np.diff(first))
+    place = np.arange(len(hashes)) - first[doc]
+    begins = lead[doc] < 2  # the piece's first token is its text's
+    before = np.concatenate([[END], hashes])[:-1]
+    before[place == 0] = END
+    two = _joined(before, hashes)
+    three = _joined(np.concatenate([[END], two])[:-1], hashes)
+    every = np.ones(len(hashes), bool)
+    keys = [hashes >> np.uint64(64 - WORD_BITS), two >> np.uint64(64 - bits), three >> np.uint64(64 - bits)]
+    return Tokens(doc, place >= lead[doc], [every, begins | (place > 0), (place > 0) & (begins | (place > 1))], keys)
 
 
-def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    top = hashes >> np.uint64(64 - SIEVE)
-    return (sieve[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) > 0
+def _distinct(t: Tokens, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of an order, and the place there of each token that has one; the end is always a word."""
+    own = t.keys[order][t.has[order]]
+    if order == 0:
+        own = np.append(own, END >> np.uint64(64 - WORD_BITS))
+    return np.unique(own, return_inverse=True)
 
 
-def _turned(before: np.ndarray) -> np.ndarray:
-    return (before << np.uint64(21)) | (before >> np.uint64(43))
-
-
-def _arc(before: Column, word: Column) -> Column:
-    """The same hash of a bigram as ``_turned(before) ^ word``."""
-    return F.shiftleft(before, 21).bitwiseOR(F.shiftrightunsigned(before, 43)).bitwiseXOR(word)
-
-
-def _before(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each one, an end at the beginning of a document."""
-    out = np.empty(len(hashes), np.uint64)
-    out[1:] = hashes[:-1]
-    out[first[:-1]] = END
-    return out
-
-
-def _with_ends(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each document and an end after them."""
-    return np.insert(hashes, first[1:], np.uint64(END)), first + np.arange(len(first))
-
-
-def _counted(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of counts by key; ``more`` is equal where keys are."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts, *(m[order][cut] for m in more)
-
-
-def _count(docs: DataFrame, keys_of, emit, schema: str) -> DataFrame:
-    """Counts in training documents of the keys, the first of ``keys_of(words)``: the columns of ``emit``, and ``c``."""
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def count(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def merged():
-            keys, counts, *more = _counted(*map(np.concatenate, zip(*held, strict=True)))
-            out = [x.view(np.int64) for x in emit(keys, *more)]
-            for lo in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000]) for x in (*out, counts)], [*names, "c"])
+def _pieces(rows: DataFrame, id_type: str) -> DataFrame:
+    """Rows with their chunk; a text beyond CHUNK bytes is cut into rows that repeat the two words before."""
 
+    def place(batches):
+        state("language_model")
+        chunk, held = TaskContext.get().partitionId() << 31, 0
+        names = ["chunk", "row", "id", "train", "body", "lead", "last"]
         for batch in batches:
-            bodies = column(batch.filter(batch.column(2)), "body")
-            for lo, hi in chunks(bodies):
-                w = words(bodies.slice(lo, hi - lo))
-                keys, *more = keys_of(*_with_ends(w.hashes, w.first))
-                held.append(_counted(keys, np.ones(len(keys), np.int64), *more))
-                size += len(held[-1][0])
-                if size > HELD:
-                    yield from merged()
-                    held, size = [], 0
-        if held:
-            yield from merged()
-
-    return docs.mapInArrow(count, f"{schema}, c long").groupBy(*names).agg(F.sum("c").alias("c"))
-
-
-def _pairs(hashes: np.ndarray, first: np.ndarray, sieve: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of bigrams and the word before; with a sieve, of those whose words pass it both."""
-    before = _before(hashes, first)
-    if sieve is not None:
-        fine = _passes(sieve, hashes) & _passes(sieve, before)
-        hashes, before = hashes[fine], before[fine]
-    return _turned(before) ^ hashes, before
-
+            bodies = column(batch, "body")
+            chunks, long_rows = [], []
+            for i, n in enumerate(pc.binary_length(bodies).to_pylist()):
+                if n > CHUNK:
+                    long_rows.append(i)
+                elif held + n > CHUNK:
+                    chunk, held = chunk + 1, 0
+                held += n + 8 if n <= CHUNK else 0
+                chunks.append(chunk)
+            keep = np.ones(len(bodies), bool)
+            keep[long_rows] = False
+            n = int(keep.sum())
+            short = pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), batch.column(0), batch.column(1), batch.column(3), bodies, pa.array(np.zeros(len(bodies), np.int32)), pa.array(np.ones(len(bodies), bool))], names)
+            yield short if n == len(bodies) else short.filter(pa.array(keep))
+            for i in long_rows:
+                parts = list(cut_text(bodies[i].as_py().encode(), CHUNK, 2))
+                for k, (part, lead) in enumerate(parts):
+                    chunk, held = chunk + 1, 0
+                    own = [pa.array([chunk], pa.int64()), batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(3).slice(i, 1)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([part.decode()]), pa.array([lead], pa.int32()), pa.array([k + 1 == len(parts)])], names)
+                chunk += 1
+
+    schema = f"chunk long, row long, id {id_type}, train boolean, body string, lead int, last boolean"
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "body", "train").mapInArrow(place, schema)
+
+
+def _counted(texts: DataFrame, bits: int, owners: int) -> DataFrame:
+    """Counts in training texts of every chunk's n-grams: ``chunk, owner, counts`` in the order of its keys.
+
+    Rows without a chunk have the ``tokens`` and distinct ``words`` of an owner's range.
+    """
 
-def _beside(rows: DataFrame, table: DataFrame, key: str, least: float) -> DataFrame:
-    """``rows`` with the columns of ``table``, whose words of ``n`` at ``least`` are broadcast, so that none is too many for a task."""
-    top = F.broadcast(table.where(F.col("n") >= least)).drop("n")
-    return rows.join(top, key).unionByName(rows.join(top, key, "left_anti").join(table.where(F.col("n") < least).drop("n"), key))
+    def send(table):
+        state("language_model")
+        t = _tokens(table, bits)
+        train = t.scored & table.column("train").to_numpy().astype(bool)[t.doc]
+        out: list[list] = [[], [], []]
+        for order in range(3):
+            keys, place = _distinct(t, order)
+            times = np.bincount(place[: len(t.doc)], train[t.has[order]], len(keys)).astype(np.int64)
+            owner, bounds = sk.cut(keys, bits if order else WORD_BITS, owners)
+            out[0] += (owner + order * owners).tolist()
+            out[1] += sk.encode(keys, bounds, bits if order else WORD_BITS)
+            out[2] += [sk.encode_counts(times[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        chunk = pa.array(np.full(len(out[0]), table.column("chunk")[0].as_py()), pa.int64())
+        return pa.table({"owner": pa.array(out[0], pa.int64()), "chunk": chunk, "keys": pa.array(out[1], pa.binary()), "counts": pa.array(out[2], pa.binary())})
+
+    def answer(key, table):
+        state("language_model")
+        blobs = [sk.decode(b.as_py()) for b in table.column("keys")]
+        keys = np.concatenate(blobs)
+        counts = np.concatenate([sk.decode_counts(b.as_py()) for b in table.column("counts")])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = np.add.reduceat(counts[order], cut)
+        counts[order] = np.repeat(sums, np.diff(np.append(cut, len(keys))))
+        own = np.split(counts, np.cumsum([len(b) for b in blobs])[:-1])
+        n, is_word = len(blobs), key[0].as_py() < owners
+        made = {"chunk": [*table.column("chunk").to_pylist(), None], "owner": [key[0].as_py()] * (n + 1), "counts": [*map(sk.encode_counts, own), None]}
+        made |= {"tokens": [0] * n + [int(sums.sum()) * is_word], "words": [0] * n + [int((sums > 0).sum()) * is_word]}
+        return pa.table(made, pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())]))
+
+    sent = texts.groupBy("chunk").applyInArrow(send, "owner long, chunk long, keys binary, counts binary")
+    return sent.groupBy("owner").applyInArrow(answer, "chunk long, owner long, counts binary, tokens long, words long")
+
+
+def probabilities(counts: list[np.ndarray], context: list[np.ndarray], has: np.ndarray, total: int, strength: tuple[float, float]) -> np.ndarray:
+    """log10 p of each token along its path.
+
+    ``counts``: of the word, bigram and trigram that end in it; ``context``: of the
+    one and two words before; ``has``: whether there are two.  Without an arc the
+    count is 0, and what is left is the failure arc's weight times the lower
+    state's probability; a context that was never seen is no state and weighs 1.
+    """
+    p = (counts[0] + 1) / total
+    p = (counts[1] + strength[0] * p) / (context[0] + strength[0])
+    return np.log10(np.where(has, (counts[2] + strength[1] * p) / (context[1] + strength[1]), p))
 
 
-def score_texts(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", strength: tuple[float, float] = STRENGTH) -> DataFrame:
     """Scores of all texts by a model of those where ``training`` holds.
 
     Columns: ``id_col, training, n_tokens, n_known, train_tokens, base_score,
@@ -164,90 +189,56 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", id_col: s
     ones; ``n_known`` counts tokens with c > 0.  ``score`` is the automaton's log10
     probability.  A null text counts as empty, which has one token, the end.  A null
     ``training`` is false.  Without training texts every token has probability 1 /
-    (0 + 0 + 1).  Null and repeated ids stay, each row is scored; other columns are
-    not looked at.
+    (0 + 0 + 1).  Null and repeated ids stay, each row is scored; texts of any length
+    are scored whole; other columns are not looked at.
+
+    N-grams are told apart by hashes of so many bits that one in a million shares
+    its hash with another.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("body"), F.coalesce(training, F.lit(False)).alias("train"))
-    spark, id_type = docs.sparkSession, rows.schema["id"].dataType.simpleString()
-    counts = materialize(_count(rows, lambda hashes, first: (hashes,), lambda keys: (keys,), "h long"), "words")
-    twice = spark.sparkContext.broadcast(_sieve(counts.where(F.col("c") >= LEAST).select("h")))
-    pairs = _count(rows, lambda hashes, first: _pairs(hashes, first, twice.value), lambda keys, before: (before, keys ^ _turned(before)), "before long, word long")
-    pairs = materialize(pairs.where(F.col("c") >= LEAST), "bigrams")
-    row = counts.agg(F.sum("c"), F.count("*")).first()
-    tokens, distinct = row[0] or 0, row[1]
-    total, least, cached = tokens + distinct + 1, max(1, tokens * LEXICON), max(LEAST, tokens * CACHED)
-
-    followed = _beside(pairs, counts.select(F.col("h").alias("word"), F.col("c").alias("n"), ((F.col("c") + 1) / F.lit(float(total))).alias("one")), "word", least)
-    left = followed.groupBy("before").agg(F.sum(F.col("c") - DISCOUNT).alias("spent"), F.sum("one").alias("seen"))
-    fail = F.log10((1 - F.col("spent") / F.col("n")) / (1 - F.col("seen")))
-    contexts = left.join(counts.select(F.col("h").alias("before"), F.col("c").alias("n")), "before").select("before", "n", fail.alias("fail"))
-    contexts = materialize(contexts, "contexts")
-    weight = F.log10((F.col("c") - DISCOUNT) / F.col("m")) - F.log10("one") - F.col("fail")
-    arcs = _beside(followed, contexts.withColumn("m", F.col("n")), "before", least)
-    arcs = materialize(arcs.select(_arc(F.col("before"), F.col("word")).alias("h"), "c", weight.alias("more")), "arcs")
-
-    top = counts.where(F.col("c") >= least).orderBy("h").toArrow()
-    kept = contexts.where(F.col("n") >= least).toArrow()
-    near = arcs.where(F.col("c") >= cached).toArrow()
-
-    def sorted_by_hash(table: pa.Table, *names: str) -> list[np.ndarray]:
-        out = [table.column(n).to_numpy() for n in names]
-        out[0] = out[0].view(np.uint64)
-        order = np.argsort(out[0])
-        return [x[order] for x in out]
-
-    known, times = sorted_by_hash(top, "h", "c")
-    before, back = sorted_by_hash(kept, "before", "fail")
-    fails = np.zeros(len(known) + 1)  # the last entries are for words outside the lexicon, at -1
-    fails[_find(known, before)] = back
-    fails[-1] = 0.0
-    root = np.log10(np.append(times + 1, 1) / total)
-    model = spark.sparkContext.broadcast(Model(known, root, fails, *sorted_by_hash(near, "h", "more"), _sieve(arcs.where(F.col("c") < cached).select("h")), cached <= LEAST))
-
-    def walk(batches):
-        m = model.value
-        for batch in batches:
-            bodies = column(batch, "body")
-            for lo, hi in chunks(bodies):
-                w = words(bodies.slice(lo, hi - lo))
-                hashes, first = _with_ends(w.hashes, w.first)
-                keys, _ = _pairs(hashes, first)
-                ids, at = _find(m.words, hashes), _find(m.arcs, keys)
-                arc = np.append(m.more, 0.0)[at]
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (ids >= 0, m.root[ids], m.fail[ids] + arc)]
-                known, base, more = (x[first[1:]] - x[first[:-1]] for x in sums)
-                rare, cut, times = [], [0], []
-                far = (ids < 0, hashes), ((at < 0) & _passes(m.sieve, keys), keys)
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    for out, key in far[: 1 if m.whole else 2]:
-                        own, n = np.unique(key[a:b][out[a:b]], return_counts=True)
-                        rare.append(own)
-                        times.append(n)
-                    cut.append(cut[-1] + sum(map(len, rare[-1 if m.whole else -2 :])))
-                cut = np.array(cut)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(base + more), lists(np.concatenate(rare).view(np.int64), cut, pa.int64()), lists(np.concatenate(times), cut, pa.int32())],
-                    ["id", "train", "n", "known", "base", "score", "rare", "times"],
-                )
-
-    walked = rows.mapInArrow(walk, f"id {id_type}, train boolean, n long, known long, base double, score double, rare array<long>, times array<int>")
-    walked = materialize(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-
-    apart = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("n"))
-    # What rare words have above unseen ones, failure weights of rare contexts, and rare arcs.
-    rare = counts.where(F.col("c") < least).select("h", F.log10(F.col("c") + 1).alias("root"), F.lit(0.0).alias("more"), F.lit(1).alias("seen"))
-    for table, h, value in ((contexts.where(F.col("n") < least), "before", "fail"), (arcs.where(F.col("c") < cached), "h", "more")):
-        rare = rare.unionByName(table.select(F.col(h).alias("h"), F.lit(0.0).alias("root"), F.col(value).alias("more"), F.lit(0).alias("seen")))
-    n = F.col("n")
-    sums = apart.join(rare, "h").groupBy("row").agg(F.sum(n * F.col("root")).alias("root"), F.sum(n * F.col("more")).alias("more"), F.sum(n * F.col("seen")).alias("seen"))
-    out = walked.drop("rare", "times").join(sums, "row", "left")
-    root, more, seen = F.coalesce("root", F.lit(0.0)), F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
+    id_type = rows.schema["id"].dataType.simpleString()
+    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bits = min(64, max(LEAST_BITS, 20 + math.ceil(math.log2(size / 4 + 1))))
+    texts = bucketed(_pieces(rows, id_type), "chunk", -(-size // CHUNK), "texts")
+    answers = materialize(_counted(texts, bits, max(1, -(-size // (4 * OWNED)))), "counts")
+    found = answers.where("chunk is null").agg(F.sum("tokens"), F.sum("words")).first()
+    tokens, total = found[0] or 0, (found[0] or 0) + (found[1] or 0) + 1
+
+    def walk(left, right):
+        state("language_model")
+        t = _tokens(left, bits)
+        right = right.sort_by("owner")
+        every = np.concatenate([sk.decode_counts(b.as_py()) for b in right.column("counts")])
+        counts, at = [], 0
+        for order in range(3):
+            keys, place = _distinct(t, order)
+            c = every[at : at + len(keys)][place]
+            at += len(keys)
+            full = np.zeros(len(t.doc), np.int64)
+            full[t.has[order]] = c[: int(t.has[order].sum())]
+            counts.append(full)
+            if order == 0:
+                end = c[-1]
+        begins = np.diff(t.doc, prepend=-1) != 0
+        one, two = (np.concatenate([[0], c])[:-1] for c in counts[:2])
+        one[begins] = end
+        logs = probabilities(counts, [one, two], t.has[2], total, strength)
+        doc, n = t.doc[t.scored], len(left)
+        base = np.log10((counts[0] + 1) / total)
+        cols = [left.column("row"), left.column("id"), left.column("train"), np.bincount(doc, minlength=n), np.bincount(doc, counts[0][t.scored] > 0, n).astype(np.int64), *(np.bincount(doc, x[t.scored], n).astype(np.float64) for x in (base, logs))]
+        return pa.table(cols, ["row", "id", "train", "n", "known", "base", "score"])
+
+    schema = f"row long, id {id_type}, train boolean, n long, known long, base double, score double"
+    walked = texts.groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk")).applyInArrow(walk, schema)
+    walked = materialize(walked, "walked")
+    discard(texts, answers)
+    out = walked.groupBy("row").agg(F.first("id").alias("id"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
     return out.select(
         F.col("id").alias(id_col),
         F.col("train").alias("training"),
         F.col("n").alias("n_tokens"),
-        (F.col("known") + seen).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + root).alias("base_score"),
-        (F.col("score") + root + more).alias("score"),
+        F.col("base").alias("base_score"),
+        F.col("score"),
     )

@@ -222,3 +222,36 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
         col = col.cast(pa.string())
     return col.fill_null("")
+
+
+def cut_text(raw: bytes, most: int, lead: int) -> Iterator[tuple[bytes, int]]:
+    """Parts of a text of about ``most`` bytes, cut at separators; each begins with the last ``lead`` words before it.
+
+    Yields a part and how many such words it begins with.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    lo = 0
+    while True:
+        hi = lo + most
+        if hi < len(raw):
+            near = np.flatnonzero(_SEPARATOR[data[lo + 1 : hi]])
+            if len(near):
+                hi = lo + 1 + int(near[-1])
+            else:
+                while hi < len(raw) and not _SEPARATOR[data[hi : hi + most]].any():
+                    hi += most
+                near = np.flatnonzero(_SEPARATOR[data[hi : hi + most]])
+                hi = hi + int(near[0]) if len(near) else len(raw)
+        before: list[bytes] = []
+        end = lo
+        while len(before) < lead:
+            end = len(raw[:end].rstrip(b" \t\n\x0b\f\r")) if end else 0
+            if not end:
+                break
+            start = max(raw.rfind(s, 0, end) for s in (b" ", b"\t", b"\n", b"\x0b", b"\f", b"\r")) + 1
+            before.insert(0, raw[start:end])
+            end = start
+        yield b" ".join([*before, raw[lo:hi]]), len(before)
+        if hi >= len(raw):
+            return
+        lo = hi
