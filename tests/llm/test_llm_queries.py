@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.oracle import connect, differences
-from vertexflow.llm import catalog
+from vertexflow.llm import catalog, secrets
 
 SF = "/root/testdata/sf0.01"
 QUERIES = catalog.queries()
@@ -44,11 +44,37 @@ def test_token_counts_are_the_librarys(spark, docs):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 1024)
 
 
+def _windows(scanner, t, taken):
+    """Model spans by trying all windows of all runs, one after the other."""
+    letters, out = " " + secrets.ALPHABET, []
+
+    def best(s, e):
+        found = None
+        for a in range(s, e):
+            total = 0.0
+            for b in range(a, e):
+                total += scanner.ratios[letters.index(t[b - 1]) if b > run else 0, letters.index(t[b])]
+                if b + 1 - a >= secrets.WINDOW and total >= scanner.threshold and (found is None or total > found[0] + 1e-9):
+                    found = total, a, b + 1
+        if found:
+            _, a, b = found
+            yield a, b
+            yield from best(s, a)
+            yield from best(b, e)
+
+    for m in re.finditer(r"[A-Za-z0-9+/=_.-]{8,}", t):
+        run = m.start()
+        gains = sum(max(0.0, scanner.ratios[letters.index(t[i - 1]) if i > run else 0, letters.index(t[i])]) for i in range(*m.span()))
+        if gains >= scanner.threshold:
+            out += [(a, b) for a, b in best(*m.span()) if not any(a < e and s < b for s, e in taken)]
+    return out
+
+
 def test_secret_spans(spark, docs):
     import hashlib
 
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-    total = 0
+    total, scanner = 0, secrets.Scanner(secrets.default_samples())
     for r in QUERIES["op3_secret_scan"](spark, SF).collect():
         t = docs[r.doc_id]
         spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
@@ -56,7 +82,9 @@ def test_secret_spans(spark, docs):
         spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
-        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+        more = _windows(scanner, t, [(s, e) for s, _, _, e in spans])
+        assert r.n_markov == len(more)
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted([*spans, *((s, 3, "markov", e) for s, e in more)]))
         total += len(spans)
     assert total
 
@@ -117,27 +145,25 @@ def test_language_model_against_brute_force(spark, docs):
     tokens = {d: [*words(t), None] for d, t in docs.items()}
     train = [d for d in docs if zlib.crc32(str(d).encode()) % 7 != 2]
     c = Counter(w for d in train for w in tokens[d])
+    pairs = Counter(p for d in train for p in zip([None, *tokens[d]], tokens[d], strict=False))
+    threes = Counter(p for d in train for p in zip([None, *tokens[d]], tokens[d], tokens[d][1:], strict=False))
     n, v = sum(c.values()), len(c)
-    pairs = Counter(p for d in train for p in zip([None, *tokens[d]], tokens[d], strict=False) if min(c[p[0]], c[p[1]]) >= n * lm.CONTEXT)
-    pairs = {p: k for p, k in pairs.items() if k >= max(lm.LEAST, n * lm.ARCS)}
-    one = {w: (k + 1) / (n + v + 1) for w, k in c.items()}
-    spent, seen = Counter(), Counter()
-    for (a, b), k in pairs.items():
-        spent[a] += (k - lm.DISCOUNT) / c[a]
-        seen[a] += one[b]
-
-    def p(a, b):
-        if (a, b) in pairs:
-            return (pairs[a, b] - lm.DISCOUNT) / c[a]
-        return (1 - spent[a]) / (1 - seen[a]) * one.get(b, 1 / (n + v + 1))
-
-    for a in [None, "the", "nosuchword"]:
-        assert sum(p(a, b) for b in c) + p(a, "nosuchword") == pytest.approx(1)
+    s2, s3 = lm.STRENGTH
+
+    def p(w, b, a=()):
+        one = (c[w] + 1) / (n + v + 1)
+        two = (pairs[b, w] + s2 * one) / (c[b] + s2)
+        return two if a == () else (threes[a, b, w] + s3 * two) / (pairs[a, b] + s3)
+
+    for h in [(None,), ("the",), ("nosuchword",), ("de", None), ("la", "de"), ("nosuchword", "the"), ("of", "nosuchword")]:
+        assert sum(p(w, *h) for w in c) + p("nosuchword", *h) == pytest.approx(1)
     for r in QUERIES["op10_language_model"](spark, SF).collect():
         own = tokens[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in c for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10(one.get(w, 1 / (n + v + 1))) for w in own))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *own], own, strict=False)))
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
+        score = math.log10(p(own[0], None)) + sum(math.log10(p(w, b, a)) for a, b, w in zip([None, *own], own, own[1:], strict=False))
+        assert r.score == pytest.approx(score, rel=1e-6)
 
 
 def test_pipeline_against_plain_stages(spark, con, docs):
