@@ -5,12 +5,14 @@ pieces' lengths are packed; ids are needed for their checksum alone.  A full pie
 is a bin of its own.  The others are packed in rounds:
 
 *   Each partition runs best-fit decreasing on its pieces and computes a lower
-    bound on its bins from dual feasible functions, which certifies the partition
-    if it needed no more.  Full bins stand; where all gaps together are less than
-    one bin, so do all bins but the emptiest.
-*   The pieces of all other bins are exchanged: they are dealt over fewer
-    partitions, together with those of others, and best-fit decreasing runs again,
-    until one partition is left or their number falls no more.
+    bound on its bins from dual feasible functions.  A partition that needed no
+    more is certified: its bins stand, and only the emptiest goes on.
+*   Partitions with a gap between bins and bound exchange documents: the pieces of
+    all their bins that aren't full are dealt over fewer partitions, with the
+    emptiest bins of the certified ones, and best-fit decreasing runs again.
+*   The bound of all pieces together, from their histogram, ends the rounds as
+    soon as it is met.  If it isn't when partitions have become one or grow no fewer,
+    certified partitions that have room for a bin or more exchange theirs as well.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
 
 from .pieces import encode, load, table
 from .text import chunks, column, spaced
+from .worker import state
 
 #: Pieces that one partition packs.
 PACKED = 200_000
@@ -64,6 +67,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
         return out
 
     def cut(batches):
+        state("pieces")
         for batch in batches:
             bodies = column(batch, "body")
             at, piece, start, length, crc = [], [], [], [], []
@@ -110,15 +114,17 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Bins that any packing needs, by dual feasible functions.
+    """Bins that any packing needs, by dual feasible functions."""
+    return _bound(np.bincount(lengths, minlength=size + 1), size)
+
+
+def _bound(count: np.ndarray, size: int) -> int:
+    """The bound from how many pieces have each length.
 
     One family raises lengths over size - k to a whole bin and drops those below
     k; the other rounds (m + 1) * length / size down to steps of 1 / m.  Both map a
     bin's content to one bin at most, so the sum is a bound for each parameter.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1)
     length = np.arange(size + 1)
     weight = count * length
     below = np.concatenate([[0], np.cumsum(weight)])  # below[x]: total of lengths < x
@@ -133,19 +139,25 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def _packer(size: int, last: bool):
-    """One partition's packing; ``open`` marks the pieces that are exchanged."""
+def bin_bound(pieces: DataFrame, size: int = 2048) -> int:
+    """Bins that any packing of all pieces needs; at most ``size`` counts come to the driver."""
+    rows = pieces.groupBy("length").count().collect()
+    return _bound(np.bincount([r[0] for r in rows], [r[1] for r in rows], size + 1).astype(np.int64), size)
+
+
+def _packer(size: int):
+    """One partition's packing; ``open``: what is exchanged; ``roomy``: what a certified partition may exchange later."""
 
     def run(key, group):
         lengths = group.column("length").to_numpy()
         bins, offsets = best_fit(lengths, size)
         filled = np.bincount(bins, weights=lengths).astype(np.int64)
-        certified, spent = len(filled) == lower_bound(lengths, size), len(filled) * size - int(filled.sum()) < size
-        loose = filled < size
-        if spent:  # only the emptiest bin has room that others could use
-            loose &= np.arange(len(filled)) == filled.argmin()
-        exchanged = np.zeros(len(bins), bool) if last else loose[bins]
-        for name, values in (("bin", bins), ("offset", offsets), ("open", exchanged), ("certified", np.full(len(bins), certified))):
+        certified = len(filled) == lower_bound(lengths, size)
+        gaps = filled < size
+        emptiest = gaps & (np.arange(len(filled)) == filled.argmin())
+        opened = emptiest if certified else gaps
+        roomy = gaps & ~opened & (len(filled) * size - int(filled.sum()) >= size)
+        for name, values in (("bin", bins), ("offset", offsets), ("open", opened[bins]), ("roomy", roomy[bins]), ("certified", np.full(len(bins), certified))):
             group = group.append_column(name, pa.array(values))
         return group
 
@@ -156,25 +168,45 @@ def pack_pieces(pieces: DataFrame, size: int = 2048, packed: int = PACKED) -> Da
     """``pieces`` with ``sequence_id, offset, certified``; needs a column ``length`` of 1 to ``size``.
 
     ``certified`` says that the piece's partition used no more bins than any
-    packing of its pieces must.
+    packing of its pieces must, or that all partitions together did.
     """
     names = pieces.columns
-    full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
-    done = full.withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
-    left, parts, number = pieces.where(F.col("length") < size), None, 0
-    while count := left.count():
-        now = -(-count // packed)
-        last = now == 1 or (parts is not None and now >= parts)
-        parts = now
-        dealt = left.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin long, offset long, open boolean, certified boolean"
-        result = materialize(dealt.groupBy("group").applyInArrow(_packer(size, last), schema), "packed")
-        stands = result.where("not open").withColumn("sequence_id", F.lit(number << 52) + F.col("group") * (1 << 24) + F.col("bin"))
-        done = done.unionByName(stands.select(*names, "sequence_id", "offset", "certified"))
-        if last:
-            break
-        left, number = result.where("open").select(*names), number + 1
-    return done
+    bound = bin_bound(pieces, size)
+    full = pieces.where(F.col("length") == size).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    full = full.withColumns({"open": F.lit(False), "roomy": F.lit(False)})
+    number, held = 0, []
+
+    def rounds(left: DataFrame, done: DataFrame) -> DataFrame:
+        nonlocal number
+        parts, stood = None, _bins(done)
+        while count := left.count():
+            now = -(-count // packed)
+            last = now == 1 or (parts is not None and now >= parts)
+            parts, number = now, number + 1
+            dealt = left.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin long, offset long, open boolean, roomy boolean, certified boolean"
+            made = materialize(dealt.groupBy("group").applyInArrow(_packer(size), schema), "packed")
+            held.append(made)
+            made = made.withColumn("sequence_id", F.lit(number << 52) + F.col("group") * (1 << 24) + F.col("bin")).select(done.columns)
+            if last or stood + _bins(made) == bound:
+                return done.unionByName(made)
+            done, left = done.unionByName(made.where("not open")), made.where("open").select(*names)
+            stood = _bins(done)
+        return done
+
+    placed = rounds(pieces.where(F.col("length") < size), full)
+    now = _bins(placed)
+    if now > bound and _bins(placed.where("roomy")):
+        again = rounds(placed.where("roomy or open").select(*names), placed.where("not roomy and not open"))
+        if (fewer := _bins(again)) < now:
+            placed, now = again, fewer
+    out = materialize(placed.select(*names, "sequence_id", "offset", F.lit(True).alias("certified") if now == bound else "certified"), "sequences")
+    discard(*held)
+    return out
+
+
+def _bins(placed: DataFrame) -> int:
+    return placed.where("offset = 0").count()
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -190,4 +222,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("body"))
     pieces = materialize(cut_documents(rows, tokenizer, size, end_id), "pieces")
     out = pack_pieces(pieces, size)
+    discard(pieces)
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset", "certified")
