@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
+
+from .worker import state
 
 #: Vectors that centroids are fitted on: those with the least hashes of their ids.
 SAMPLE = 65_536
@@ -32,6 +34,8 @@ SAMPLE = 65_536
 LEAF = 64
 #: Neighbours of a centroid in the graph, and centroids that a search keeps in view.
 DEGREE, VIEW = 16, 32
+#: Centroids in view, and vectors together, where vectors are put into lists.
+PLACED, TOGETHER = 12, 512
 #: Most lists that hold a vector, and how much farther than the nearest they may be.
 REPLICAS, BOUNDARY = 2, 1.1
 #: How much farther than the nearest the lists that a query reads may be.  There is no limit to their number.
@@ -40,7 +44,14 @@ RATIO = 1.75
 SLICE = 4_096
 
 
+def _level(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    largest = np.abs(x).max(1, initial=0.0)
+    return np.ldexp(x, -np.frexp(largest)[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _level(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -81,6 +92,10 @@ class CentroidGraph:
             links.append(np.argpartition(-near, k - 1, axis=1)[:, :k])
         links = np.concatenate(links) if links else np.zeros((0, 1), np.int64)
         self.links = np.hstack([links, rng.integers(0, max(n, 1), (n, 4))])
+        order = np.argsort(self.links, axis=1, kind="stable")
+        ranked = np.take_along_axis(self.links, order, 1)
+        self.doubles = np.zeros(self.links.shape, bool)  # a far link may be a near one too
+        np.put_along_axis(self.doubles[:, :], order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
         self.entries = rng.choice(n, min(n, 16), replace=False) if n else np.zeros(0, np.int64)
 
     def search(self, x: np.ndarray, view: int = VIEW, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +132,54 @@ class CentroidGraph:
         return order, dist[order]
 
 
-def _lists(graph: CentroidGraph, x: np.ndarray, most: int | None, ratio: float) -> np.ndarray:
-    """Lists for one unit vector: the nearest, and others whose distance is within ``ratio`` of its."""
-    c, d = graph.search(x, VIEW, 1.0 if most else ratio)
-    within = max(1, int(np.searchsorted(d, max(d[0], 1e-6) * ratio, "right")))
-    return c[: min(most or within, within)]
+    def search_many(self, x: np.ndarray, view: int = PLACED) -> tuple[np.ndarray, np.ndarray]:
+        """About the ``view`` nearest centroids of each unit vector, by distance, and the distances.
+
+        The same best-first search for many vectors in step: each looks along the
+        links of the nearest centroid in its view that it hasn't left yet, until there is none.
+        """
+        m, every = len(x), np.arange(len(x))
+        seen = np.zeros((m, len(self.centroids)), bool)
+        seen[:, self.entries] = True
+        view = min(view, len(self.centroids))
+        ids = np.tile(self.entries, (m, 1))
+        dist = 1 - x @ self.centroids[self.entries].T
+        left = np.zeros(ids.shape, bool)
+        while True:
+            ahead = np.where(left, np.inf, dist)
+            at = ahead.argmin(1)
+            go = every[np.isfinite(ahead[every, at])]
+            if not len(go):
+                order = np.argsort(dist, axis=1, kind="stable")[:, :view]
+                return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+            left[go, at[go]] = True
+            new = self.links[ids[go, at[go]]]
+            found = 1 - np.matmul(self.centroids[new], x[go][:, :, None])[:, :, 0]
+            found[seen[go[:, None], new]] = np.inf
+            seen[go[:, None], new] = True
+            found[self.doubles[ids[go, at[go]]]] = np.inf
+            more_ids, more = np.zeros((m, new.shape[1]), np.int64), np.full((m, new.shape[1]), np.inf)
+            more_ids[go], more[go] = new, found
+            ids, dist, left = np.hstack([ids, more_ids]), np.hstack([dist, more]), np.hstack([left, np.zeros(more.shape, bool)])
+            keep = np.argpartition(dist, view - 1, axis=1)[:, :view]
+            ids, dist, left = (np.take_along_axis(v, keep, 1) for v in (ids, dist, left))
+
+
+def _near_lists(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
+    """Lists that hold each unit vector: the nearest, and REPLICAS at most within BOUNDARY of its distance."""
+    out = []
+    for lo in range(0, len(x), TOGETHER):
+        c, d = graph.search_many(x[lo : lo + TOGETHER])
+        fine = d <= np.maximum(d[:, :1], 1e-6) * BOUNDARY
+        fine[:, 0], fine[:, REPLICAS:] = True, False
+        out += [own[f] for own, f in zip(c, fine, strict=True)]
+    return out
+
+
+def _read_lists(graph: CentroidGraph, x: np.ndarray) -> np.ndarray:
+    """Lists that a query reads: those within RATIO of the nearest one's distance."""
+    c, d = graph.search(x, VIEW, RATIO)
+    return c[: max(1, int(np.searchsorted(d, max(d[0], 1e-6) * RATIO, "right")))]
 
 
 def _valid(embedding: str) -> Column:
@@ -135,7 +193,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; equal rows get equal values whatever their places."""
+    """Cosines in double precision of levelled vectors; equal rows get equal values whatever their places."""
     return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
 
 
@@ -163,9 +221,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
     are all rows but the query's own.  Ranks begin at 1, ties go to the smaller id.
     Rows without an id, and vectors that are null, zero, or hold null or non-finite
     components take no part; nor do vectors of another length than most rows'.
+    Finite components may be as large or small as doubles go.
     With fewer candidates than ``k`` all that are found come back.  Rows that repeat
-    an id are candidates each, but never of their own id.  An empty table gives an
-    empty result; other columns are not looked at.
+    an id are candidates each, but never of their own id, and queries each.  An
+    empty table gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
@@ -178,14 +237,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
     shared = spark.sparkContext.broadcast(graph)
 
     def hold(batches):
+        state("vector_search")
         for batch in batches:
             unit = _unit(_matrix(batch.column(1)) if len(batch) else np.zeros((0, dims))).astype(np.float32)
-            own = [_lists(shared.value, u, REPLICAS, BOUNDARY) for u in unit]
+            own = _near_lists(shared.value, unit)
             at = np.repeat(np.arange(len(own)), [len(x) for x in own]) if own else np.zeros(0, np.int64)
             take = pa.array(at.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *own])), batch.column(2).take(take)], ["id", "v", "list", "row"])
 
-    held = materialize(rows.mapInArrow(hold, f"id long, v {kind}, list long"), "lists")
+    numbered = rows.select("id", "v", F.monotonically_increasing_id().alias("row"))
+    held = materialize(numbered.mapInArrow(hold, f"id long, v {kind}, list long, row long"), "lists")
     shelves = _shelves(held)
     placed = held.join(F.broadcast(spark.createDataFrame([(c, s, n) for c, (s, n, _) in shelves.items()], "list long, shelf int, slices int")), "list")
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
@@ -194,7 +255,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
     enough = REPLICAS * (k + 1)  # k others with unique ids and the query's own, each in all its lists
 
     def read(u: np.ndarray) -> list[int]:
-        lists = [c for c in _lists(shared.value, u, None, RATIO).tolist() if c in where.value]
+        lists = [c for c in _read_lists(shared.value, u).tolist() if c in where.value]
         total = sum(where.value[c][2] for c in lists)
         if total < enough:
             taken = set(lists)
@@ -207,6 +268,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
         return lists
 
     def ask(batches):
+        state("vector_search")
         for batch in batches:
             at, shelf, slices, asked = [], [], [], []
             for i, u in enumerate(_unit(_matrix(batch.column(1)) if len(batch) else np.zeros((0, dims))).astype(np.float32)):
@@ -220,33 +282,39 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, embedding: str = "e
                         slices.append(k)
                         asked.append(lists)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(shelf, pa.int32()), pa.array(slices, pa.int32()), pa.array(asked, pa.list_(pa.int64()))], ["id", "v", "shelf", "slice", "asked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(shelf, pa.int32()), pa.array(slices, pa.int32()), pa.array(asked, pa.list_(pa.int64()))], ["id", "v", "row", "shelf", "slice", "asked"])
 
-    asks = rows.where("q").mapInArrow(ask, f"id long, v {kind}, shelf int, slice int, asked array<long>").withColumn("list", F.lit(-1).cast("long"))
-    both = placed.select("shelf", "slice", "id", "v", "list", F.lit(None).cast("array<long>").alias("asked")).unionByName(asks)
+    asking = rows.where("q").select("id", "v", F.monotonically_increasing_id().alias("row"))
+    asks = asking.mapInArrow(ask, f"id long, v {kind}, row long, shelf int, slice int, asked array<long>").withColumn("list", F.lit(-1).cast("long"))
+    both = placed.select("shelf", "slice", "id", "v", "list", "row", F.lit(None).cast("array<long>").alias("asked")).unionByName(asks)
 
     def search(key, table):
+        state("vector_search")
         own = np.array([x is None for x in table.column("asked").to_pylist()], bool)
-        every, x = table.column("id").to_numpy(), _matrix(table.column("v").combine_chunks())
-        ids, stored, lists = every[own], x[own], table.column("list").to_numpy()[own]
-        order = np.argsort(ids, kind="stable")
-        ids, stored, lists = ids[order], stored[order], lists[order]
-        unit, ask_ids, ask_x = _unit(stored), every[~own], x[~own]
+        every, x = table.column("id").to_numpy(), _level(_matrix(table.column("v").combine_chunks()))
+        ids, numbers, stored, lists = every[own], table.column("row").to_numpy()[own], x[own], table.column("list").to_numpy()[own]
+        order = np.lexsort((numbers, ids))
+        ids, numbers, stored, lists = ids[order], numbers[order], stored[order], lists[order]
+        unit, ask_ids, ask_rows, ask_x = _unit(stored), every[~own], table.column("row").to_numpy()[~own], x[~own]
         asked = [a for a in table.column("asked").to_pylist() if a is not None]
         wanted = np.zeros(int(lists.max(initial=-1)) + 1, bool)
-        out: list[tuple[int, int, float]] = []
-        for query, v, read in zip(ask_ids.tolist(), ask_x, asked, strict=True):
+        out: list[tuple[int, int, int, int, float]] = []
+        for query, number, v, read in zip(ask_ids.tolist(), ask_rows.tolist(), ask_x, asked, strict=True):
             wanted[:] = False
             wanted[[c for c in read if c < len(wanted)]] = True
             other = np.flatnonzero(wanted[lists] & (ids != query))
-            most = k * REPLICAS  # a vector may be here once in each of its lists
-            if len(other) > most:  # all that may be among the first, with room for the product's rounding
+            other = other[np.unique(numbers[other], return_index=True)[1]]  # a vector may be here once in each of its lists
+            if len(other) > k:  # all that may be among the first, with room for the product's rounding
                 rough = unit[other] @ (v / np.linalg.norm(v))
-                other = other[rough >= np.partition(rough, -most)[-most] - 1e-9]
-            best = sorted({(-s, i) for s, i in zip(cosines(v, stored[other]).tolist(), ids[other].tolist(), strict=True)})[:k]
-            out += [(query, i, -s) for s, i in best]
-        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
-
-    found = both.groupBy("shelf", "slice").applyInArrow(search, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                other = other[rough >= np.partition(rough, -k)[-k] - 1e-9]
+            best = sorted((-s, i, n) for s, i, n in zip(cosines(v, stored[other]).tolist(), ids[other].tolist(), numbers[other].tolist(), strict=True))[:k]
+            out += [(query, number, i, n, -s) for s, i, n in best]
+        kinds = [("query_id", pa.int64()), ("asking", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())]
+        return pa.table({name: pa.array([o[c] for o in out], kind) for c, (name, kind) in enumerate(kinds)})
+
+    # A vector comes back from each shelf that has one of its lists.
+    found = both.groupBy("shelf", "slice").applyInArrow(search, "query_id long, asking long, vec_id long, row long, score double").distinct()
+    rank = F.row_number().over(W.partitionBy("asking").orderBy(F.desc("score"), "vec_id", "row"))
+    out = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(held)
+    return out
