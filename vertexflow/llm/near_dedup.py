@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from vertexflow.operators.components import components
 from vertexflow.storage import discard, materialize
 
+from .joins import join_hot
 from .text import chunks, column, lists, mix, shingles, words
 from .worker import state
 
@@ -41,6 +42,8 @@ JOINT_STEPS = 12
 TABLE_ROWS = 16_384
 #: Shingles that are walked together.
 WALKED = 1 << 17
+#: Pairs of one document for each copy of its set.
+SPLIT = 1_000
 #: Members of a bucket that meet those of another block in one task.
 BLOCK = 512
 
@@ -190,7 +193,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    ``size`` bounds the pairs of b; its set is copied for every SPLIT of them, so that
+    those of one b are spread over tasks.
+    """
 
     def check(batches):
         state("near_dedup")
@@ -199,9 +206,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    salts = F.ceil(F.col("size") / SPLIT).cast("int")
+    copies = pairs.groupBy("b").agg(F.max(salts).alias("salts"))
     one = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
-    two = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(check, "a long, b long")
+    two = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb")).join(copies, "b")
+    two = two.select("b", "pb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
+    return salted.join(one, "a").join(two, ["b", "salt"]).select("a", "b", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,28 +273,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     bands, rows = bands_for(percent)
     bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     signed = materialize(_signed(bodies, size, bands, rows), "signed")
-    some = signed.where("n > 0 and id is not null")
-    reps = materialize(some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
-    distinct = signed.where("n > 0").join(reps.withColumnRenamed("rep", "id"), ["s1", "s2", "n", "id"], "left_semi")
+    total = signed.count()
+    some, alike = signed.where("n > 0 and id is not null"), ["s1", "s2", "n"]
+    reps = materialize(some.groupBy(*alike).agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
+    distinct = signed.where("n > 0").join(reps.select(*alike, F.col("rep").alias("id")), [*alike, "id"], "left_semi")
     bucketed = distinct.select("id", "n", F.explode("keys").alias("key"))
     least = bucketed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(bucketed.join(least, "key").select("key", "id", "n", F.col("least.id").alias("head"), F.col("least.n").alias("m"), "size"), "members")
+    heads = least.select("key", F.col("least.id").alias("head"), F.col("least.n").alias("m"), "size", F.col("size").alias("rows"))
+    members = materialize(join_hot(bucketed, materialize(heads, "heads"), "key", "rows", total * bands), "members")
 
-    stars = members.where(f"id != head and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    stars = members.where(f"id != head and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.max("size").alias("size"))
     stars = materialize(stars, "stars")
     within = members.where("size > 2").select("id").union(stars.select(F.col("a").alias("id"))).union(stars.select(F.col("b").alias("id"))).distinct()
     sets = materialize(_sets(bodies.join(within, "id", "left_semi"), size), "sets")
     links = materialize(_confirm(stars, sets, percent), "links")
     roots = components(links, "a", "b")
 
-    grouped = members.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    loose = grouped.join(mixed, "key", "left_semi").where("id != head").select("key", "id", "root", "size")
-    more = materialize(_block_links(materialize(loose, "loose"), sets, percent), "more")
-    own = some.join(reps, ["s1", "s2", "n"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    grouped = materialize(members.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "grouped")
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
+    loose = materialize(join_hot(grouped, mixed, "key", "rows", total * bands).where("id != head").select("key", "id", "root", "size"), "loose")
+    more = materialize(_block_links(loose, sets, percent), "more")
+    own = join_hot(some, reps, alike, "rows", total).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     final = components(links.union(more).union(own.select("a", "b")), "a", "b")
 
-    joined = signed.select("id", "n", "s1", "s2").join(reps, ["s1", "s2", "n"], "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    group = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
-    out = joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), group).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    classes = materialize(reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*alike, F.coalesce("root", "rep").alias("root"), "rows"), "roots")
+    full = signed.select("id", *alike)
+    joined = join_hot(full.where("n > 0"), classes, alike, "rows", total, "left").unionByName(full.where("n = 0").withColumn("root", F.lit(None).cast("long")))
+    group = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
+    out = joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"))
+    out = materialize(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "near")
+    discard(signed, reps, members, stars, sets, links, roots, grouped, loose, more, final, classes)
+    return out
