@@ -13,87 +13,77 @@ where the budget ends.
 from __future__ import annotations
 
 import math
-from typing import NamedTuple
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
 
-#: Most sources; their totals are the only thing that comes to the driver.
+from .joins import join_hot
+from .text import fresh
+
+#: Sources whose rows in a table are broadcast; if there are more, only those with many documents are.
 MAX_SOURCES = 100_000
+#: Exponents that one pass over the sources' totals tries, and passes: 33 ** -11 is beyond a double's bits.
+TRIED, PASSES = 32, 11
 #: Hex digits of a document's hash that name its block: 4096 blocks a source.
 BLOCK_DIGITS = 3
 
 
-class Share(NamedTuple):
-    source: str | None
-    tokens: int
-    weight: float
-    quota: float
-    passes: int
-    rest: float
-
-
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
-
-
-def tempered(tokens: list[int], exponent: float) -> list[float]:
-    """Weights in proportion to shares ** exponent; sources without tokens get none."""
-    total = sum(tokens)
-    raw = [(t / total) ** exponent if t else 0.0 for t in tokens]
-    return [r / sum(raw) for r in raw]
-
-
-def _bisect(fits) -> float:
-    """The least exponent in [0, 1] that fits, where all above one that fits do."""
+def least_exponent(fits: Callable[[list[float]], list[bool]]) -> float:
+    """The least exponent in [0, 1] that fits, where all above one that fits do; ``fits`` judges many at once."""
+    if fits([0.0])[0]:
+        return 0.0
     lo, hi = 0.0, 1.0
-    if fits(lo):
-        return lo
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+    for _ in range(PASSES):
+        tried = [lo + (hi - lo) * i / (TRIED + 1) for i in range(1, TRIED + 1)]
+        first = next((i for i, fine in enumerate(fits(tried)) if fine), TRIED)
+        lo, hi = (tried[first - 1] if first else lo), (tried[first] if first < TRIED else hi)
     return hi
 
 
-def exponent_for(tokens: list[int], target_entropy: float | None = None, repetition_limit: float | None = None) -> float:
+def entropies(totals: DataFrame, tokens: int, exponents: list[float]) -> list[float]:
+    """Entropy (nats) of the tempered weights of ``totals`` (column ``n``) for each exponent, in one aggregation."""
+    share = F.col("n") / F.lit(float(tokens))
+    sums = [f(F.pow(share, F.lit(e))) for e in exponents for f in (F.sum, lambda x: F.sum(x * F.log(share)))]
+    row = totals.where("n > 0").agg(*(c.alias(f"c{i}") for i, c in enumerate(sums))).first()
+    return [math.log(row[2 * i]) - e * row[2 * i + 1] / row[2 * i] for i, e in enumerate(exponents)]
+
+
+def exponent_for(totals: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None) -> float:
     """The exponent that meets a target entropy (nats), else the least within a repetition limit.
 
-    The limit holds for the most repeated source against the least repeated one.
-    A target beyond what exponents 0 to 1 reach gives the nearer end.
+    ``totals``: one row for each source, its tokens in ``n``.  The limit holds for
+    the most repeated source against the least repeated one.  A target beyond what
+    exponents 0 to 1 reach gives the nearer end.
     """
-    if not any(tokens):
+    tokens, least, most = totals.where("n > 0").agg(F.sum("n"), F.min("n"), F.max("n")).first()
+    if not tokens:
         return 1.0
     if target_entropy is not None:
-        return _bisect(lambda x: entropy(tempered(tokens, x)) <= target_entropy)
-
-    def within(x: float) -> bool:
-        rates = [w / t for w, t in zip(tempered(tokens, x), tokens, strict=True) if t]
-        return max(rates) <= (repetition_limit or math.inf) * min(rates)
-
-    return _bisect(within)
-
-
-def plan(tokens: dict, target_entropy=None, repetition_limit=None, budget=None) -> list[Share]:
-    """Each source's weight, token quota, whole passes, and tokens of the last, partial pass."""
-    names = sorted(tokens, key=lambda s: (s is not None, s))
-    sizes = [tokens[s] for s in names]
-    if not any(sizes):
-        return [Share(s, 0, 0.0, 0.0, 1, 0.0) for s in names]
-    weights = tempered(sizes, exponent_for(sizes, target_entropy, repetition_limit))
-    if budget is None:
-        budget = max(t / w for t, w in zip(sizes, weights, strict=True) if t)
-    out = []
-    for s, t, w in zip(names, sizes, weights, strict=True):
-        quota = round(w * budget, 3)
-        passes = int(quota // t) if t else 1
-        out.append(Share(s, t, w, quota, passes, round(quota - passes * t, 3)))
-    return out
-
-
-def mix_sources(docs: DataFrame, tokens: str, source: str = "source", id_col: str = "doc_id", target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: int | None = None, seed: int = 0, names: tuple[str, str] = ("weight", "copies")) -> DataFrame:
+        return least_exponent(lambda tried: [h <= target_entropy for h in entropies(totals, tokens, tried)])
+    # A source's rate is share ** (exponent - 1) but for a factor, so the least source is repeated most.
+    spread, limit = math.log(most / least), math.log(repetition_limit) if repetition_limit else math.inf
+    return least_exponent(lambda tried: [(1 - e) * spread <= limit for e in tried])
+
+
+def source_plan(totals: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None) -> DataFrame:
+    """``totals`` with each source's ``weight``, token ``quota``, whole ``passes``, and tokens of the last, partial pass (``rest``)."""
+    exponent = exponent_for(totals, target_entropy, repetition_limit)
+    tokens = totals.agg(F.sum("n")).first()[0] or 1
+    raw = F.when(F.col("n") > 0, F.pow(F.col("n") / F.lit(float(tokens)), F.lit(exponent))).otherwise(0.0)
+    scale, most = totals.agg(F.sum(raw), F.max(F.when(F.col("n") > 0, F.col("n") / raw))).first()
+    weight = raw / F.lit(scale or 1.0)
+    out = totals.withColumn("weight", weight)
+    quota = F.round(F.col("weight") * F.lit(float(budget if budget is not None else (most or 0.0) * (scale or 1.0))), 3)
+    out = out.withColumn("quota", quota)
+    out = out.withColumn("passes", F.when(F.col("n") > 0, F.floor(F.col("quota") / F.col("n"))).otherwise(1).cast("long"))
+    return out.withColumn("rest", F.when(F.col("n") > 0, F.round(F.col("quota") - F.col("passes") * F.col("n"), 3)).otherwise(0.0))
+
+
+def mix_sources(docs: DataFrame, tokens: str, source: str = "source", id_col: str = "doc_id", target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: float | None = None, seed: int = 0, names: tuple[str, str] = ("weight", "copies")) -> DataFrame:
     """``docs`` with the source's weight, and how often the mix holds the row, in columns ``names``.
 
     ``tokens`` names the column of token counts; null counts as 0.  Without
@@ -101,38 +91,43 @@ def mix_sources(docs: DataFrame, tokens: str, source: str = "source", id_col: st
     no row is left out.  A document belongs to the partial pass if the tokens before
     it in its source's permutation are fewer than those left.  The permutation goes
     by the md5 of seed and id; rows without an id come last, equal ids are taken
-    together.  Null is a source like any other.  A source without tokens has
-    weight 0 and each of its rows once.  An empty table gives an empty result.
-    Columns of ``docs`` stay as they are, but old ones of these names are replaced.
+    together.  Null is a source like any other; there may be any number of sources.
+    A source without tokens has weight 0 and each of its rows once.  An empty table
+    gives an empty result.  Columns of ``docs`` stay as they are, whatever their
+    names, but old ones of these names are replaced.
     """
+    docs = docs.drop(*names)
+    key, order, block, own, weight, passes, cut, edge = fresh(docs, "key", "order", "block", "own", "weight", "passes", "cut", "edge")
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    order = F.when(F.col(id_col).isNull(), F.lit("g")).otherwise(hashed)
-    rows = docs.drop(*names).withColumn("__order", order).withColumn("__block", F.substring("__order", 1, BLOCK_DIGITS))
-    rows = rows.withColumn("__tokens", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
-    blocks = materialize(rows.groupBy(F.col(source).alias("__source"), "__block").agg(F.sum("__tokens").alias("__sum")), "blocks")
-    totals = blocks.groupBy("__source").agg(F.sum("__sum").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    shares = plan({r[0]: r[1] for r in totals}, target_entropy, repetition_limit, budget)
-
-    spark, kind = docs.sparkSession, docs.schema[source].dataType.simpleString()
-    share = spark.createDataFrame([(s.source, s.weight, s.passes, s.rest) for s in shares], f"__s {kind}, __weight double, __passes long, __rest double")
-    before = W.partitionBy("__source").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    ends = (F.col("__start") < F.col("__rest")) & (F.col("__start") + F.col("__sum") >= F.col("__rest"))
-    cut = starts.join(F.broadcast(share), F.col("__source").eqNullSafe(F.col("__s"))).where(ends).select("__s", F.col("__block").alias("__cut"), "__start", "__rest")
-    cut = materialize(cut, "cut")
+    rows = docs.withColumn(order, F.when(F.col(id_col).isNull(), F.lit("g")).otherwise(hashed))
+    rows = rows.withColumns({block: F.substring(order, 1, BLOCK_DIGITS), own: F.coalesce(F.col(tokens).cast("long"), F.lit(0)), key: F.struct(F.col(source).alias("s"))})
+    few = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(block).alias("block"), F.col(own).alias("n"))
+    blocks = materialize(few.groupBy("key", "block").agg(F.sum("n").alias("n"), F.count("*").alias("size")), "blocks")
+    totals = materialize(blocks.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "totals")
+    sources, total = totals.agg(F.count("*"), F.sum("size")).first()
+    small = sources <= MAX_SOURCES
+
+    def beside(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+        return left.join(F.broadcast(right.drop("size")), on, how) if small else join_hot(left, right, on, "size", total, how)
+
+    shares = materialize(source_plan(totals, target_entropy, repetition_limit, budget).select("key", "weight", "passes", "rest", "size"), "shares")
+    before = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ends = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("n") >= F.col("rest"))
+    ended = starts.drop("size").join(shares.select("key", "rest", "size"), "key").where(ends).select("key", "block", "start", "rest", "size")
+    ended = materialize(ended, "cut")
 
     # Of each source, only the documents of the block where the budget ends are put in order.
-    inside = rows.select(F.col(source).alias("__r"), "__order", "__block", "__tokens").join(F.broadcast(cut), F.col("__r").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__cut")))
-    own = inside.groupBy("__s", "__cut", "__order", "__start", "__rest").agg(F.sum("__tokens").alias("__t"))
-    run = F.coalesce(F.sum("__t").over(W.partitionBy("__s").orderBy("__order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = own.withColumn("__run", F.col("__start") + run).where("__run < __rest")
-    edge = materialize(taken.groupBy(F.col("__s").alias("__e"), "__cut").agg(F.max("__order").alias("__edge")), "edges")
-
-    # A row for each source, so at most MAX_SOURCES.
-    choice = share.join(edge, F.col("__s").eqNullSafe(F.col("__e")), "left").select("__s", "__weight", "__passes", "__cut", "__edge")
-    out = rows.join(F.broadcast(choice), F.col(source).eqNullSafe(F.col("__s")), "left")
-    extra = (F.col("__block") < F.col("__cut")) | ((F.col("__block") == F.col("__cut")) & (F.col("__order") <= F.col("__edge")))
-    out = out.withColumn("__copies", (F.col("__passes") + F.coalesce(extra, F.lit(False)).cast("long")).cast("long"))
-    return out.select(*docs.drop(*names).columns, F.col("__weight").alias(names[0]), F.col("__copies").alias(names[1]))
+    inside = few.join(F.broadcast(ended.drop("size")) if small else ended.drop("size"), ["key", "block"])
+    inside = inside.groupBy("key", "block", "order", "start", "rest").agg(F.sum("n").alias("n"))
+    run = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = inside.withColumn("run", F.col("start") + run).where("run < rest").groupBy("key", "block").agg(F.max("order").alias("edge"))
+
+    choice = shares.join(taken, "key", "left").select(F.col("key").alias(key), F.col("weight").alias(weight), F.col("passes").alias(passes), F.col("block").alias(cut), F.col("edge").alias(edge), "size")
+    choice = materialize(choice, "choice")
+    out = beside(rows, choice, key, "left")
+    extra = (F.col(block) < F.col(cut)) | ((F.col(block) == F.col(cut)) & (F.col(order) <= F.col(edge)))
+    copies = (F.col(passes) + F.coalesce(extra, F.lit(False)).cast("long")).cast("long")
+    out = out.select(*docs.columns, F.col(weight).alias(names[0]), copies.alias(names[1]))
+    discard(blocks, totals, shares, ended)
+    return out
