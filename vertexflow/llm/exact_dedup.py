@@ -20,13 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
 
+from .tables import bucketed
 from .text import column, fresh
 from .worker import state
 
 #: Fingerprints that one owner should get.
 OWNED = 1_000_000
+#: Documents of one sender.
+SENT = 500_000
 #: Rows of 40 bytes that are broadcast; beyond, joins are shuffled with SALTS copies of the smaller side.
 SMALL, SALTS = 250_000, 16
 
@@ -66,30 +69,36 @@ def rice_decode(blob: bytes) -> np.ndarray:
 def _fingerprints(rows: DataFrame, owners: int) -> DataFrame:
     """One pass over the texts: a row for each document, and the blobs for the owners.
 
-    ``place`` is the document's position among those that its partition sends to
-    ``owner``; rows with a ``blob`` are what it sends.
+    A partition is a sender, a larger one several of SENT documents.  ``place`` is the
+    document's position among those that the sender sends to ``owner``; rows with a
+    ``blob`` are what it sends.
     """
     id_type = rows.schema["id"].dataType.simpleString()
     fields = ["sender", "owner", "place", "id", "sha", "blob"]
 
+    def sent(sender, ids, shas):
+        every = pa.chunked_array(ids).combine_chunks()
+        fingers = np.frombuffer(b"".join(shas), ">u8").reshape(-1, 4)[:, 0].astype(np.uint64)
+        order = np.argsort(fingers, kind="stable")
+        owner = ((fingers >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+        cut = np.searchsorted(owner[order], np.unique(owner))
+        for own in np.split(order, cut[1:]):
+            n, o = len(own), int(owner[own[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, sender)), pa.array(np.full(n, o)), pa.array(np.arange(n)), every.take(pa.array(own)), pa.array([shas[i] for i in own.tolist()], pa.binary()), pa.nulls(n, pa.binary())], fields)
+            yield pa.RecordBatch.from_arrays([pa.array([sender]), pa.array([o]), pa.array([-1]), pa.nulls(1, every.type), pa.nulls(1, pa.binary()), pa.array([rice_encode(fingers[own])], pa.binary())], fields)
+
     def digest(batches):
         state("exact_dedup")
-        sender = TaskContext.get().partitionId()
+        sender = TaskContext.get().partitionId() << 32
         ids, shas = [], []
         for batch in batches:
             ids.append(batch.column(0))
             shas += [hashlib.sha256(x.as_buffer()).digest() for x in column(batch, "body").cast(pa.binary())]
-        if not shas:
-            return
-        every = pa.chunked_array(ids).combine_chunks()
-        fingers = np.frombuffer(b"".join(shas), ">u8").reshape(-1, 4)[:, 0].astype(np.uint64)
-        order = np.argsort(fingers, kind="stable")
-        owner = ((fingers >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
-        for o in np.unique(owner).tolist():
-            own = order[owner[order] == o]
-            n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, sender)), pa.array(np.full(n, int(o))), pa.array(np.arange(n)), every.take(pa.array(own)), pa.array([shas[i] for i in own.tolist()], pa.binary()), pa.nulls(n, pa.binary())], fields)
-            yield pa.RecordBatch.from_arrays([pa.array([sender]), pa.array([int(o)]), pa.array([-1]), pa.nulls(1, every.type), pa.nulls(1, pa.binary()), pa.array([rice_encode(fingers[own])], pa.binary())], fields)
+            if len(shas) >= SENT:
+                yield from sent(sender, ids, shas)
+                sender, ids, shas = sender + 1, [], []
+        if shas:
+            yield from sent(sender, ids, shas)
 
     return rows.mapInArrow(digest, f"sender long, owner long, place long, id {id_type}, sha binary, blob binary")
 
@@ -129,12 +138,14 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (normalise(body) if normalise else body).alias("body"))
-    table = materialize(_fingerprints(rows, max(1, -(-rows.count() // OWNED))), "fingerprints")
+    table = bucketed(_fingerprints(rows, max(1, -(-rows.count() // OWNED))), "sender", rows.rdd.getNumPartitions(), "fingerprints")
     known = table.where("blob is null").drop("blob")
     bits = duplicate_bitmaps(table.where("blob is not null").select("sender", "owner", "blob"))
 
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    flagged = known.join(bits, ["sender", "owner"]).withColumn("byte", byte).where("shiftright(byte, cast(7 - place % 8 as int)) % 2 = 1")
+    # Rows stay in the buckets where their sender wrote them; bitmaps alone are shuffled.
+    bits = bits.groupBy("sender").agg(F.map_from_entries(F.collect_list(F.struct("owner", "bits"))).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits[owner], cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    flagged = known.join(bits.hint("merge"), "sender").withColumn("byte", byte).where("shiftright(byte, cast(7 - place % 8 as int)) % 2 = 1")
     suspects = materialize(flagged.groupBy("sha").agg(F.count("*").alias("n")).select("sha"), "suspects")
     small = suspects.count() <= SMALL
 
@@ -143,13 +154,16 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     groups = materialize(groups.where("group_size > 1"), "copies")
     out = _join_sha(known, groups, "left", small)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("id").eqNullSafe(keep)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+    out = materialize(out, "decided")
+    discard(table, suspects, groups)
+    return out
 
 
 def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -158,15 +172,19 @@ def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     Of equal rows that share the largest id of a group, one stays.  Rows without an
     id stay only where no row with an id has their text, and then one of them.
     """
-    sha, one = fresh(docs, "sha", "one")
-    found = materialize(exact_duplicates(docs, text, id_col).where("group_size > 1"), "decided")
-    ids = found.select(F.col(id_col).alias("__i"), F.col("text_sha256").alias("__s"), "kept")
-    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
-
-    lost = ids.where("not kept").select("__i", "__s").distinct()
-    twins = ids.where("kept").groupBy("__i", "__s").agg(F.count("*").alias("n")).where("n > 1").select("__i", "__s")
-    gone = lost.union(twins)
-    lone = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col(sha) == F.col("__s")), "left_anti")
-    both = keyed.join(twins, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col(sha) == F.col("__s")), "left_semi")
-    both = both.groupBy(id_col, sha).agg(F.any_value(F.struct(*docs.columns)).alias(one))
-    return lone.select(docs.columns).unionByName(both.select(f"{one}.*"))
+    sha, one, key, digest = fresh(docs, "sha", "one", "key", "digest")
+    found = exact_duplicates(docs, text, id_col)
+    ids = found.where("group_size > 1").select(F.struct(F.col(id_col).alias("i")).alias(key), F.col("text_sha256").alias(sha), F.col("kept").alias(one))
+    hashed = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    keyed = docs.withColumns({sha: hashed, key: F.struct(F.col(id_col).alias("i"))})
+
+    lost = ids.where(~F.col(one)).select(key, sha).distinct()
+    twins = ids.where(one).groupBy(key, sha).agg(F.count("*").alias(digest)).where(F.col(digest) > 1).select(key, sha)
+    twins = materialize(twins, "twins")
+    gone = materialize(lost.union(twins), "lost")
+    lone = keyed.join(F.broadcast(gone) if gone.count() <= SMALL else gone, [key, sha], "left_anti")
+    discard(found)
+    if twins.isEmpty():
+        return lone.select(docs.columns)
+    both = keyed.join(twins, [key, sha], "left_semi").groupBy(key, sha).agg(F.any_value(F.struct(*docs.columns)).alias(one))
+    return lone.select(docs.columns).unionByName(both.select(F.col(one).alias(one)).select(f"{one}.*"))
