@@ -69,7 +69,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", contract: b
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out._vertexflow_path = now._vertexflow_path
+            return out
         mark, before = seen, now
         now = materialize(_small_star(_large_star(before)), "stars")
         discard(before)

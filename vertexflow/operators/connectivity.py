@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexflow.plans.loop import Rounds
-from vertexflow.storage import materialize
 
 from .components import components
 from .graph import Graph, degrees
@@ -107,7 +106,7 @@ def strong_components(graph: Graph, local_edges: int = LOCAL_EDGES) -> DataFrame
     """
     loop = Rounds("strong")
     every = degrees(graph).select("id")
-    edges = materialize(graph.edges.select("src", "dst").distinct(), "strong-edges")
+    edges = loop.keep(graph.edges.select("src", "dst").distinct())
     done: DataFrame | None = None
     while True:
         left = edges.count()
@@ -117,19 +116,19 @@ def strong_components(graph: Graph, local_edges: int = LOCAL_EDGES) -> DataFrame
         if not left:
             break
         if left <= local_edges:
-            part = materialize(edges.coalesce(1).mapInPandas(_strong_local, "id long, component long"), "strong")
+            part = loop.keep(edges.coalesce(1).mapInPandas(_strong_local, "id long, component long"))
             done = part if done is None else done.unionByName(part)
             break
         colours = loop.keep(_colours(loop, edges))
         inner = edges.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
         roots = colours.where("id = colour").select("id")
-        members = bfs(Graph(inner.select("src", "dst")).reversed(), roots).select("id")
-        part = materialize(colours.join(members, "id", "left_semi").select("id", F.col("colour").alias("component")), "strong")
+        members = bfs(Graph(inner.select("src", "dst")).reversed(), roots, local_edges=local_edges).select("id")
+        part = loop.keep(colours.join(members, "id", "left_semi").select("id", F.col("colour").alias("component")))
         done = part if done is None else done.unionByName(part)
-        edges = materialize(Graph(edges).without(part).edges, "strong-edges")
+        edges = loop.keep(Graph(edges).without(part).edges)
     if done is None:
-        return every.withColumn("component", F.col("id"))
-    return every.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        return loop.result(every.withColumn("component", F.col("id")))
+    return loop.result(every.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
 def giant_component(graph: Graph, root: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -102,7 +102,9 @@ def label_levels(graph: Graph, roots: DataFrame, most: int | None = None, local_
     loop, edges = Rounds("levels"), materialize(graph.edges.select("src", "dst").distinct(), "edges")
     if edges.count() <= local_edges:
         starts = roots.select("id", F.col("label").cast("double").alias("x"))
-        return _in_one_task(edges.withColumn("x", F.lit(0.0)), starts, _levels_run(most), "id long, level long, label long")
+        out = _in_one_task(edges.withColumn("x", F.lit(0.0)), starts, _levels_run(most), "id long, level long, label long")
+        discard(edges)
+        return out
     frontier = loop.keep(roots.groupBy("id").agg(F.min("label").alias("label")).select("id", F.lit(0).cast("long").alias("level"), "label"))
     layers, level = [frontier], 0
     while (most is None or level < most) and not frontier.isEmpty():
@@ -119,15 +121,15 @@ def label_levels(graph: Graph, roots: DataFrame, most: int | None = None, local_
     return out
 
 
-def bfs(graph: Graph, roots: DataFrame, most: int | None = None) -> DataFrame:
+def bfs(graph: Graph, roots: DataFrame, most: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``id, level``: fewest edges from any of ``roots`` (id)."""
-    return label_levels(graph, roots.select("id", F.lit(0).cast("long").alias("label")), most).select("id", "level")
+    return label_levels(graph, roots.select("id", F.lit(0).cast("long").alias("label")), most, local_edges).select("id", "level")
 
 
-def reach(graph: Graph, root: int, backward: bool = False) -> DataFrame:
+def reach(graph: Graph, root: int, backward: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``id``: vertices that ``root`` reaches, itself included; ``backward``: those that reach it."""
     start = graph.edges.sparkSession.range(root, root + 1)
-    return bfs(graph.reversed() if backward else graph, start).select("id")
+    return bfs(graph.reversed() if backward else graph, start, local_edges=local_edges).select("id")
 
 
 def shortest_paths(graph: Graph, root: int, weight: str = "w", local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -136,7 +138,9 @@ def shortest_paths(graph: Graph, root: int, weight: str = "w", local_edges: int
     edges = materialize(graph.edges.groupBy("src", "dst").agg(F.min(weight).cast("double").alias("w")), "edges")
     known = frontier = edges.sparkSession.range(root, root + 1).select("id", F.lit(0.0).alias("distance"))
     if edges.count() <= local_edges:
-        return _in_one_task(edges.withColumnRenamed("w", "x"), known.withColumnRenamed("distance", "x"), _paths_run, "id long, distance double")
+        out = _in_one_task(edges.withColumnRenamed("w", "x"), known.withColumnRenamed("distance", "x"), _paths_run, "id long, distance double")
+        discard(edges)
+        return out
     while True:
         found = edges.join(frontier, edges.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("new"))
         better = found.join(known, "id", "left").where("distance is null or new < distance").select("id", F.col("new").alias("distance"))

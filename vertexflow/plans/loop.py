@@ -58,18 +58,19 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], round
     it whether to end.  Without ``measure``, ``fuse`` rounds make one plan, which
     suits steps that read their state once.
     """
-    loop, progress = Rounds(tag), Progress()
+    loop, progress, kept = Rounds(tag), Progress(), None
     for i in range(rounds):
-        old, new = state, step(state, i)
-        if measure or (i + 1) % fuse == 0 or i + 1 == rounds:
-            new = loop.keep(new)
+        old, state = state, step(state, i)
         progress.iteration = i + 1
+        if not measure and (i + 1) % fuse and i + 1 < rounds:
+            continue
+        state = loop.keep(state)
         if measure:
-            progress.measures.append({"iteration": i + 1, **measure(new, old)})
+            progress.measures.append({"iteration": i + 1, **measure(state, old)})
             progress.stop = bool(done and done(progress.measures[-1]))
-        if measure:
-            loop.drop(old)
-        state = new
+        if kept is not None:
+            loop.drop(kept)
+        kept = state
         if progress.stop:
             break
     return state, progress
