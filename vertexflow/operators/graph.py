@@ -7,8 +7,12 @@ the largest one.  Self-loops never belong to a graph; parallel edges do.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vertexflow.plans.loop import Rounds
+from vertexflow.storage import discard, materialize
+
 
 class Graph:
     """``edges`` without self-loops and null ends; ``max_vertex`` keeps edges of ids up to it only."""
@@ -88,17 +92,75 @@ def reset_values(graph: Graph, **values) -> Graph:
     return Graph(graph.edges.select("src", "dst", *[F.lit(v).alias(n) for n, v in values.items()]))
 
 
+#: Parts of a vertex's out-edges that are numbered apart, so that no hub is sorted in one task.
+NUMBERED = 64
+
+
+def edge_slots(graph: Graph) -> DataFrame:
+    """``id, slot, neighbour, out_degree``: every out-edge, parallel ones too, numbered from 0 for each source."""
+    part = F.pmod(F.xxhash64("dst"), F.lit(NUMBERED)).cast("int")
+    edges = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), part.alias("_part"))
+    sizes = edges.groupBy("id", "_part").agg(F.count("*").alias("_n"))
+    own = W.partitionBy("id")
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("id", "_part", before.alias("_start"), F.sum("_n").over(own).alias("out_degree"))
+    row = F.row_number().over(W.partitionBy("id", "_part").orderBy("neighbour"))
+    return edges.withColumn("_row", row).join(starts, ["id", "_part"]).select("id", (F.col("_start") + F.col("_row") - 1).alias("slot"), "neighbour", "out_degree")
+
+
+def _draw(walkers: DataFrame, slots: DataFrame, seed: int, step: int, who: str) -> DataFrame:
+    """``walkers`` with the ``neighbour`` that each draws for itself; those on vertices without out-edges go."""
+    sizes = slots.where("slot = 0").select("id", "out_degree")
+    drawn = walkers.join(sizes, "id").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), who), F.col("out_degree"))).drop("out_degree")
+    return drawn.join(slots.drop("out_degree"), ["id", "slot"]).drop("slot")
+
+
 def random_out_edge(graph: Graph, seed: int = 0, step: int = 0) -> DataFrame:
-    """``id, neighbour``: for each vertex with out-edges one of them, by a hash of seed and step."""
-    return graph.edges.groupBy(F.col("src").alias("id")).agg(F.min_by("dst", F.xxhash64(F.lit(seed), F.lit(step), "src", "dst")).alias("neighbour"))
+    """``id, neighbour``: for each vertex with out-edges the end of one of them, all being equally likely."""
+    slots = edge_slots(graph)
+    return _draw(graph.edges.select(F.col("src").alias("id")).distinct(), slots, seed, step, "id").select("id", "neighbour")
 
 
 def random_walks(graph: Graph, starts: DataFrame, length: int, seed: int = 0) -> DataFrame:
-    """``start, step, id``: a walk over random out-edges from each ``starts.id``; it ends where there are none."""
-    at = starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id")
+    """``start, step, id``: a walk over random out-edges from each ``starts.id``; it ends where there are none.
+
+    Walks draw for themselves: those that meet at a vertex go on apart.
+    """
+    loop = Rounds("walks")
+    slots = loop.keep(edge_slots(graph))
+    at = loop.keep(starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id"))
     out = at
     for step in range(1, length + 1):
-        move = random_out_edge(graph, seed, step)
-        at = at.join(move, "id").select("start", F.lit(step).alias("step"), F.col("neighbour").alias("id"))
-        out = out.union(at)
-    return out
+        moved = _draw(at, slots, seed, step, "start")
+        at = loop.keep(moved.select("start", F.lit(step).alias("step"), F.col("neighbour").alias("id")))
+        out = out.unionByName(at)
+    return loop.result(out)
+
+
+class Dealt:
+    """Edges dealt by ``src`` once, to be joined with a value of every source in each round of a loop.
+
+    The edges of a source with more than ``most`` are dealt over several tasks, to each of
+    which the source's value is copied; at most edges / ``most`` sources have copies.
+    """
+
+    def __init__(self, edges: DataFrame, most: int = 1_000_000):
+        large = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        self._held = materialize(large.select("src", F.ceil(F.col("n") / most).alias("_parts")), "large-sources")
+        self._large = None if self._held.isEmpty() else F.broadcast(self._held)
+        self.keys = ["src"]
+        if self._large is not None:
+            self.keys = ["src", "_part"]
+            edges = edges.join(self._large, "src", "left")
+            edges = edges.withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("_parts"))).cast("long")).drop("_parts")
+        self.edges = edges.repartition(*self.keys).persist()
+
+    def join(self, values: DataFrame) -> DataFrame:
+        """The edges with the columns of ``values`` (src and others) of their source."""
+        if self._large is not None:
+            values = values.join(self._large, "src", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts") - 1, F.lit(0).cast("long"))))).drop("_parts")
+        return self.edges.join(values, self.keys)
+
+    def free(self) -> None:
+        self.edges.unpersist()
+        discard(self._held)

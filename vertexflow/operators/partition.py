@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame
@@ -9,23 +10,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vertexflow.plans.loop import Rounds
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
 
 from .connectivity import bow_tie, split_giant, weak_components
-from .graph import Graph, degrees
+from .graph import Dealt, Graph, degrees
 from .relabel import apply_map, group_relabel
 from .traversal import label_levels
 
-#: Most blocks, whose pair counts the greedy assignment takes to the driver.
-MAX_BLOCKS = 1_000_000
+#: Most blocks, and most pairs of them with edges between, that the greedy assignment takes to the driver.
+MAX_BLOCKS, MAX_LINKS = 1_000_000, 5_000_000
+#: Spans of ids whose costs come to the driver, and those that are fetched vertex by vertex at once.
+SPANS, FETCHED = 65_536, 512
 
 
 def interval_of(vertex: Column, intervals: list[tuple[int, int, int]]) -> Column:
-    """The part of a vertex id, from (part, start, end) with closed ends; null outside all.  ``intervals`` is a short list."""
-    out = F.lit(None).cast("int")
-    for part, start, end in reversed(intervals):
-        out = F.when(vertex.between(start, end), F.lit(part)).otherwise(out)
-    return out
+    """The part of a vertex id, from disjoint (part, start, end) with closed ends; null outside all.
+
+    ``intervals`` is a short list; it becomes a tree of comparisons, so an id meets the logarithm of their number.
+    """
+    own = sorted(intervals, key=lambda x: x[1])
+
+    def tree(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.when(vertex.between(own[lo][1], own[lo][2]), F.lit(own[lo][0]))
+        mid = (lo + hi) // 2
+        return F.when(vertex < own[mid][1], tree(lo, mid)).otherwise(tree(mid, hi))
+
+    return tree(0, len(own)).cast("int") if own else F.lit(None).cast("int")
 
 
 def even_intervals(size: int, parts: int) -> list[tuple[int, int, int]]:
@@ -38,23 +49,47 @@ def budget_intervals(graph: Graph, budget: int, per_vertex: int = 256, per_edge:
     """Intervals in id order, each cut where its cost would pass ``budget``.
 
     A vertex costs per_vertex + per_edge * degree.  The cut is sequential, so it
-    runs over totals of spans of ids, and only spans that hold a cut are looked at
-    one by one: what comes to the driver is one row for each span.
+    runs over totals of spans of ids, of which there are SPANS at most, and only spans
+    that may hold a cut are looked at one by one.  Such spans are known beforehand,
+    as a cut lies at most one vertex's cost below the budget: one job fetches those
+    of many cuts to come, FETCHED spans at a time.
     """
     cost = degrees(graph, isolated=True).select("id", (F.lit(per_vertex) + per_edge * (F.col("in_degree") + F.col("out_degree"))).cast("long").alias("c"))
     size = graph.size()
-    span = max(1, size // 65_536)
-    cost = materialize(cost.withColumn("span", F.floor(F.col("id") / span)), "costs")
-    out, start, total = [], 0, 0
-    for s, c in sorted((r.span, r.c) for r in cost.groupBy("span").agg(F.sum("c").alias("c")).collect()):
+    span = max(1, size // SPANS)
+    cost = materialize(cost.withColumn("span", F.floor(F.col("id") / span)).repartitionByRange("id"), "costs")
+    sums = sorted((r.span, r.c, r.most) for r in cost.groupBy("span").agg(F.sum("c").alias("c"), F.max("c").alias("most")).collect())
+    before = [0]
+    for _, c, _ in sums:
+        before.append(before[-1] + c)
+    largest = max((most for *_, most in sums), default=0)
+
+    def fetch(at: int, prefix: int) -> dict[int, list[tuple[int, int]]]:
+        """Vertices and costs of the spans from number ``at`` that may hold a cut, where an interval begins at ``prefix`` of the cost."""
+        wanted, low, high = {at}, prefix, prefix
+        while len(wanted) < FETCHED and high < before[-1]:
+            low, high = low + max(1, budget - largest), high + budget
+            first = max(at, bisect.bisect_right(before, low) - 1)
+            wanted.update(range(first, min(len(sums), bisect.bisect_left(before, high) + 1, first + FETCHED)))
+        found: dict[int, list[tuple[int, int]]] = {s: [] for s in wanted}
+        for s, v, c in cost.where(F.col("span").isin(*[sums[i][0] for i in wanted])).select("span", "id", "c").collect():
+            found[number[s]].append((v, c))
+        return found
+
+    number = {s: i for i, (s, *_) in enumerate(sums)}
+    out, start, total, detail = [], 0, 0, {}
+    for i, (_, c, _) in enumerate(sums):
         if total + c <= budget:
             total += c
             continue
-        for v, one in sorted((r.id, r.c) for r in cost.where(F.col("span") == s).collect()):
+        if i not in detail:
+            detail = fetch(i, before[i] - total)
+        for v, one in sorted(detail[i]):
             if total and total + one > budget:
                 out.append((len(out), start, v - 1))
                 start, total = v, 0
             total += one
+    discard(cost)
     return [*out, (len(out), start, size - 1)] if size else []
 
 
@@ -130,7 +165,7 @@ def voronoi_blocks(graph: Graph, rate: float = 0.001, most: int = 1 << 20, growt
     the rounds end when it would pass ``top_rate`` or no vertex is active.
     """
     active = materialize(degrees(graph).select("id"), "active")
-    edges = graph.undirected().edges.select("src", "dst").distinct().repartition("src").persist()
+    edges = Dealt(graph.undirected().edges.select("src", "dst").distinct())
     out, number = None, 0
     left = active.count()
     while left and rate <= top_rate and number < rounds:
@@ -143,7 +178,7 @@ def voronoi_blocks(graph: Graph, rate: float = 0.001, most: int = 1 << 20, growt
             if frontier.isEmpty():
                 break
             sizes = grown.groupBy("block").agg(F.count("*").alias("_size"))
-            met = edges.join(frontier, edges.src == frontier.id).select(F.col("dst").alias("id"), "block")
+            met = edges.join(frontier.withColumnRenamed("id", "src")).select(F.col("dst").alias("id"), "block")
             pick = F.min_by("block", F.xxhash64(F.lit(seed), F.lit(number), F.lit(step), "id", "block"))
             met = met.join(active, "id", "left_semi").join(grown.select("id"), "id", "left_anti").groupBy("id").agg(pick.alias("block"))
             row = F.row_number().over(W.partitionBy("block").orderBy("id"))
@@ -155,7 +190,7 @@ def voronoi_blocks(graph: Graph, rate: float = 0.001, most: int = 1 << 20, growt
         before, left = left, active.count()
         if left > stall * before:
             rate *= 2
-    edges.unpersist()
+    edges.free()
     return out if out is not None else active.select("id", F.col("id").alias("block")).limit(0)
 
 
@@ -224,7 +259,9 @@ def assign_blocks(graph: Graph, blocks: DataFrame, parts: int, greedy: bool = Tr
         raise ValueError(f"more than {MAX_BLOCKS} blocks; make them larger")
     pairs = [(r.block, r.n) for r in sizes]
     if greedy:
-        links = [(r.block, r.other, r.edges) for r in block_matrix(graph, blocks).where("block != other").collect()]
+        links = [(r.block, r.other, r.edges) for r in block_matrix(graph, blocks).where("block != other").limit(MAX_LINKS + 1).collect()]
+        if len(links) > MAX_LINKS:
+            raise ValueError(f"more than {MAX_LINKS} pairs of blocks with edges between; make the blocks larger")
         made = greedy_assignment(pairs, links, parts)
     else:
         made = lpt_assignment(pairs, parts)

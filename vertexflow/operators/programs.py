@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vertexflow.plans.loop import Progress, iterate
 
-from .graph import Graph, degrees
+from .graph import Dealt, Graph, degrees
 
 
 @dataclass
@@ -45,7 +45,7 @@ def directed(graph: Graph, direction: str) -> Graph:
 
 def run_program(graph: Graph, program: VertexProgram, rounds: int) -> tuple[DataFrame, Progress]:
     """``id, value`` after at most ``rounds`` rounds, and what each reported."""
-    edges = directed(graph, program.direction).edges.repartition("src").persist()
+    edges = Dealt(directed(graph, program.direction).edges)
     start = degrees(graph, isolated=True).select("id", program.init().alias("value"), F.lit(True).alias("active"))
     progress = Progress()
 
@@ -53,7 +53,7 @@ def run_program(graph: Graph, program: VertexProgram, rounds: int) -> tuple[Data
         if program.before:
             program.before(i)
         senders = state.where("active") if program.frontier else state
-        sent = edges.join(senders.select(F.col("id").alias("src"), F.col("value").alias("_v")), "src")
+        sent = edges.join(senders.select(F.col("id").alias("src"), F.col("value").alias("_v")))
         arrived = sent.groupBy(F.col("dst").alias("id")).agg(program.combine(program.message(F.col("_v"), F.col)).alias("_m"))
         both = state.select("id", F.col("value").alias("_old")).join(arrived, "id", "left")
         new = both.withColumn("value", program.apply(F.col("_old"), F.col("_m")))
@@ -68,7 +68,7 @@ def run_program(graph: Graph, program: VertexProgram, rounds: int) -> tuple[Data
         return found
 
     state, done = iterate(start, step, rounds, measure, lambda m: m["updates"] == 0 or progress.stop, "program")
-    edges.unpersist()
+    edges.free()
     return state.select("id", "value"), done
 
 
@@ -93,20 +93,52 @@ class FunctionalKernel:
 def run_functional(graph: Graph, kernel: FunctionalKernel, iterations: int) -> DataFrame:
     """``id, value`` after ``iterations``, all of them synchronous."""
     deg = degrees(graph, isolated=True).persist()
-    edges = graph.edges.select("src", "dst").repartition("src").persist()
+    edges = Dealt(graph.edges.select("src", "dst"))
     start = deg.select("id", "out_degree", kernel.initial(F.col("in_degree"), F.col("out_degree")).alias("value"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
         seen = state.select(F.col("id").alias("src"), kernel.scatter(F.col("value"), F.col("out_degree")).alias("_seen"))
-        sums = edges.join(seen, "src").groupBy(F.col("dst").alias("id")).agg(kernel.plus(kernel.gather(F.col("_seen"))).alias("_sum"))
+        sums = edges.join(seen).groupBy(F.col("dst").alias("id")).agg(kernel.plus(kernel.gather(F.col("_seen"))).alias("_sum"))
         return state.join(sums, "id", "left").select("id", "out_degree", kernel.apply(F.coalesce("_sum", F.lit(kernel.zero)), F.col("value")).alias("value"))
 
     state, _ = iterate(start, step, iterations - 1, tag="functional")
-    edges.unpersist()
+    edges.free()
     deg.unpersist()
     return state.select("id", "value")
 
 
+@dataclass
+class GASContext:
+    """What a program's ``control`` sees before a round, and may ask for.
+
+    ``signal`` schedules vertices, ``remove`` takes a range of ids off the schedule,
+    ``remove_all`` and ``signal_all`` are for every vertex, and ``stop`` ends the run
+    before this round.  Later calls win.
+    """
+
+    iteration: int
+    num_vertices: int
+    stopped: bool = False
+    changes: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+
+    def signal(self, vertices: DataFrame) -> None:
+        hit = vertices.select("id").distinct().withColumn("_hit", F.lit(True))
+        self.changes.append(lambda state: state.join(hit, "id", "left").withColumn("runs", F.col("runs") | F.coalesce("_hit", F.lit(False))).drop("_hit"))
+
+    def remove(self, start: int, end: int) -> None:
+        """Ids from ``start`` to ``end``, both included."""
+        self.changes.append(lambda state: state.withColumn("runs", F.col("runs") & ~F.col("id").between(start, end)))
+
+    def signal_all(self) -> None:
+        self.changes.append(lambda state: state.withColumn("runs", F.lit(True)))
+
+    def remove_all(self) -> None:
+        self.changes.append(lambda state: state.withColumn("runs", F.lit(False)))
+
+    def stop(self) -> None:
+        self.stopped = True
+
+
 @dataclass
 class GASProgram:
     """Gather over ``gather_edges``, aggregate by ``plus``, apply, and signal along ``scatter_edges``.
@@ -115,6 +147,7 @@ class GASProgram:
     ``gather(neighbour value, edge)``, ``apply(old, total, out_degree)``;
     ``scatter(new, old)`` says whether a vertex signals its neighbours, which are the
     ones that run in the next round.  Several signals to a vertex count once.
+    ``control`` is called on the driver before each round and may change the schedule.
     """
 
     init: Callable[[], Column]
@@ -124,6 +157,7 @@ class GASProgram:
     plus: Callable[[Column], Column] = F.sum
     gather_edges: str = "in"
     scatter_edges: str = "out"
+    control: Callable[[GASContext], None] | None = None
 
 
 _TOWARDS = {"in": "out", "out": "in", "both": "both"}
@@ -131,17 +165,25 @@ _TOWARDS = {"in": "out", "out": "in", "both": "both"}
 
 def run_gas(graph: Graph, program: GASProgram, rounds: int, signalled: DataFrame | None = None) -> tuple[DataFrame, Progress]:
     """``id, value``; at first all vertices run, or those of ``signalled`` (id)."""
-    gathered = None if program.gather_edges == "none" else directed(graph, _TOWARDS[program.gather_edges]).edges.repartition("src").persist()
-    outward = None if program.scatter_edges == "none" else directed(graph, program.scatter_edges).edges.select("src", "dst").repartition("src").persist()
+    gathered = None if program.gather_edges == "none" else Dealt(directed(graph, _TOWARDS[program.gather_edges]).edges)
+    outward = None if program.scatter_edges == "none" else Dealt(directed(graph, program.scatter_edges).edges.select("src", "dst"))
     deg = degrees(graph, isolated=True)
     start = deg.select("id", "out_degree", program.init().alias("value"), F.lit(False).alias("signals"))
     runs = start if signalled is None else start.join(signalled.select("id"), "id", "left_semi")
     start = start.join(runs.select("id", F.lit(True).alias("runs")), "id", "left").withColumn("runs", F.coalesce("runs", F.lit(False)))
+    context = GASContext(0, graph.size() if program.control else 0)
 
-    def step(state: DataFrame, _: int) -> DataFrame:
+    def step(state: DataFrame, i: int) -> DataFrame:
+        if program.control:
+            context.iteration, context.changes = i, []
+            program.control(context)
+            if context.stopped:
+                return state
+            for change in context.changes:
+                state = change(state)
         now = state
         if gathered is not None:
-            seen = gathered.join(state.select(F.col("id").alias("src"), F.col("value").alias("_v")), "src")
+            seen = gathered.join(state.select(F.col("id").alias("src"), F.col("value").alias("_v")))
             totals = seen.groupBy(F.col("dst").alias("id")).agg(program.plus(program.gather(F.col("_v"), F.col)).alias("_t"))
             now = now.join(totals, "id", "left")
         else:
@@ -151,16 +193,17 @@ def run_gas(graph: Graph, program: GASProgram, rounds: int, signalled: DataFrame
         made = made.select("id", "out_degree", F.col("_new").alias("value"), (F.col("runs") & F.coalesce(program.scatter(F.col("_new"), F.col("value")), F.lit(False))).alias("signals"))
         if outward is None:
             return made.withColumn("runs", F.lit(False))
-        hit = outward.join(made.where("signals").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        hit = outward.join(made.where("signals").select(F.col("id").alias("src"))).select(F.col("dst").alias("id")).distinct()
         return made.join(hit.withColumn("runs", F.lit(True)), "id", "left").withColumn("runs", F.coalesce("runs", F.lit(False)))
 
     def measure(new: DataFrame, old: DataFrame) -> dict:
         return new.agg(F.coalesce(F.sum(F.col("runs").cast("long")), F.lit(0)).alias("tasks")).first().asDict()
 
-    state, progress = iterate(start, step, rounds, measure, lambda m: m["tasks"] == 0, "gas")
+    idle = program.control is None  # a control may schedule vertices where none runs
+    state, progress = iterate(start, step, rounds, measure, lambda m: context.stopped or (idle and m["tasks"] == 0), "gas")
     for edges in (gathered, outward):
         if edges is not None:
-            edges.unpersist()
+            edges.free()
     return state.select("id", "value"), progress
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vertexflow.plans.loop import iterate
 
-from .graph import Graph, degrees
+from .graph import Dealt, Graph, degrees
 
 RESET, DAMPING = 0.15, 0.85
 
@@ -19,11 +19,11 @@ class Ranked(NamedTuple):
     log: list[dict]
 
 
-def _links(graph: Graph) -> DataFrame:
-    """``src, dst, share``: parallel edges together, share of the source's rank; dealt by source once."""
+def _links(graph: Graph) -> Dealt:
+    """``src, dst, share``: parallel edges together, share of the source's rank."""
     out = graph.edges.groupBy("src").agg(F.count("*").alias("n"))
     many = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
-    return many.join(out, "src").select("src", "dst", (F.col("m") / F.col("n")).alias("share")).repartition("src").persist()
+    return Dealt(many.join(out, "src").select("src", "dst", (F.col("m") / F.col("n")).alias("share")))
 
 
 def pagerank(graph: Graph, iterations: int = 10, epsilon: float | None = None, watch: tuple[int, ...] = (), audit: DataFrame | None = None, audit_epsilon: float = 1e-3, start: DataFrame | None = None) -> Ranked:
@@ -39,7 +39,7 @@ def pagerank(graph: Graph, iterations: int = 10, epsilon: float | None = None, w
     targets = graph.vertices()
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        sums = links.join(state, links.src == state.id).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("s"))
+        sums = links.join(state.withColumnRenamed("id", "src")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("s"))
         return targets.join(sums, targets.id == sums.dst, "left").select("id", (RESET + DAMPING * F.coalesce("s", F.lit(0.0))).alias("rank"))
 
     def measure(new: DataFrame, old: DataFrame) -> dict:
@@ -55,7 +55,7 @@ def pagerank(graph: Graph, iterations: int = 10, epsilon: float | None = None, w
 
     tell = measure if epsilon is not None or watch or audit is not None else None
     ranks, progress = iterate(state, step, iterations, tell, (lambda m: m["largest"] <= epsilon) if epsilon is not None else None, "rank", fuse=5)
-    links.unpersist()
+    links.free()
     return Ranked(ranks, progress.measures)
 
 
