@@ -6,12 +6,19 @@ runs of the format's delimiters and skip lines that begin with ``#`` or ``%``.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vertexflow.operators.graph import Graph
+from vertexflow.storage import materialize
+
+#: Binary records that are decoded together.
+RECORDS = 50_000
 
 #: Types of edge values by name, and the Spark types that hold them.
 VALUE_TYPES = {"int": "int", "uint": "long", "short": "short", "float": "float", "double": "double", "char": "string", "boolean": "boolean", "long": "long"}
@@ -61,73 +68,71 @@ def read_adjacency(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
     return Graph(rows.select("src", F.explode(F.transform("d", lambda x: x.cast("long"))).alias("dst"))), wrong
 
 
+def numbered_lines(spark: SparkSession, path: str, skip: str = "false") -> DataFrame:
+    """``row, value``: the lines of text files numbered from 0, files by name, but for those that meet ``skip``.
+
+    Every split of a file is numbered by itself and begins after the splits before
+    it; what is put in order is one row for each split.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).withColumns({"file": meta.getField("file_path"), "block": meta.getField("file_block_start")})
+    lines = lines.where(f"not ({skip})").withColumn("at", F.monotonically_increasing_id())
+    lines = materialize(lines, "lines")
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", "first", before.alias("start"))
+    return lines.join(F.broadcast(splits), ["file", "block"]).select((F.col("start") + F.col("at") - F.col("first")).alias("row"), "value", "file", "block", "at")
+
+
 def read_metis(spark: SparkSession, path: str, base: int = 1) -> Graph:
     """A header ``n m`` and then a line of neighbours for each vertex; each undirected edge is kept once.
 
-    Lines need their numbers, so a file is read by one task, in a stream.
+    Several files are one graph, in the order of their names.
     """
-    whole = spark.read.format("binaryFile").load(path).select("content")
-
-    def parse(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                vertex, src, dst = -1, [], []
-                for line in content.decode().splitlines():
-                    if line.startswith("%"):
-                        continue
-                    if vertex < 0:
-                        vertex = 0
-                        continue
-                    for token in line.split():
-                        if vertex < int(token) - base:
-                            src.append(vertex)
-                            dst.append(int(token) - base)
-                    vertex += 1
-                    if len(src) > 100_000:
-                        yield pd.DataFrame({"src": src, "dst": dst})
-                        src, dst = [], []
-                yield pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
-
-    return Graph(whole.mapInPandas(parse, "src long, dst long"))
+    lines = numbered_lines(spark, path, "startswith(value, '%')").where("row > 0")
+    tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    near = lines.select((F.col("row") - 1).alias("src"), F.explode(tokens).alias("t")).where("t != ''")
+    return Graph(near.select("src", (F.col("t").cast("long") - base).alias("dst")).where("src < dst"))
 
 
 def read_cassovary(spark: SparkSession, path: str) -> Graph:
-    """Files of a directory or pattern, but those with ``.tmp``: ``src n``, then n lines with a target each."""
-    files = spark.read.format("binaryFile").load(path).where("not contains(path, '.tmp')").select("content")
-
-    def parse(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                src, dst, owner, left = [], [], 0, 0
-                for line in content.decode().splitlines():
-                    tokens = line.split()
-                    if not tokens:
-                        continue
-                    if left:
-                        src.append(owner)
-                        dst.append(int(tokens[0]))
-                        left -= 1
-                    else:
-                        owner, left = int(tokens[0]), int(tokens[1])
-                yield pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
-
-    return Graph(files.mapInPandas(parse, "src long, dst long"))
+    """Files of a directory or pattern, but those with ``.tmp``: ``src n``, then n lines with a target each.
+
+    A line of two numbers begins a vertex.  Its number is carried down the lines of a
+    split, and from the last such line before a split into it.
+    """
+    lines = numbered_lines(spark, path, "trim(value) = '' or contains(_metadata.file_path, '.tmp')")
+    tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    rows = lines.select("file", "block", "at", tokens.alias("t")).select("file", "block", "at", F.get("t", F.lit(0)).cast("long").alias("id"), (F.size("t") > 1).alias("head"))
+    rows = rows.withColumn("owner", F.when(F.col("head"), F.col("id")))
+    ends = rows.groupBy("file", "block").agg(F.max_by("owner", F.when(F.col("head"), F.col("at"))).alias("last"))
+    carried = F.last("last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("file", "block", carried.alias("carried"))
+    within = F.last("owner", ignorenulls=True).over(W.partitionBy("file", "block").orderBy("at"))
+    owned = rows.withColumn("src", within).where("not head").join(F.broadcast(ends), ["file", "block"])
+    return Graph(owned.select(F.coalesce("src", "carried").alias("src"), F.col("id").alias("dst")))
 
 
 def read_binary(spark: SparkSession, path: str, value: str | None = None) -> Graph:
-    """Little-endian records ``(uint32, uint32[, value])`` of one or more files; ``value`` is a numpy type such as ``<f4``."""
-    fields = [("src", "<u4"), ("dst", "<u4"), *([("w", value)] if value else [])]
-    record = np.dtype(fields)
+    """Little-endian records ``(uint32, uint32[, value])`` of one or more files; ``value`` is a numpy type such as ``<f4``.
+
+    Records have a fixed size, so files of any size are read in splits.
+    """
+    record = np.dtype([("src", "<u4"), ("dst", "<u4"), *([("w", value)] if value else [])])
     kind = {None: "", "f": ", w double", "i": ", w long", "u": ", w long"}[np.dtype(value).kind if value else None]
-    files = spark.read.format("binaryFile").load(path).select("content")
 
-    def parse(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                rows = np.frombuffer(content, record, len(content) // record.itemsize)
-                yield pd.DataFrame({n: rows[n].astype("float64" if n == "w" and kind.endswith("double") else "int64") for n in record.names})
+    def together(records):
+        while part := b"".join(islice(records, RECORDS)):
+            yield Row(raw=bytearray(part))
 
-    return Graph(files.mapInPandas(parse, f"src long, dst long{kind}"))
+    def parse(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                rows = np.frombuffer(raw.as_buffer(), record)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[n].astype("float64" if n == "w" and kind.endswith("double") else "int64")) for n in record.names], list(record.names))
+
+    blocks = spark.createDataFrame(spark.sparkContext.binaryRecords(path, record.itemsize).mapPartitions(together), "raw binary")
+    return Graph(blocks.mapInArrow(parse, f"src long, dst long{kind}"))
 
 
 def read_graph(spark: SparkSession, path: str, kind: str = "auto", value: str | None = None, **options) -> Graph:
@@ -175,16 +180,8 @@ def read_vertex_values(spark: SparkSession, path: str, start: int = 0, end: int
 
 
 def read_partition_file(spark: SparkSession, path: str) -> DataFrame:
-    """``id, part`` from a file with one part on each line; the line's number is the vertex."""
-    whole = spark.read.format("binaryFile").load(path).select("content")
-
-    def parse(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                parts = [int(line) for line in content.decode().splitlines() if line.strip()]
-                yield pd.DataFrame({"id": range(len(parts)), "part": parts})
-
-    return whole.mapInPandas(parse, "id long, part int")
+    """``id, part`` from a file with one part on each line; the line's number is the vertex.  Several files are one, by name."""
+    return numbered_lines(spark, path, "trim(value) = ''").select(F.col("row").alias("id"), F.trim("value").cast("int").alias("part"))
 
 
 def read_vertex_map(spark: SparkSession, path: str) -> DataFrame:

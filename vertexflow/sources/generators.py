@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vertexflow.operators.graph import Graph
@@ -48,21 +53,35 @@ def cross_grid(spark: SparkSession, n: int) -> Graph:
 
 
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 0) -> Graph:
-    """Every pair i < j with probability ``floor(p * 10000) / 10000`` and either direction, by hashes.
+    """Every pair i < j with probability ``floor(p * 10000) / 10000`` and either direction.
 
-    Pairs are numbered, not joined: vertex i makes its own pairs, so the work is in
-    proportion to the pairs that the model asks about.
+    Each i draws the gaps between its partners, so the work is in proportion to the
+    edges.  Numbers depend on the seed and i alone.
     """
-    draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "i", "j")
-    pairs = spark.range(n - 1).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long"))).alias("j"))
-    kept = pairs.where(F.pmod(draw(0), F.lit(10_000)) < int(p * 10_000))
-    ahead = F.pmod(draw(1), F.lit(2)) == 0
-    return Graph(kept.select(F.when(ahead, F.col("i")).otherwise(F.col("j")).alias("src"), F.when(ahead, F.col("j")).otherwise(F.col("i")).alias("dst")))
+    p = math.floor(p * 10_000) / 10_000
+
+    def draw(frames):
+        for frame in frames:
+            src, dst = [], []
+            for i in frame["id"].tolist():
+                rng, at = np.random.default_rng((seed, i)), i
+                while p > 0 and at < n - 1:
+                    j = at + np.cumsum(rng.geometric(p, int(min((n - 1 - at) * p * 1.2 + 16, 1 << 20))))
+                    at, j = int(j[-1]), j[j < n]
+                    ahead = rng.random(len(j)) < 0.5
+                    src.append(np.where(ahead, i, j))
+                    dst.append(np.where(ahead, j, i))
+            if src:
+                yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+    return Graph(spark.range(max(0, n - 1)).mapInPandas(draw, "src long, dst long"))
 
 
 def random_weights(graph: Graph, seed: int = 0, below: int = 100_000_000, name: str = "w") -> Graph:
-    """A whole-number weight in [0, below) for every edge, by a hash of its ends."""
-    return Graph(graph.edges.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(below))))
+    """A whole-number weight in [0, below) for every edge, by a hash of its ends and of its place among parallel ones."""
+    place = F.row_number().over(W.partitionBy("src", "dst").orderBy(*[F.col(v) for v in graph.values] or [F.lit(0)]))
+    edges = graph.edges.withColumn("_place", place)
+    return Graph(edges.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), "src", "dst", "_place"), F.lit(below))).drop("_place"))
 
 
 def vertex_sample(vertices: DataFrame, rate: float, seed: int = 0) -> DataFrame:

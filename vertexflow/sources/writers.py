@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from html import escape
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,30 @@ def adjacency_lines(graph: Graph) -> DataFrame:
     return head.select(F.lit(0).cast("long").alias("row"), "line").unionByName(rows)
 
 
+def cassovary_lines(graph: Graph) -> DataFrame:
+    """``line``: of every vertex with out-edges ``v n`` and then n lines with a target each, in one row with line ends."""
+    lists = graph.edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("d"))
+    return lists.select(F.concat_ws("\n", F.concat_ws(" ", "src", F.size("d")), F.col("d").cast("array<string>")).alias("line"))
+
+
+def write_binary(graph: Graph, path: str, value: str | None = None) -> None:
+    """Files of little-endian records ``(uint32, uint32[, value])``; ``value`` is a numpy type such as ``<f4`` for column ``w``.
+
+    Each file ends with a record of zeros, which is a self-loop and so no edge.
+    """
+    record = np.dtype([("src", "<u4"), ("dst", "<u4"), *([("w", value)] if value else [])])
+
+    def pack(batches):
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, record)
+            for n in record.names:
+                rows[n] = batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["raw"])
+
+    packed = graph.edges.select(*record.names).mapInArrow(pack, "raw binary")
+    packed.select(F.col("raw").cast("string")).write.mode("overwrite").option("lineSep", "\0" * record.itemsize).text(path)
+
+
 def write_lines(lines: DataFrame, path: str, ordered: bool = False) -> None:
     """Text files of ``line``; with ``ordered``, by ``row`` over the files' names."""
     out = lines.repartitionByRange("row").sortWithinPartitions("row") if ordered else lines
