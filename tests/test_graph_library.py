@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from vertexflow.functions import scalars
 from vertexflow.operators import connectivity, partition, programs, rank, relabel, traversal
 from vertexflow.operators.components import components
-from vertexflow.operators.graph import Graph, degrees
+from vertexflow.operators.graph import Dealt, Graph, degrees, edge_slots, random_out_edge, random_walks
 from vertexflow.sources import formats, generators, writers
 from vertexflow.streaming.dynamic import DynamicGraph, append_values
 
@@ -211,3 +212,86 @@ def test_empty_graph(spark):
     g = edges(spark, [])
     assert g.size() == 0 and rank.pagerank(g, 2).ranks.count() == 0
     assert connectivity.strong_components(g).count() == 0 and traversal.level_edges(g, 0).count() == 0
+
+
+def test_random_out_edges_are_uniform_over_parallel_ones(spark):
+    edges = [(0, 1)] * 3 + [(0, 2)] + [(5, 6)]
+    g = Graph(spark.createDataFrame(edges, "src long, dst long"))
+    slots = edge_slots(g).orderBy("id", "slot").collect()
+    assert [(r.id, r.slot, r.out_degree) for r in slots] == [(0, 0, 4), (0, 1, 4), (0, 2, 4), (0, 3, 4), (5, 0, 1)]
+    assert sorted(r.neighbour for r in slots) == [1, 1, 1, 2, 6]
+    hits = [random_out_edge(g, seed).where("id = 0").first().neighbour for seed in range(60)]
+    assert 30 <= hits.count(1) < 58 and hits.count(2) > 2
+    many = Graph(spark.range(2000).selectExpr("id as src", "explode(array(5000, 5000, 5000, 5001)) as dst"))
+    drawn = random_out_edge(many, 7)
+    assert drawn.count() == 2000 and 1400 < drawn.where("neighbour = 5000").count() < 1600
+
+
+def test_walks_that_meet_go_on_apart(spark):
+    g = Graph(spark.range(1, 400).selectExpr("id as src", "0 as dst").unionByName(spark.range(400, 900).selectExpr("0 as src", "id as dst")))
+    walks = random_walks(g, spark.range(1, 400), 2).where("step = 2")
+    assert walks.count() == 399 and walks.select("id").distinct().count() > 200
+
+
+def test_hubs_are_dealt_over_tasks(spark):
+    """A star: the edges of its centre are in many parts, and joins find all of them."""
+    edges = spark.range(1, 5001).selectExpr("0 as src", "id as dst").unionByName(spark.range(1, 10).selectExpr("id as src", "0 as dst"))
+    dealt = Dealt(edges, most=100)
+    assert dealt.edges.select("_part").distinct().count() == 50
+    values = spark.range(10).selectExpr("id as src", "id + 1 as v")
+    assert dealt.join(values).groupBy("src").agg(F.count("*").alias("n"), F.max("v").alias("v")).where("src = 0").first()[1:] == (5000, 1)
+    assert dealt.join(values).count() == 5009
+    dealt.free()
+
+
+def test_lines_are_numbered_across_files_and_splits(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    parts = [i * 7 % 11 for i in range(3000)]
+    (tmp_path / "p" / "a.txt").write_text("\n".join(map(str, parts[:2000])) + "\n")
+    (tmp_path / "p" / "b.txt").write_text("\n".join(map(str, parts[2000:])) + "\n\n")
+    lists = ["3 4", "2 3", "% note", "1", "1"] + [""] * 0
+    (tmp_path / "m.txt").write_text("\n".join(lists) + "\n")
+    owners = {v: [(v * k) % 997 + 1000 for k in range(1, 1 + v % 5)] for v in range(400)}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.txt").write_text("".join(f"{v} {len(d)}\n" + "".join(f"{t}\n" for t in d) for v, d in owners.items()))
+    (tmp_path / "c" / "x.txt.tmp").write_text("1 1\n2\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        found = formats.read_partition_file(spark, str(tmp_path / "p")).orderBy("id").collect()
+        assert [(r.id, r.part) for r in found] == list(enumerate(parts))
+        assert sorted(map(tuple, formats.read_metis(spark, str(tmp_path / "m.txt")).edges.collect())) == [(0, 1), (0, 2)]
+        edges = formats.read_cassovary(spark, str(tmp_path / "c"))
+        assert sorted(map(tuple, edges.edges.collect())) == sorted((v, t) for v, d in owners.items() for t in d)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_budget_intervals_fetch_spans_of_many_cuts(spark, monkeypatch):
+    g = Graph(spark.range(0, 4000).selectExpr("id as src", "(id * id + 1) % 700 as dst"))
+    whole = partition.budget_intervals(g, 90, 8, 2)
+    monkeypatch.setattr(partition, "SPANS", 64)
+    monkeypatch.setattr(partition, "FETCHED", 5)
+    assert partition.budget_intervals(g, 90, 8, 2) == whole and len(whole) > 500
+
+
+def test_machine_local_folders_are_for_local_mode_alone(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from vertexflow import storage
+
+    conf = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *a: None), master="local-cluster[3,2,1000]")
+    with pytest.raises(ValueError):
+        storage.shared_root(SimpleNamespace(sparkContext=conf, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_loops_leave_only_their_result(spark):
+    from vertexflow.plans.loop import iterate
+
+    made = []
+    start = spark.range(5).withColumn("v", F.lit(0))
+    state, _ = iterate(start, lambda s, i: s.withColumn("v", F.col("v") + 1), 7, fuse=2, tag="leaktest")
+    assert state.agg(F.sum("v")).first()[0] == 35
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    made = [p for p in Path(root.removeprefix("file:")).glob("vertexflow/leaktest-*")]
+    assert len(made) == 1

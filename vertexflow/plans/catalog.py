@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import inspect
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +9,11 @@ from vertexflow.functions import scalars
 from vertexflow.operators import analysis, connectivity, partition, programs, rank, relabel, traversal
 from vertexflow.operators.graph import Graph, degrees, neighbours, random_walks
 from vertexflow.sources import formats, generators, writers
-from vertexflow.storage import new_path
-from vertexflow.streaming.dynamic import DynamicGraph
+from vertexflow.storage import materialize, new_path
+from vertexflow.streaming.dynamic import DynamicGraph, append_values
 
-from .oracles import ORACLES, SPARSE_FILTER
-from .tables import copurchase, nation_trade, sparse_simple, table, whole_graph
+from .oracles import ORACLES  # noqa: F401
+from .tables import copurchase, nation_trade, simple_copurchase, table
 
 QUERIES: dict = {}
 PARTS = 4
@@ -85,7 +83,7 @@ def undirected_neighbours(spark, d):
 
 @query
 def neighbour_lists(spark, d):
-    return copurchase(spark, d, sparse=True).edges.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("targets"))
+    return copurchase(spark, d).edges.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("targets"))
 
 
 @query
@@ -95,13 +93,13 @@ def max_vertex_filter(spark, d):
 
 @query
 def edges_without_vertices(spark, d):
-    g = copurchase(spark, d, sparse=True)
+    g = copurchase(spark, d)
     return g.without(g.vertices().where("id % 10 = 0")).dedupe(n=F.count("*")).edges
 
 
 @query
 def reset_edge_values(spark, d):
-    g = copurchase(spark, d, sparse=True)
+    g = copurchase(spark, d)
     return Graph(g.edges.withColumn("w", F.lit(1.0))).edges.groupBy("src").agg(F.sum("w").alias("total"))
 
 
@@ -117,7 +115,7 @@ def vertex_sum(spark, d):
 
 @query
 def active_vertices(spark, d):
-    return analysis.active_count(degrees(copurchase(spark, d, sparse=True), isolated=True), (F.col("in_degree") > 0) & (F.col("out_degree") > 0))
+    return analysis.active_count(degrees(copurchase(spark, d), isolated=True), (F.col("in_degree") > 0) & (F.col("out_degree") > 0))
 
 
 # Relabeling and partition quality
@@ -142,29 +140,29 @@ def hash_intervals(spark, d):
 
 @query
 def degree_sort_vmap(spark, d):
-    return relabel.degree_sort(copurchase(spark, d, sparse=True))
+    return relabel.degree_sort(copurchase(spark, d))
 
 
 @query
 def order_by_degree_vmap(spark, d):
-    return relabel.order_by_degree(copurchase(spark, d, sparse=True))
+    return relabel.order_by_degree(copurchase(spark, d))
 
 
 @query
 def apply_vmap(spark, d):
-    g = copurchase(spark, d, sparse=True)
+    g = copurchase(spark, d)
     return relabel.apply_map(g, relabel.order_by_degree(g)).dedupe(w=F.min("w")).edges
 
 
 @query
 def partition_file_vmap(spark, d):
-    g = copurchase(spark, d, sparse=True)
+    g = copurchase(spark, d)
     return relabel.partition_file_map(g.vertices().withColumn("part", (F.col("id") * 7 % PARTS).cast("int")), g)
 
 
 @query
 def partition_file_intervals(spark, d):
-    g = copurchase(spark, d, sparse=True)
+    g = copurchase(spark, d)
     return relabel.group_intervals(g.vertices().withColumn("part", (F.col("id") * 7 % PARTS).cast("int")), "part")
 
 
@@ -183,7 +181,7 @@ def cut_matrix(spark, d):
 
 @query
 def boundary_ratio(spark, d):
-    g = copurchase(spark, d, sparse=True)
+    g = copurchase(spark, d)
     parts = partition.even_intervals(g.size(), PARTS)
     return _six(partition.boundary(g, lambda v: partition.interval_of(v, parts)), "ratio")
 
@@ -216,17 +214,17 @@ def range_partition(spark, d):
 
 @query
 def edge_lines(spark, d):
-    return writers.edge_lines(copurchase(spark, d, sparse=True), value_format="%.3f")
+    return writers.edge_lines(copurchase(spark, d), value_format="%.3f")
 
 
 @query
 def metis_lines(spark, d):
-    return writers.metis_lines(copurchase(spark, d, sparse=True))
+    return writers.metis_lines(copurchase(spark, d))
 
 
 @query
 def adjlist_lines(spark, d):
-    return writers.adjacency_lines(copurchase(spark, d, sparse=True))
+    return writers.adjacency_lines(copurchase(spark, d))
 
 
 def _stored(lines: DataFrame, tag: str, ordered: bool = False) -> str:
@@ -237,30 +235,51 @@ def _stored(lines: DataFrame, tag: str, ordered: bool = False) -> str:
 
 @query
 def parse_edgelist(spark, d):
-    path = _stored(writers.edge_lines(copurchase(spark, d, sparse=True)), "edge-lines")
+    path = _stored(writers.edge_lines(copurchase(spark, d)), "edge-lines")
     return formats.read_graph(spark, path, "edgelist", "double").edges
 
 
 @query
 def parse_multivalue(spark, d):
     line = F.concat(F.concat_ws("\t", "src", "dst"), F.lit("\t"), F.concat_ws(":", F.col("w").cast("int"), F.col("src"), F.col("dst")))
-    path = _stored(copurchase(spark, d, sparse=True).edges.select(line.alias("line")), "multi-lines")
+    path = _stored(copurchase(spark, d).edges.select(line.alias("line")), "multi-lines")
     return formats.read_multi_value(spark, path).edges.select("src", "dst", F.size("w").alias("n"), F.aggregate("w", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
 
 
 @query
 def parse_adjacency(spark, d):
-    g = copurchase(spark, d, sparse=True)
+    g = copurchase(spark, d)
     lines = g.edges.groupBy("src").agg(F.concat_ws(" ", F.col("src"), F.count("*"), F.array_join(F.collect_list("dst"), " ")).alias("line"))
     return formats.read_adjacency(spark, _stored(lines, "adjacency-lines"))[0].dedupe(n=F.count("*")).edges
 
 
 @query
 def parse_metis(spark, d):
-    lines = writers.metis_lines(copurchase(spark, d, sparse=True)).orderBy("row")
+    lines = writers.metis_lines(copurchase(spark, d)).orderBy("row")
     return formats.read_metis(spark, f"{_stored(lines, 'metis-lines', True)}/*.txt").edges
 
 
+@query
+def parse_cassovary(spark, d):
+    return formats.read_cassovary(spark, _stored(writers.cassovary_lines(copurchase(spark, d)), "cassovary-lines")).edges
+
+
+def _binary(spark: SparkSession, d: str, value: str | None = None) -> DataFrame:
+    path = new_path(spark, "binary-edges")
+    writers.write_binary(copurchase(spark, d), path, value)
+    return formats.read_binary(spark, path, value).edges
+
+
+@query
+def parse_binary(spark, d):
+    return _binary(spark, d)
+
+
+@query
+def parse_binary_values(spark, d):
+    return _binary(spark, d, "<f4")
+
+
 @query
 def generator_grid(spark, d):
     return generators.grid(spark, 20).edges
@@ -291,11 +310,29 @@ def generator_erdos_renyi(spark, d):
     return generators.erdos_renyi(spark, 300, 0.05, seed=1).edges
 
 
+@query
+def erdos_renyi_check(spark, d):
+    """Number of edges within five deviations of what is expected, no loops, no pair twice."""
+    made = generator_erdos_renyi(spark, d)
+    pairs, p = 300 * 299 / 2, 0.05
+    fair = F.abs(F.count("*") - pairs * p) < 5 * (pairs * p * (1 - p)) ** 0.5
+    ends = F.struct(F.least("src", "dst"), F.greatest("src", "dst"))
+    return made.agg(fair.alias("fair"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), (F.count("*") - F.count_distinct(ends)).alias("twice"))
+
+
 @query
 def random_weights(spark, d):
     return generators.random_weights(generators.grid(spark, 20), seed=1).edges
 
 
+@query
+def random_weights_check(spark, d):
+    """On parallel edges: all in range, and nearly all different."""
+    g = Graph(copurchase(spark, d).edges.select("src", "dst"))
+    made = generators.random_weights(g, seed=1).edges
+    return made.agg(F.count("*").alias("edges"), F.count_if((F.col("w") < 0) | (F.col("w") >= 100_000_000)).alias("outside"), (F.count_distinct("w") > 0.99 * F.count("*")).alias("apart"))
+
+
 # PageRank and programs
 
 
@@ -349,6 +386,23 @@ def gas_pagerank(spark, d):
     return programs.run_gas(copurchase(spark, d), program, 10)[0].select("id", F.round("value.rank", 6).alias("rank"))
 
 
+@query
+def gas_control(spark, d):
+    """Values count the rounds that a vertex ran in; the schedule is made by hand."""
+
+    def control(ctx: programs.GASContext) -> None:
+        if ctx.iteration == 0:
+            ctx.signal(spark.range(0, ctx.num_vertices, 3))
+        elif ctx.iteration == 1:
+            ctx.signal_all()
+            ctx.remove(0, 99)
+        else:
+            ctx.stop()
+
+    program = programs.GASProgram(init=lambda: F.lit(0), gather=lambda v, edge: v, apply=lambda old, total, out: old + 1, scatter=lambda new, old: F.lit(False), gather_edges="none", scatter_edges="none", control=control)
+    return programs.run_gas(copurchase(spark, d), program, 10, signalled=spark.range(0))[0]
+
+
 @query
 def functional_pagerank(spark, d):
     kernel = programs.FunctionalKernel(
@@ -364,13 +418,13 @@ def functional_pagerank(spark, d):
 @query
 def functional_sync(spark, d):
     kernel = programs.FunctionalKernel(initial=lambda i, o: F.lit(0), gather=lambda s: s, apply=lambda total, old: old + 1, scatter=lambda v, out: v, plus=F.max, zero=0)
-    return programs.run_functional(copurchase(spark, d, sparse=True), kernel, 5)
+    return programs.run_functional(copurchase(spark, d), kernel, 5)
 
 
 @query
 def vertex_program_labels(spark, d):
     program = programs.VertexProgram(init=lambda: F.col("id"), message=lambda v, edge: v, combine=F.min, apply=lambda old, new: F.least(old, new), direction="both", frontier=True)
-    values, _ = programs.run_program(sparse_simple(spark, d), program, 100)
+    values, _ = programs.run_program(simple_copurchase(spark, d), program, 100)
     return values.withColumnRenamed("value", "component")
 
 
@@ -379,49 +433,49 @@ def vertex_program_labels(spark, d):
 
 @query
 def sssp(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return traversal.shortest_paths(g, _root(g))
 
 
 @query
 def sssp_histogram(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return analysis.label_histogram(traversal.shortest_paths(g, _root(g)), "distance")
 
 
 @query
 def bfs_levels(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return traversal.bfs(g, spark.range(_root(g), _root(g) + 1))
 
 
 @query
 def undirected_bfs_levels(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return traversal.bfs(g.undirected(), spark.range(_root(g), _root(g) + 1), 10)
 
 
 @query
 def klevel_edges(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return traversal.level_edges(g, _root(g), 3)
 
 
 @query
 def multi_root_bfs(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     roots = analysis.top_degree_vertices(g, 5).select("id", F.col("id").alias("label"))
     return traversal.label_levels(g, roots)
 
 
 @query
 def wcc(spark, d):
-    return connectivity.weak_components(sparse_simple(spark, d))
+    return connectivity.weak_components(simple_copurchase(spark, d))
 
 
 @query
 def wcc_sizes(spark, d):
-    return analysis.label_histogram(connectivity.weak_components(sparse_simple(spark, d)), "component")
+    return analysis.label_histogram(connectivity.weak_components(simple_copurchase(spark, d)), "component")
 
 
 @query
@@ -436,91 +490,128 @@ def component_lines(spark, d):
 
 @query
 def component_total(spark, d):
-    return analysis.component_count(connectivity.weak_components(sparse_simple(spark, d), isolated=True), "component")
+    return analysis.component_count(connectivity.weak_components(simple_copurchase(spark, d), isolated=True), "component")
 
 
 @query
 def component_levels(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return traversal.component_levels(g, connectivity.weak_components(g))
 
 
 @query
 def undirected_component_levels(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return analysis.level_histogram(traversal.component_levels(g, connectivity.weak_components(g), directed=False))
 
 
 @query
 def component_vmap(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return relabel.component_map(traversal.component_levels(g, connectivity.weak_components(g), directed=False), top=5)
 
 
 @query
 def forward_reach(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return traversal.reach(g, _root(g))
 
 
 @query
 def backward_reach(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return traversal.reach(g, _root(g), backward=True)
 
 
 @query
 def giant_scc(spark, d):
-    return connectivity.giant_component(sparse_simple(spark, d))[2]
+    return connectivity.giant_component(simple_copurchase(spark, d))[2]
 
 
 @query
 def big_scc_edges(spark, d):
-    return connectivity.split_giant(sparse_simple(spark, d))[0].edges
+    return connectivity.split_giant(simple_copurchase(spark, d))[0].edges
 
 
 @query
 def small_scc_edges(spark, d):
-    return connectivity.split_giant(sparse_simple(spark, d))[1].edges
+    return connectivity.split_giant(simple_copurchase(spark, d))[1].edges
 
 
 @query
 def bowtie_counts(spark, d):
-    return _six(connectivity.bow_tie_counts(connectivity.bow_tie(sparse_simple(spark, d))), "ratio")
+    return _six(connectivity.bow_tie_counts(connectivity.bow_tie(simple_copurchase(spark, d))), "ratio")
 
 
 @query
 def bowtie_vmap(spark, d):
-    return relabel.bow_tie_map(connectivity.bow_tie(sparse_simple(spark, d)))
+    return relabel.bow_tie_map(connectivity.bow_tie(simple_copurchase(spark, d)))
 
 
 @query
 def scc(spark, d):
-    return connectivity.strong_components(sparse_simple(spark, d))
+    return connectivity.strong_components(simple_copurchase(spark, d))
 
 
 @query
 def scc_check(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return analysis.inner_degree_check(g, connectivity.giant_component(g)[2])
 
 
+@query
+def constant_labels(spark, d):
+    return connectivity.weak_components(copurchase(spark, d)).withColumn("component", F.lit(300))
+
+
+# The loops that graphs beyond one task's size take, on the same graph
+
+
+@query
+def distributed_sssp(spark, d):
+    g = simple_copurchase(spark, d)
+    return traversal.shortest_paths(g, _root(g), local_edges=0)
+
+
+@query
+def distributed_bfs_levels(spark, d):
+    g = simple_copurchase(spark, d)
+    return traversal.bfs(g, spark.range(_root(g), _root(g) + 1), local_edges=0)
+
+
+@query
+def distributed_scc(spark, d):
+    return connectivity.strong_components(simple_copurchase(spark, d), local_edges=0)
+
+
 # Blocks and assignment
 
 
 @query
 def msbfs_blocks(spark, d):
-    return partition.multi_source_blocks(sparse_simple(spark, d), roots=8, levels=4)
+    return partition.multi_source_blocks(simple_copurchase(spark, d), roots=8, levels=4)
 
 
 @query
 def voronoi_blocks(spark, d):
-    return partition.voronoi_blocks(sparse_simple(spark, d), rate=0.02, most=100, growth=5, rounds=4)
+    return partition.voronoi_blocks(simple_copurchase(spark, d), rate=0.02, most=100, growth=5, rounds=4)
+
+
+@query
+def voronoi_check(spark, d):
+    """Every vertex once at most, every block with its source, none too large, each member next to another one."""
+    g = simple_copurchase(spark, d)
+    made = materialize(voronoi_blocks(spark, d), "voronoi")
+    sizes = made.groupBy("block").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("block")).alias("own"))
+    both = g.undirected().edges.join(made.select(F.col("id").alias("src"), "block"), "src").join(made.select(F.col("id").alias("dst"), F.col("block").alias("other")), "dst")
+    near = both.where("block = other").select(F.col("src").alias("id")).distinct()
+    alone = made.join(sizes, "block").where("n > 1").join(near, "id", "left_anti").agg(F.count("*").alias("alone"))
+    return made.agg((F.count("*") - F.count_distinct("id")).alias("twice")).crossJoin(sizes.agg(F.count_if(F.col("own") != 1).alias("without_source"), F.count_if(F.col("n") > 100).alias("too_large"))).crossJoin(alone)
 
 
 @query
 def residual_wcc(spark, d):
-    g = sparse_simple(spark, d)
+    g = simple_copurchase(spark, d)
     return partition.residual_components(g, traversal.bfs(g, spark.range(_root(g), _root(g) + 1)))
 
 
@@ -546,7 +637,17 @@ def block_vmap(spark, d):
 
 @query
 def dag_partition(spark, d):
-    return partition.dag_partition(sparse_simple(spark, d), PARTS, roots=8, levels=4)[0]
+    return partition.dag_partition(simple_copurchase(spark, d), PARTS, roots=8, levels=4)[0]
+
+
+@query
+def dag_check(spark, d):
+    """New ids without gaps, intervals that cover them, every edge kept."""
+    g = simple_copurchase(spark, d)
+    vmap, intervals, renamed = partition.dag_partition(g, PARTS, roots=8, levels=4)
+    ids = vmap.agg(F.count("*").alias("vertices"), F.count_distinct("new_id").alias("ids"), (F.max("new_id") + 1).alias("end"))
+    cover = intervals.agg(F.sum(F.col("end_id") - F.col("start_id") + 1).alias("covered"))
+    return ids.crossJoin(cover).crossJoin(renamed.edges.agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
 
 
 # Random steps, factors, dynamic graphs
@@ -558,6 +659,18 @@ def random_out_edge(spark, d):
     return random_walks(g, spark.range(20), 4)
 
 
+@query
+def random_walk_check(spark, d):
+    """Each step goes along an edge, and only vertices without out-edges end a walk."""
+    g = copurchase(spark, d)
+    walks = materialize(random_walks(g, spark.range(200), 4, seed=3), "walks")
+    onward = walks.select("start", (F.col("step") + 1).alias("step"), F.col("id").alias("src"))
+    moves = onward.join(walks.withColumnRenamed("id", "dst"), ["start", "step"])
+    edges = g.edges.select("src", "dst").distinct()
+    ended = onward.where("step <= 4").join(walks, ["start", "step"], "left_anti").join(edges, "src", "left_semi")
+    return walks.agg(F.count_if(F.col("step") == 0).alias("walks")).crossJoin(moves.join(edges, ["src", "dst"], "left_anti").agg(F.count("*").alias("jumps"))).crossJoin(ended.agg(F.count("*").alias("ended_early")))
+
+
 @query
 def factor_functions(spark, d):
     f = table(spark, d, "part").select("p_partkey", F.array(F.log(F.col("p_size") + 1.0), F.lit(0.0), F.lit(-1.0)).alias("f"))
@@ -566,7 +679,7 @@ def factor_functions(spark, d):
 
 
 def _dynamic(spark: SparkSession, d: str) -> DynamicGraph:
-    edges = copurchase(spark, d, sparse=True).edges
+    edges = copurchase(spark, d).edges
     g = DynamicGraph(spark, edges.where("src % 2 = 0"))
     g.add_edges(edges.where("src % 2 = 1"))
     return g
@@ -580,23 +693,44 @@ def dynamic_add(spark, d):
 @query
 def dynamic_delete(spark, d):
     g = _dynamic(spark, d)
-    g.remove_edges(copurchase(spark, d, sparse=True).edges.where("dst % 3 = 0"))
+    g.remove_edges(copurchase(spark, d).edges.where("dst % 3 = 0"))
     g.remove_out_edges(spark.range(0, 1000, 50))
     g.compact()
     return g.degrees()
 
 
-# The queries of the sparse graph on the whole one
-
+@query
+def dynamic_commit(spark, d):
+    """State after adding many edges, removing few, and removing many, each time with the policy's choice to compact."""
+    edges = copurchase(spark, d).edges
+    g = DynamicGraph(spark, edges.where("src % 4 = 0"))
+    rows = []
+    for step, change in enumerate((lambda: g.add_edges(edges.where("src % 4 = 1")), lambda: g.remove_edges(edges.where("dst % 50 = 0 and src % 4 < 2")), lambda: g.remove_edges(edges.where("dst % 5 = 1 and src % 4 < 2")))):
+        change()
+        g.compact_if_needed()
+        state = g.info()
+        rows.append((step, state["edges"], state["buffered"], state["removals"], state["version"]))
+    return spark.createDataFrame(rows, "step int, edges long, buffered long, removals long, version int")
 
-def _on_whole(f):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        with whole_graph():
-            return f(spark, d)
 
-    return run
+@query
+def dynamic_finish(spark, d):
+    """A stream of five batches of the same ten edges that is told to stop after two."""
+    path, kind = new_path(spark, "stream"), "op string, src long, dst long"
+    batch = generators.chain(spark, 11).edges.select(F.lit("add").alias("op"), "src", "dst")
+    for _ in range(5):
+        batch.coalesce(1).write.mode("append").parquet(path)
+    g = DynamicGraph(spark, generators.chain(spark, 11).edges)
+    g.finish_after(2)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    g.consume(stream, new_path(spark, "stream-state")).awaitTermination()
+    return g.edges().groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-_SPARSE = [n for n, f in QUERIES.items() if SPARSE_FILTER in ORACLES.get(n, "") or "sparse" in inspect.getsource(f)]
-QUERIES |= {f"whole_{n}": _on_whole(QUERIES[n]) for n in _SPARSE}
-ORACLES |= {f"whole_{n}": ORACLES[n].replace(SPARSE_FILTER, "") for n in _SPARSE if n in ORACLES}
+@query
+def edge_vectors(spark, d):
+    """Vectors that get one more element in each iteration."""
+    g = Graph(copurchase(spark, d).edges.select("src", "dst", F.array("src").alias("v")))
+    for k in range(1, 4):
+        g = append_values(g, "v", F.col("src") + k)
+    return g.edges.select("src", "dst", F.size("v").alias("n"), F.concat_ws(":", F.col("v").cast("array<string>")).alias("v"))

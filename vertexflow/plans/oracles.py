@@ -8,13 +8,9 @@ from __future__ import annotations
 _LEAD = "lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
 
 
-def _edges(where: str = "") -> str:
-    return f"(SELECT src, dst, w FROM (SELECT l_partkey AS src, {_LEAD} AS dst, l_quantity AS w FROM lineitem {where}) WHERE dst IS NOT NULL AND src <> dst)"
-
-
-#: What only the queries of the sparse graph have.
-SPARSE_FILTER = "WHERE l_orderkey % 20 = 0"
-_SPARSE_EDGES = _edges("WHERE l_orderkey % 20 = 0")
+#: The lines that make the graph; tests put a condition after it.
+LINES = "lineitem /* all lines */"
+_EDGES = f"(SELECT src, dst, w FROM (SELECT l_partkey AS src, {_LEAD} AS dst, l_quantity AS w FROM {LINES}) WHERE dst IS NOT NULL AND src <> dst)"
 _COMMON = """
 n AS MATERIALIZED (SELECT max(greatest(src, dst)) + 1 AS n FROM e),
 v AS MATERIALIZED (SELECT unnest(range(n)) AS id FROM n),
@@ -22,9 +18,8 @@ deg AS MATERIALIZED (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS o
 full_deg AS MATERIALIZED (SELECT id, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree FROM v LEFT JOIN deg USING (id)),
 root AS MATERIALIZED (SELECT coalesce(max(id), 0) AS root FROM (SELECT id FROM deg WHERE in_degree * out_degree > 0 ORDER BY in_degree * out_degree DESC, id LIMIT 1))"""
 
-DENSE = f"WITH RECURSIVE e AS MATERIALIZED {_edges()},{_COMMON}"
-SPARSE = f"WITH RECURSIVE e AS MATERIALIZED {_SPARSE_EDGES},{_COMMON}"
-SIMPLE = f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM {_SPARSE_EDGES} GROUP BY src, dst),{_COMMON}"
+GRAPH = f"WITH RECURSIVE e AS MATERIALIZED {_EDGES},{_COMMON}"
+SIMPLE = f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM {_EDGES} GROUP BY src, dst),{_COMMON}"
 
 # Even intervals: the first n % 4 parts hold one more id.
 _INTERVALS = """
@@ -35,7 +30,7 @@ def _pagerank(rounds: int, tail: str) -> str:
     steps = ["od AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY src)", "r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS r FROM v)"]
     for i in range(1, rounds + 1):
         steps.append(f"r{i} AS MATERIALIZED (SELECT v.id, 0.15 + 0.85 * coalesce(s, 0) AS r FROM v LEFT JOIN (SELECT dst, sum(r / k) AS s FROM e JOIN r{i - 1} ON e.src = r{i - 1}.id JOIN od ON od.src = e.src GROUP BY dst) ON dst = id)")
-    return DENSE + ",\n" + ",\n".join(steps) + "\n" + tail
+    return GRAPH + ",\n" + ",\n".join(steps) + "\n" + tail
 
 
 def _union(parts: list[str]) -> str:
@@ -82,45 +77,95 @@ def _lattice(n: int, dims: int) -> str:
     return _grid(n**dims, [(f"(id // {n**k}) % {n} < {n - 1}", f"id + {n**k}") for k in range(dims)])
 
 
+
+
+def _blocks_by_rounds(rounds: int, roots: int, levels: int) -> str:
+    """Multi-source blocks, round by round: those after the last have no roots."""
+    steps = ["a0 AS MATERIALIZED (SELECT id, in_degree FROM deg)"]
+    for r in range(1, rounds + 1):
+        going = f"(SELECT count(*) FROM a{r - 1}) >= 0.1 * (SELECT count(*) FROM a0)" + (f" AND (SELECT count(*) FROM a{r - 1}) < (SELECT count(*) FROM a{r - 2})" if r > 1 else "")
+        steps += [
+            f"t{r} AS MATERIALIZED (SELECT id FROM a{r - 1} WHERE {going} ORDER BY in_degree DESC, id LIMIT {roots})",
+            f"e{r} AS MATERIALIZED (SELECT src, dst FROM e WHERE src IN (SELECT id FROM a{r - 1}) AND dst IN (SELECT id FROM a{r - 1}))",
+            f"l{r}(id, label, level) AS (SELECT id, id, 0::BIGINT FROM t{r} UNION SELECT e{r}.dst, l{r}.label, l{r}.level + 1 FROM l{r} JOIN e{r} ON e{r}.src = l{r}.id WHERE level < {levels - 1})",
+            f"f{r} AS MATERIALIZED (SELECT id, arg_min(label, level * 1000000 + label) AS block, min(level) AS level FROM l{r} GROUP BY id)",
+            f"a{r} AS MATERIALIZED (SELECT * FROM a{r - 1} WHERE id NOT IN (SELECT id FROM f{r}))",
+        ]
+    return f"{SIMPLE}, " + ",\n".join(steps) + " " + _union([f"SELECT id, block, level FROM f{r}" for r in range(1, rounds + 1)])
+
+
+_SIZES = "s AS MATERIALIZED (SELECT id % 13 AS block, count(*)::BIGINT AS n FROM v GROUP BY 1),\no AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n DESC, block) AS k, block, n FROM s)"
+_LPT = f"""{GRAPH}, {_SIZES},
+r(k, block, part, loads) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::INT, [0::BIGINT, 0, 0, 0] UNION ALL
+  SELECT o.k, o.block, (list_position(loads, list_min(loads)) - 1)::INT, list_transform(range(1, 5), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END)
+  FROM r JOIN o ON o.k = r.k + 1)
+SELECT block, part FROM r WHERE k > 0"""
+# The state is one row: the part of each block (-1: none yet) and the loads; p is the least loaded part, b the block that it takes.
+_GREEDY = f"""{GRAPH}, {_SIZES},
+c AS (SELECT src % 13 AS a, dst % 13 AS b FROM e WHERE src % 13 <> dst % 13),
+m AS (SELECT x.block AS a, y.block AS b, (SELECT count(*) FROM c WHERE (c.a = x.block AND c.b = y.block) OR (c.a = y.block AND c.b = x.block)) AS w FROM s x, s y),
+g AS MATERIALIZED (SELECT (SELECT list(w ORDER BY a) FROM (SELECT a, list(w ORDER BY b) AS w FROM m GROUP BY a)) AS near, (SELECT list(n ORDER BY block) FROM s) AS size, (SELECT list(block ORDER BY k) FROM o) AS first),
+r(k, parts, loads) AS (
+  SELECT 4, list_transform(range(0, 13), lambda b: coalesce(list_position(first[1:4], b), 0) - 1), list_transform(range(1, 5), lambda i: size[first[i] + 1]) FROM g UNION ALL
+  SELECT k + 1, list_transform(range(1, 14), lambda i: CASE WHEN i = b + 1 THEN p ELSE parts[i] END), list_transform(range(1, 5), lambda i: loads[i] + CASE WHEN i = p + 1 THEN size[b + 1] ELSE 0 END)
+  FROM (SELECT k, parts, loads, p, size, list_sort(list_transform(list_filter(range(0, 13), lambda b: parts[b + 1] < 0), lambda b: {{
+      'share': -list_sum(list_transform(range(1, 14), lambda i: CASE WHEN parts[i] = p THEN near[b + 1][i] ELSE 0 END)) / list_sum(near[b + 1]), 'size': -size[b + 1], 'block': b}}))[1].block AS b
+    FROM (SELECT *, list_position(loads, list_min(loads)) - 1 AS p FROM r, g) WHERE k < 13))
+SELECT s.block, parts[s.block + 1]::INT AS part FROM r, s WHERE k = 13"""
+_BUDGET = f"""{GRAPH}, c AS MATERIALIZED (SELECT id, 256 + 16 * (in_degree + out_degree) AS c FROM full_deg),
+r(id, part, total) AS (SELECT id, 0, c FROM c WHERE id = 0 UNION ALL
+  SELECT c.id, CASE WHEN total > 0 AND total + c > 200000 THEN part + 1 ELSE part END, CASE WHEN total > 0 AND total + c > 200000 THEN c ELSE total + c END FROM r JOIN c ON c.id = r.id + 1)
+SELECT part, min(id) AS start_id, max(id) AS end_id FROM r GROUP BY part"""
+_BALANCED = f"""{GRAPH}, u AS (SELECT dst, sum(count(*)) OVER (ORDER BY dst) AS run FROM e GROUP BY dst),
+t AS (SELECT count(*) AS t FROM e),
+c1 AS (SELECT min(dst) AS c FROM u, t WHERE run >= t * 1 / 4), c2 AS (SELECT min(dst) AS c FROM u, t WHERE run >= t * 2 / 4 AND dst > (SELECT c FROM c1)), c3 AS (SELECT min(dst) AS c FROM u, t WHERE run >= t * 3 / 4 AND dst > (SELECT c FROM c2)),
+ends AS (SELECT c + 1 AS x FROM c1, n WHERE c + 1 < n UNION ALL SELECT c + 1 FROM c2, n WHERE c + 1 < n UNION ALL SELECT c + 1 FROM c3, n WHERE c + 1 < n UNION ALL SELECT n FROM n)
+SELECT (row_number() OVER (ORDER BY x) - 1)::INT AS part, coalesce(lag(x) OVER (ORDER BY x), 0)::BIGINT AS start_id, (x - 1)::BIGINT AS end_id FROM ends"""
+_COMMIT = f"""{GRAPH}, c AS (SELECT count(*) FILTER (src % 4 = 0) AS base, count(*) FILTER (src % 4 = 1) AS more, count(*) FILTER (src % 4 < 2 AND dst % 50 = 0) AS few, count(*) FILTER (src % 4 < 2 AND dst % 5 = 1) AS many,
+  count(*) FILTER (src % 4 < 2) AS one, count(*) FILTER (src % 4 < 2 AND dst % 50 <> 0) AS two, count(*) FILTER (src % 4 < 2 AND dst % 50 <> 0 AND dst % 5 <> 1) AS three FROM e),
+p AS (SELECT *, more >= 0.8 * base AS x FROM c), q AS (SELECT *, CASE WHEN x THEN one ELSE base END AS base2 FROM p), y AS (SELECT *, few >= 0.1 * base2 AS y FROM q), z AS (SELECT *, CASE WHEN y THEN two ELSE base2 END AS base3, CASE WHEN y THEN 0 ELSE few END AS left3 FROM y), w AS (SELECT *, left3 + many >= 0.1 * base3 AS z FROM z)
+SELECT 0 AS step, one AS edges, CASE WHEN x THEN 0 ELSE more END AS buffered, 0::BIGINT AS removals, x::INT AS version FROM w UNION ALL
+SELECT 1, two, CASE WHEN x OR y THEN 0 ELSE more END, CASE WHEN y THEN 0 ELSE few END, x::INT + y::INT FROM w UNION ALL
+SELECT 2, three, CASE WHEN x OR y OR z THEN 0 ELSE more END, CASE WHEN z THEN 0 ELSE left3 + many END, x::INT + y::INT + z::INT FROM w"""
 _CROSS = 15
 
 ORACLES: dict[str, str] = {
-    "degree_table": f"{DENSE} SELECT * FROM full_deg",
-    "degree_scan": f"{DENSE} SELECT sum(in_degree)::BIGINT AS in_total, sum(out_degree)::BIGINT AS out_total, max(CASE WHEN id = 7 THEN in_degree END) AS in_7, max(CASE WHEN id = 7 THEN out_degree END) AS out_7 FROM deg",
-    "top_degree": f"{DENSE} SELECT id, in_degree FROM deg ORDER BY in_degree DESC, id LIMIT 50",
-    "lowest_degree": f"{DENSE} SELECT id, in_degree + out_degree AS degree FROM deg ORDER BY 2, 1 LIMIT 10",
-    "max_degree_product_root": f"{DENSE} SELECT root FROM root",
-    "dedupe_edges_min": f"{DENSE} SELECT src, dst, min(w) AS w FROM e GROUP BY src, dst",
-    "dedupe_edges_prefer": f"{DENSE} SELECT src, dst, max(w) AS w FROM e GROUP BY src, dst",
+    "degree_table": f"{GRAPH} SELECT * FROM full_deg",
+    "degree_scan": f"{GRAPH} SELECT sum(in_degree)::BIGINT AS in_total, sum(out_degree)::BIGINT AS out_total, max(CASE WHEN id = 7 THEN in_degree END) AS in_7, max(CASE WHEN id = 7 THEN out_degree END) AS out_7 FROM deg",
+    "top_degree": f"{GRAPH} SELECT id, in_degree FROM deg ORDER BY in_degree DESC, id LIMIT 50",
+    "lowest_degree": f"{GRAPH} SELECT id, in_degree + out_degree AS degree FROM deg ORDER BY 2, 1 LIMIT 10",
+    "max_degree_product_root": f"{GRAPH} SELECT root FROM root",
+    "dedupe_edges_min": f"{GRAPH} SELECT src, dst, min(w) AS w FROM e GROUP BY src, dst",
+    "dedupe_edges_prefer": f"{GRAPH} SELECT src, dst, max(w) AS w FROM e GROUP BY src, dst",
     "edge_multiplicity": "SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2",
-    "undirected_neighbours": f"{DENSE}, {_BOTH} SELECT a AS id, count(*) AS n, min(b) AS least, max(b) AS largest FROM u GROUP BY a",
-    "neighbour_lists": f"{SPARSE} SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS targets FROM e GROUP BY src",
-    "max_vertex_filter": f"{DENSE} SELECT src, dst, count(*) AS n FROM e WHERE src <= 100 AND dst <= 100 GROUP BY src, dst",
-    "edges_without_vertices": f"{SPARSE} SELECT src, dst, count(*) AS n FROM e WHERE src % 10 <> 0 AND dst % 10 <> 0 GROUP BY src, dst",
-    "reset_edge_values": f"{SPARSE} SELECT src, count(*)::DOUBLE AS total FROM e GROUP BY src",
-    "edge_aggregate": f"{DENSE} SELECT sum(2 * w) + 1 AS total FROM e",
-    "vertex_sum": f"{DENSE} SELECT sum(in_degree)::BIGINT AS total FROM full_deg WHERE id >= 10 AND id < 100",
-    "active_vertices": f"{SPARSE} SELECT sum((in_degree > 0 AND out_degree > 0)::BIGINT)::BIGINT AS active, count(*) AS total FROM full_deg",
-    "hash_relabel_vmap": f"{DENSE} SELECT id AS old_id, {_HASH} AS new_id FROM v, n",
-    "hash_relabel_edges": f"{DENSE}, m AS (SELECT id AS old_id, {_HASH} AS new_id FROM v, n) SELECT a.new_id AS src, b.new_id AS dst, count(*) AS n FROM e JOIN m a ON e.src = a.old_id JOIN m b ON e.dst = b.old_id GROUP BY 1, 2",
-    "hash_intervals": f"{DENSE}, {_INTERVALS} SELECT part::INT AS part, s AS start_id, t AS end_id FROM iv",
-    "degree_sort_vmap": f"{SPARSE}, a AS (SELECT id, in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) AS k FROM deg), b AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM deg) SELECT b.id AS new_id, a.id AS old_id, degree FROM a JOIN b USING (k)",
-    "order_by_degree_vmap": f"{SPARSE}, {_ORDERED} SELECT * FROM od",
-    "apply_vmap": f"{SPARSE}, {_ORDERED} SELECT a.new_id AS src, b.new_id AS dst, min(w) AS w FROM e JOIN od a ON e.src = a.old_id JOIN od b ON e.dst = b.old_id GROUP BY 1, 2",
-    "partition_file_vmap": f"{SPARSE}, m AS (SELECT id AS old_id, row_number() OVER (ORDER BY id * 7 % 4, id) - 1 AS new_id FROM v) SELECT * FROM m WHERE old_id IN (SELECT id FROM deg)",
-    "partition_file_intervals": f"{SPARSE}, s AS (SELECT (id * 7 % 4)::INT AS part, count(*) AS k FROM v GROUP BY 1) SELECT part, (sum(k) OVER (ORDER BY part) - k)::BIGINT AS start_id, (sum(k) OVER (ORDER BY part) - 1)::BIGINT AS end_id FROM s",
-    "interval_of_vertex": f"{DENSE}, {_INTERVALS} SELECT id, part::INT AS part FROM v JOIN iv ON id BETWEEN s AND t",
-    "cut_matrix": f"{DENSE}, {_INTERVALS} SELECT a.part::INT AS part, b.part::INT AS other, count(*) AS edges FROM e JOIN iv a ON src BETWEEN a.s AND a.t JOIN iv b ON dst BETWEEN b.s AND b.t WHERE a.part <> b.part GROUP BY 1, 2",
-    "boundary_ratio": f"{SPARSE}, {_INTERVALS}, x AS (SELECT DISTINCT src AS id FROM e JOIN iv a ON src BETWEEN a.s AND a.t JOIN iv b ON dst BETWEEN b.s AND b.t WHERE a.part <> b.part) SELECT part::INT AS part, count(*) AS vertices, count(x.id) AS boundary, round(count(x.id) / count(*), 6) AS ratio FROM deg JOIN iv ON deg.id BETWEEN s AND t LEFT JOIN x ON x.id = deg.id GROUP BY 1",
-    "block_matrix": f"{DENSE} SELECT src % 7 AS block, dst % 7 AS other, count(*) AS edges FROM e GROUP BY 1, 2",
-    "range_partition": f"{DENSE} SELECT dst, count(*) AS n FROM e GROUP BY dst",
-    "edge_lines": f"{SPARSE} SELECT src || chr(9) || dst || chr(9) || printf('%.3f', w) AS line FROM e",
-    "metis_lines": f"{SPARSE}, {_BOTH}, l AS (SELECT a, string_agg((b + 1)::VARCHAR, ' ' ORDER BY b) AS line FROM u GROUP BY a) SELECT 0::BIGINT AS row, n || ' ' || (SELECT count(*) // 2 FROM u) AS line FROM n UNION ALL SELECT id + 1, coalesce(line, '') FROM v LEFT JOIN l ON a = id",
-    "adjlist_lines": f"{SPARSE} SELECT 0::BIGINT AS row, '#vnum=' || n || ' enum=' || (SELECT count(*) FROM e) AS line FROM n UNION ALL SELECT src + 1, src || ' ' || string_agg(dst::VARCHAR, ' ' ORDER BY dst) FROM e GROUP BY src",
-    "parse_edgelist": f"{SPARSE} SELECT src, dst, w FROM e",
-    "parse_multivalue": f"{SPARSE} SELECT src, dst, 3 AS n, (w::INT + src + dst)::BIGINT AS total FROM e",
-    "parse_adjacency": f"{SPARSE} SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst",
-    "parse_metis": f"{SPARSE}, {_BOTH} SELECT a AS src, b AS dst FROM u WHERE a < b",
+    "undirected_neighbours": f"{GRAPH}, {_BOTH} SELECT a AS id, count(*) AS n, min(b) AS least, max(b) AS largest FROM u GROUP BY a",
+    "neighbour_lists": f"{GRAPH} SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS targets FROM e GROUP BY src",
+    "max_vertex_filter": f"{GRAPH} SELECT src, dst, count(*) AS n FROM e WHERE src <= 100 AND dst <= 100 GROUP BY src, dst",
+    "edges_without_vertices": f"{GRAPH} SELECT src, dst, count(*) AS n FROM e WHERE src % 10 <> 0 AND dst % 10 <> 0 GROUP BY src, dst",
+    "reset_edge_values": f"{GRAPH} SELECT src, count(*)::DOUBLE AS total FROM e GROUP BY src",
+    "edge_aggregate": f"{GRAPH} SELECT sum(2 * w) + 1 AS total FROM e",
+    "vertex_sum": f"{GRAPH} SELECT sum(in_degree)::BIGINT AS total FROM full_deg WHERE id >= 10 AND id < 100",
+    "active_vertices": f"{GRAPH} SELECT sum((in_degree > 0 AND out_degree > 0)::BIGINT)::BIGINT AS active, count(*) AS total FROM full_deg",
+    "hash_relabel_vmap": f"{GRAPH} SELECT id AS old_id, {_HASH} AS new_id FROM v, n",
+    "hash_relabel_edges": f"{GRAPH}, m AS (SELECT id AS old_id, {_HASH} AS new_id FROM v, n) SELECT a.new_id AS src, b.new_id AS dst, count(*) AS n FROM e JOIN m a ON e.src = a.old_id JOIN m b ON e.dst = b.old_id GROUP BY 1, 2",
+    "hash_intervals": f"{GRAPH}, {_INTERVALS} SELECT part::INT AS part, s AS start_id, t AS end_id FROM iv",
+    "degree_sort_vmap": f"{GRAPH}, a AS (SELECT id, in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) AS k FROM deg), b AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM deg) SELECT b.id AS new_id, a.id AS old_id, degree FROM a JOIN b USING (k)",
+    "order_by_degree_vmap": f"{GRAPH}, {_ORDERED} SELECT * FROM od",
+    "apply_vmap": f"{GRAPH}, {_ORDERED} SELECT a.new_id AS src, b.new_id AS dst, min(w) AS w FROM e JOIN od a ON e.src = a.old_id JOIN od b ON e.dst = b.old_id GROUP BY 1, 2",
+    "partition_file_vmap": f"{GRAPH}, m AS (SELECT id AS old_id, row_number() OVER (ORDER BY id * 7 % 4, id) - 1 AS new_id FROM v) SELECT * FROM m WHERE old_id IN (SELECT id FROM deg)",
+    "partition_file_intervals": f"{GRAPH}, s AS (SELECT (id * 7 % 4)::INT AS part, count(*) AS k FROM v GROUP BY 1) SELECT part, (sum(k) OVER (ORDER BY part) - k)::BIGINT AS start_id, (sum(k) OVER (ORDER BY part) - 1)::BIGINT AS end_id FROM s",
+    "interval_of_vertex": f"{GRAPH}, {_INTERVALS} SELECT id, part::INT AS part FROM v JOIN iv ON id BETWEEN s AND t",
+    "cut_matrix": f"{GRAPH}, {_INTERVALS} SELECT a.part::INT AS part, b.part::INT AS other, count(*) AS edges FROM e JOIN iv a ON src BETWEEN a.s AND a.t JOIN iv b ON dst BETWEEN b.s AND b.t WHERE a.part <> b.part GROUP BY 1, 2",
+    "boundary_ratio": f"{GRAPH}, {_INTERVALS}, x AS (SELECT DISTINCT src AS id FROM e JOIN iv a ON src BETWEEN a.s AND a.t JOIN iv b ON dst BETWEEN b.s AND b.t WHERE a.part <> b.part) SELECT part::INT AS part, count(*) AS vertices, count(x.id) AS boundary, round(count(x.id) / count(*), 6) AS ratio FROM deg JOIN iv ON deg.id BETWEEN s AND t LEFT JOIN x ON x.id = deg.id GROUP BY 1",
+    "block_matrix": f"{GRAPH} SELECT src % 7 AS block, dst % 7 AS other, count(*) AS edges FROM e GROUP BY 1, 2",
+    "range_partition": f"{GRAPH} SELECT dst, count(*) AS n FROM e GROUP BY dst",
+    "edge_lines": f"{GRAPH} SELECT src || chr(9) || dst || chr(9) || printf('%.3f', w) AS line FROM e",
+    "metis_lines": f"{GRAPH}, {_BOTH}, l AS (SELECT a, string_agg((b + 1)::VARCHAR, ' ' ORDER BY b) AS line FROM u GROUP BY a) SELECT 0::BIGINT AS row, n || ' ' || (SELECT count(*) // 2 FROM u) AS line FROM n UNION ALL SELECT id + 1, coalesce(line, '') FROM v LEFT JOIN l ON a = id",
+    "adjlist_lines": f"{GRAPH} SELECT 0::BIGINT AS row, '#vnum=' || n || ' enum=' || (SELECT count(*) FROM e) AS line FROM n UNION ALL SELECT src + 1, src || ' ' || string_agg(dst::VARCHAR, ' ' ORDER BY dst) FROM e GROUP BY src",
+    "parse_edgelist": f"{GRAPH} SELECT src, dst, w FROM e",
+    "parse_multivalue": f"{GRAPH} SELECT src, dst, 3 AS n, (w::INT + src + dst)::BIGINT AS total FROM e",
+    "parse_adjacency": f"{GRAPH} SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst",
+    "parse_metis": f"{GRAPH}, {_BOTH} SELECT a AS src, b AS dst FROM u WHERE a < b",
     "generator_grid": _lattice(20, 2),
     "generator_chain": _lattice(500, 1),
     "generator_cross_grid": _grid(_CROSS**2, [(f"id % {_CROSS} < {_CROSS - 1}", "id + 1"), (f"id // {_CROSS} < {_CROSS - 1}", f"id + {_CROSS}"), (f"id % {_CROSS} < {_CROSS - 1} AND id // {_CROSS} < {_CROSS - 1}", f"id + {_CROSS + 1}"), (f"id % {_CROSS} < {_CROSS - 1} AND id >= {_CROSS}", f"id - {_CROSS} + 1")]),
@@ -134,7 +179,7 @@ ORACLES: dict[str, str] = {
     "pagerank_audit": _pagerank(10, _union([f"SELECT {i}::INT AS iteration, round(sum(abs(a.r - b.r)), 6) AS l1, sum((abs(a.r - b.r) > 0.001)::BIGINT)::BIGINT AS active FROM r{i} a JOIN r10 b USING (id)" for i in range(1, 4)])),
     "gas_pagerank": _pagerank(10, "SELECT id, round(r, 6) AS rank FROM r10"),
     "functional_pagerank": _pagerank(5, "SELECT id, round(r, 6) AS rank FROM r5"),
-    "functional_sync": f"{SPARSE} SELECT id, 4 AS value FROM v",
+    "functional_sync": f"{GRAPH} SELECT id, 4 AS value FROM v",
     "vertex_program_labels": f"{SIMPLE}, {_WCC} SELECT v.id, coalesce(component, v.id) AS component FROM v LEFT JOIN wcc USING (id)",
     "sssp": _sssp(f"SELECT id, d AS distance FROM d{_SSSP_ROUNDS}"),
     "sssp_histogram": _sssp(f"SELECT d AS label, count(*) AS vertices FROM d{_SSSP_ROUNDS} GROUP BY d"),
@@ -160,8 +205,27 @@ ORACLES: dict[str, str] = {
     "scc": f"{SIMPLE}, r(a, b) AS (SELECT id, id FROM deg UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), p AS MATERIALIZED (SELECT a, b FROM r) SELECT x.a AS id, min(x.b) AS component FROM p x JOIN p y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
     "scc_check": f"{SIMPLE}, {_GIANT}, i AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM giant) AND dst IN (SELECT id FROM giant)), c AS (SELECT giant.id, (SELECT count(*) FROM i WHERE src = giant.id) + (SELECT count(*) FROM i WHERE dst = giant.id) AS edges FROM giant) SELECT id, edges FROM c WHERE edges < 2",
     "residual_wcc": f"{SIMPLE}, {_FORWARD}, q AS MATERIALIZED (SELECT id FROM deg WHERE id NOT IN (SELECT id FROM fw)), u AS MATERIALIZED (SELECT a, b FROM (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e) WHERE a IN (SELECT id FROM q) AND b IN (SELECT id FROM q)), w(id, l) AS (SELECT id, id FROM q UNION SELECT u.b, w.l FROM w JOIN u ON u.a = w.id) SELECT id, min(l) AS block FROM w GROUP BY id",
-    "block_vmap": f"{DENSE} SELECT id AS old_id, row_number() OVER (ORDER BY (id % 13) % 4, id % 13, id) - 1 AS new_id FROM v",
+    "block_vmap": f"{GRAPH} SELECT id AS old_id, row_number() OVER (ORDER BY (id % 13) % 4, id % 13, id) - 1 AS new_id FROM v",
     "factor_functions": "WITH f AS (SELECT p_partkey, ln(p_size + 1.0) AS a, 0.0 AS b, -1.0 AS c FROM part), z AS (SELECT *, ln(exp(a) + exp(b) + exp(c)) AS z FROM f) SELECT p_partkey, round(a - z, 6) AS first, round(greatest(abs(a - z + ln(3)), abs(b - z + ln(3)), abs(c - z + ln(3))), 6) AS norm, (CASE WHEN a >= b THEN 0 ELSE 1 END)::BIGINT AS best FROM z",
-    "dynamic_add": f"{SPARSE} SELECT id, in_degree, out_degree FROM deg",
-    "dynamic_delete": f"WITH e AS (SELECT * FROM {_SPARSE_EDGES} WHERE dst % 3 <> 0 AND NOT (src % 50 = 0 AND src < 1000)) SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id",
+    "constant_labels": f"{GRAPH} SELECT id, 300 AS component FROM deg",
+    "parse_cassovary": f"{GRAPH} SELECT src, dst FROM e",
+    "parse_binary": f"{GRAPH} SELECT src, dst FROM e",
+    "parse_binary_values": f"{GRAPH} SELECT src, dst, w FROM e",
+    "erdos_renyi_check": "SELECT true AS fair, 0::BIGINT AS loops, 0::BIGINT AS twice",
+    "random_weights_check": f"{GRAPH} SELECT count(*) AS edges, 0::BIGINT AS outside, true AS apart FROM e",
+    "random_walk_check": "SELECT 200::BIGINT AS walks, 0::BIGINT AS jumps, 0::BIGINT AS ended_early",
+    "voronoi_check": "SELECT 0::BIGINT AS twice, 0::BIGINT AS without_source, 0::BIGINT AS too_large, 0::BIGINT AS alone",
+    "dag_check": f"{SIMPLE} SELECT (SELECT count(*) FROM deg) AS vertices, (SELECT count(*) FROM deg) AS ids, (SELECT count(*) FROM deg) AS end, (SELECT count(*) FROM deg) AS covered, (SELECT count(*) FROM e) AS edges, (SELECT sum(w) FROM e) AS weight",
+    "gas_control": f"{GRAPH} SELECT id, (id % 3 = 0)::INT + (id >= 100)::INT AS value FROM v",
+    "msbfs_blocks": _blocks_by_rounds(6, 8, 4),
+    "lpt_assignment": _LPT,
+    "greedy_assignment": _GREEDY,
+    "budget_intervals": _BUDGET,
+    "edge_balanced_intervals": _BALANCED,
+    "dynamic_commit": _COMMIT,
+    "dynamic_finish": "SELECT i AS src, i + 1 AS dst, 3::BIGINT AS n FROM range(10) x(i)",
+    "edge_vectors": f"{GRAPH} SELECT src, dst, 4 AS n, concat_ws(':', src, src + 1, src + 2, src + 3) AS v FROM e",
+    "dynamic_add": f"{GRAPH} SELECT id, in_degree, out_degree FROM deg",
+    "dynamic_delete": f"WITH e AS (SELECT * FROM {_EDGES} WHERE dst % 3 <> 0 AND NOT (src % 50 = 0 AND src < 1000)) SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id",
 }
+ORACLES |= {f"distributed_{name}": ORACLES[name] for name in ("sssp", "bfs_levels", "scc")}

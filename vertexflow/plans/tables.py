@@ -12,35 +12,35 @@ from pyspark.sql import functions as F
 from vertexflow.operators.graph import Graph
 
 
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
+_only: ContextVar[str | None] = ContextVar("only", default=None)
 
 
 @contextmanager
-def whole_graph():
-    """Within this, what asks for the sparse graph gets the whole one."""
-    before = _whole.set(True)
+def lines_where(condition: str):
+    """Within this, co-purchase graphs have only the lines that meet ``condition``: small graphs of other shapes, for tests."""
+    before = _only.set(condition)
     try:
         yield
     finally:
-        _whole.reset(before)
+        _only.reset(before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def copurchase(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Graph:
+def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     """An edge from each part of an order to the next one, with its quantity; parallel edges are kept."""
     lines = table(spark, sf_dir, "lineitem")
-    if sparse and not _whole.get():
-        lines = lines.where("l_orderkey % 20 = 0")
+    if _only.get():
+        lines = lines.where(_only.get())
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return Graph(lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.col("l_quantity").alias("w")))
 
 
-def sparse_simple(spark: SparkSession, sf_dir: str) -> Graph:
-    """The sparse graph with one edge for each pair, of the least quantity."""
-    return copurchase(spark, sf_dir, sparse=True).dedupe(w=F.min("w"))
+def simple_copurchase(spark: SparkSession, sf_dir: str) -> Graph:
+    """One edge for each pair, of the least quantity."""
+    return copurchase(spark, sf_dir).dedupe(w=F.min("w"))
 
 
 def nation_trade(spark: SparkSession, sf_dir: str) -> Graph:
