@@ -1,9 +1,9 @@
 """Relabelings: new dense ids for vertices, as tables ``old_id, new_id``.
 
 Ranks over all vertices come from counts by ordered key: the number of vertices
-with a smaller key is a running sum over the few distinct keys, and ranks within a
-key are numbered in parallel.  So no window runs over the whole table in one task
-unless all vertices share one key.
+with a smaller key is a running sum over the distinct keys, the number within a key
+one over that key's spans of ids, and ranks within a span are numbered in parallel.
+So no window runs over the whole table in one task.
 """
 
 from __future__ import annotations
@@ -21,10 +21,15 @@ SPAN = 1 << 16
 def ranked(rows: DataFrame, *keys: Column, id_col: str = "id") -> DataFrame:
     """``rows`` with ``rank`` from 0, in the order of ``keys`` and then of the whole-number id."""
     named = rows.withColumns({f"_k{i}": k for i, k in enumerate(keys)}).withColumn("_span", F.floor(F.col(id_col) / SPAN))
-    by = [f"_k{i}" for i in range(len(keys))] + ["_span"]
+    own = [f"_k{i}" for i in range(len(keys))]
+    by = [*own, "_span"]
     sizes = named.groupBy(*by).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_start", before).drop("_n")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*own).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if own:  # one row for each key is put in order, and each key's spans by themselves
+        ahead = F.coalesce(F.sum("_all").over(W.orderBy(*own).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        totals = sizes.groupBy(*own).agg(F.sum("_n").alias("_all")).select(*own, ahead.alias("_ahead"))
+        sizes, before = sizes.join(totals, own), before + F.col("_ahead")
+    starts = sizes.select(*by, before.alias("_start"))
     within = named.withColumn("_row", F.row_number().over(W.partitionBy(*by).orderBy(id_col)))
     joined = within.join(starts, by)
     return joined.select(*rows.columns, (F.col("_start") + F.col("_row") - 1).alias("rank"))
