@@ -17,7 +17,7 @@ from vertexflow.llm.packing import pack_documents
 from vertexflow.llm.quality import score_quality
 from vertexflow.llm.queries import quality_model, word_count
 from vertexflow.llm.text import fresh
-from vertexflow.storage import materialize
+from vertexflow.storage import discard, materialize
 
 #: The classifier, copies and packing follow no SQL; tests/llm compares the run with a plain one.
 ORACLE_SQL = None
@@ -59,5 +59,6 @@ STAGES = [("quality classifier", quality), ("exact dedup", exact_dedup), ("near
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs
