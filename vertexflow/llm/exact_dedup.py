@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vertexflow.storage import discard, materialize
 
-from .tables import bucketed
+from .tables import bucketed, towards
 from .text import column, fresh
 from .worker import state
 
@@ -143,7 +143,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     bits = duplicate_bitmaps(table.where("blob is not null").select("sender", "owner", "blob"))
 
     # Rows stay in the buckets where their sender wrote them; bitmaps alone are shuffled.
-    bits = bits.groupBy("sender").agg(F.map_from_entries(F.collect_list(F.struct("owner", "bits"))).alias("bits"))
+    bits = towards(bits, table, "sender").groupBy("sender").agg(F.map_from_entries(F.collect_list(F.struct("owner", "bits"))).alias("bits"))
     byte = F.conv(F.hex(F.expr("substring(bits[owner], cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
     flagged = known.join(bits.hint("merge"), "sender").withColumn("byte", byte).where("shiftright(byte, cast(7 - place % 8 as int)) % 2 = 1")
     suspects = materialize(flagged.groupBy("sha").agg(F.count("*").alias("n")).select("sha"), "suspects")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from vertexflow.storage import discard, materialize
 
 from . import sorted_keys as sk
-from .tables import bucketed
+from .tables import bucketed, towards
 from .text import column, cut_text, mix, words
 from .worker import state
 
@@ -229,7 +229,7 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", id_col: s
         return pa.table(cols, ["row", "id", "train", "n", "known", "base", "score"])
 
     schema = f"row long, id {id_type}, train boolean, n long, known long, base double, score double"
-    walked = texts.groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk")).applyInArrow(walk, schema)
+    walked = texts.groupBy("chunk").cogroup(towards(answers.where("chunk is not null"), texts, "chunk").groupBy("chunk")).applyInArrow(walk, schema)
     walked = materialize(walked, "walked")
     discard(texts, answers)
     out = walked.groupBy("row").agg(F.first("id").alias("id"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))

@@ -18,9 +18,15 @@ def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     Buckets need a catalog entry, which goes as soon as the scan is known.
     """
     spark, name, path = df.sparkSession, f"vertexflow_{uuid.uuid4().hex}", new_path(df.sparkSession, tag)
+    buckets = max(1, min(BUCKETS, buckets))
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
-    writer.bucketBy(max(1, min(BUCKETS, buckets)), key).saveAsTable(name)
+    writer.bucketBy(buckets, key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
-    table._vertexflow_path = path
+    table._vertexflow_path, table._buckets = path, buckets
     return table
+
+
+def towards(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt as the buckets of ``table`` are, so that a join by ``key`` moves ``df`` alone."""
+    return df.repartition(table._buckets, key)
