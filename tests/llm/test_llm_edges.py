@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -396,3 +397,89 @@ def test_word_vectors_come_from_unlabelled_documents_too(spark):
     df = spark.createDataFrame([(i, f"only{i} word{i} here{i}") for i in range(40)], "doc_id long, text string")
     few = df.where("doc_id < 4").select("doc_id", (F.col("doc_id") % 2).alias("quality"))
     assert fit_quality(df, few).vectors.any(1).sum() > 60
+
+
+def _plain_tokens(body):
+    """Words with their row of word vectors, and the flags that make their shape, one at a time."""
+    from vertexflow.llm import quality as q
+
+    raw, out, before = body.encode(), [], None
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        w = m[0]
+        upper, lower, digits = (sum(lo <= b <= hi for b in w) for lo, hi in ((65, 90), (97, 122), (48, 57)))
+        symbols = sum(0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) not in ".,;:'\"()-" for b in w)
+        length = sum(len(w) >= n for n in (3, 7, 13))
+        shape = (upper > lower + 1) + 2 * (symbols == 1) + 4 * (symbols > 1) + 8 * (digits > 0) + 16 * (w.lower() == before) + 32 * length + 128 * (upper + lower == 0)
+        row = int(text.words(pa.array([w.decode()])).hashes[0]) % q.ROWS
+        out.append((row, q.ROWS + shape))
+        before = w.lower()
+    return out
+
+
+def test_word_vectors_and_features_match_plain_loops(monkeypatch):
+    """Random indexing, pooling, network and temperature against loops over words, with blocks of 7 words."""
+    from vertexflow.llm import quality as q
+
+    rng = random.Random(8)
+    bodies = [" ".join(rng.choices(["the", "The", "THE", "a", "$$$", "x1", "über", "GOOD!!", "extraordinarily", "word,", "9"], k=k)) for k in (0, 1, 2, 3, 8, 30, 50)] + ["", "the the\nThe"]
+    index = q.index_vectors()
+    vectors, plain = np.zeros((q.ROWS, q.DIMS)), []
+    for body in bodies:
+        own = _plain_tokens(body)
+        for i, (row, shape) in enumerate(own):
+            vectors[row] += index[shape]
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(own):
+                    vectors[row] += index[own[j][0]] + index[own[j][1]]
+    monkeypatch.setattr(q, "BLOCK", 7)
+    total = np.zeros((q.ROWS, q.DIMS), np.float32)
+    q._contexts(q._tokens(pa.array(bodies)), index, total)
+    assert np.allclose(total, vectors, atol=1e-3)
+    model = q.QualityModel(vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1))
+    for body in bodies:
+        own, n = _plain_tokens(body), max(1, len(_plain_tokens(body)))
+        means = [sum((table[t[c]].astype(float) for t in own), np.zeros(q.DIMS)) / n for c, table in ((0, model.vectors), (1, index))]
+        plain.append(np.concatenate([*means, [np.log(1 + len(own))]]))
+    assert np.allclose(model.features(pa.array(bodies)), plain, atol=1e-3)
+    y = np.array([len(b) % 2 for b in bodies] * 20, float)
+    model.fit(np.array(plain * 20), y)
+    mean, scale, w1, b1, w2, b2 = model.layers
+    for x, p in zip(plain, model.probabilities(np.array(plain)), strict=True):
+        hidden = [np.tanh(sum((x[i] - mean[i]) / scale[i] * w1[i][h] for i in range(len(x))) + b1[h]) for h in range(len(b1))]
+        assert p == pytest.approx(1 / (1 + np.exp(-(sum(a * b for a, b in zip(hidden, w2, strict=True)) + b2) / model.temperature)))
+
+
+def test_labels_that_repeat_an_id_count_once(spark):
+    df = spark.createDataFrame([(i, f"w{i % 3} here") for i in range(30)], "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    once, twice = fit_quality(df, labels), fit_quality(df, labels.union(labels).union(labels.withColumn("quality", F.lit(0).cast("long"))))
+    assert once.prior == twice.prior and all((a == b).all() for a, b in zip(once.layers[:5], twice.layers[:5], strict=True))
+
+
+@pytest.fixture(scope="module")
+def huge(spark):
+    """Texts of 50 MB: many words, and one word."""
+    part = " ".join(random.Random(9).choices([f"word{i}" for i in range(5000)], k=100_000)) + " "
+    many = part * (50_000_000 // len(part))
+    return spark.createDataFrame([(0, many), (1, "short text here"), (2, many)], "doc_id long, text string").repartition(3)
+
+
+def test_texts_of_50_mb(spark, huge):
+    few = spark.createDataFrame([(i, ("GOOD!! $$$ " if i % 2 else "plain word here ") * (1 + i % 5)) for i in range(60)], "doc_id long, text string")
+    model = fit_quality(few, few.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+    scores = {r.doc_id: r.score for r in score_quality(huge, model).select("doc_id", "score").collect()}
+    assert scores[0] == pytest.approx(scores[2]) and len(scores) == 3
+    rows = {r.doc_id: r for r in score_texts(huge, F.col("doc_id") < 2).collect()}
+    assert rows[0].n_tokens > 5_000_000 and rows[0].score == pytest.approx(rows[2].score) and rows[0].score > rows[0].base_score
+    near = {r.doc_id: r.component_id for r in near_duplicates(huge).collect()}
+    assert near == {0: 0, 1: 1, 2: 0}
+    assert scan_secrets(huge).where("spans = ''").count() == 3
+
+
+def test_one_word_of_many_mb():
+    """Hashes of very long words are the same by parts; blocks see each word once."""
+    word = "".join(random.Random(4).choices("abcdefgh", k=3_000_000))
+    both = text.words(pa.array([word, "x " + word.upper() + " y"]))
+    assert len(both.hashes) == 4 and both.hashes[0] == both.hashes[2]
+    parts = list(text.blocks(both, 3))
+    assert [len(p.hashes) for p in parts] == [3, 1] and sum(np.diff(p.first) for p in parts).tolist() == [1, 3]
