@@ -92,6 +92,8 @@ def reset_values(graph: Graph, **values) -> Graph:
     return Graph(graph.edges.select("src", "dst", *[F.lit(v).alias(n) for n, v in values.items()]))
 
 
+#: Most sources whose edges are dealt over several tasks.
+LARGE = 100_000
 #: Parts of a vertex's out-edges that are numbered apart, so that no hub is sorted in one task.
 NUMBERED = 64
 
@@ -140,15 +142,18 @@ def random_walks(graph: Graph, starts: DataFrame, length: int, seed: int = 0) ->
 class Dealt:
     """Edges dealt by ``src`` once, to be joined with a value of every source in each round of a loop.
 
-    The edges of a source with more than ``most`` are dealt over several tasks, to each of
-    which the source's value is copied; at most edges / ``most`` sources have copies.
+    The edges of a source with more than ``most``, and more than 1 / LARGE of all, are
+    dealt over several tasks, to each of which the source's value is copied; so at
+    most LARGE sources have copies, and their number of parts is broadcast.
     """
 
-    def __init__(self, edges: DataFrame, most: int = 1_000_000):
-        large = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    def __init__(self, edges: DataFrame, most: int = 100_000):
+        self._base = materialize(edges, "dealt")
+        most = max(most, self._base.count() // LARGE)
+        large = self._base.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most)
         self._held = materialize(large.select("src", F.ceil(F.col("n") / most).alias("_parts")), "large-sources")
         self._large = None if self._held.isEmpty() else F.broadcast(self._held)
-        self.keys = ["src"]
+        self.keys, edges = ["src"], self._base
         if self._large is not None:
             self.keys = ["src", "_part"]
             edges = edges.join(self._large, "src", "left")
@@ -163,4 +168,4 @@ class Dealt:
 
     def free(self) -> None:
         self.edges.unpersist()
-        discard(self._held)
+        discard(self._base, self._held)
