@@ -115,3 +115,9 @@ def permuted(items: Column, seed: int, *keys: Column) -> Column:
     """The array in an order that seed and keys determine."""
     tagged = F.transform(items, lambda x, i: F.struct(F.xxhash64(F.lit(seed), i, *keys).alias("h"), i.alias("i"), x.alias("x")))
     return F.transform(F.array_sort(tagged), lambda t: t["x"])
+
+
+def drawn(*parts: Column | str | int) -> Column:
+    """A whole number in [0, 2**52) that looks random, from the md5 of ``parts`` (strings name columns): the same in any SQL engine."""
+    own = [F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *own)), 1, 13), 16, 10).cast("long")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vertexflow.functions.scalars import drawn
 from vertexflow.plans.loop import Rounds
 from vertexflow.storage import discard, materialize
 
@@ -100,7 +101,7 @@ NUMBERED = 64
 
 def edge_slots(graph: Graph) -> DataFrame:
     """``id, slot, neighbour, out_degree``: every out-edge, parallel ones too, numbered from 0 for each source."""
-    part = F.pmod(F.xxhash64("dst"), F.lit(NUMBERED)).cast("int")
+    part = F.pmod("dst", F.lit(NUMBERED)).cast("int")
     edges = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), part.alias("_part"))
     sizes = edges.groupBy("id", "_part").agg(F.count("*").alias("_n"))
     own = W.partitionBy("id")
@@ -113,8 +114,8 @@ def edge_slots(graph: Graph) -> DataFrame:
 def _draw(walkers: DataFrame, slots: DataFrame, seed: int, step: int, who: str) -> DataFrame:
     """``walkers`` with the ``neighbour`` that each draws for itself; those on vertices without out-edges go."""
     sizes = slots.where("slot = 0").select("id", "out_degree")
-    drawn = walkers.join(sizes, "id").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), who), F.col("out_degree"))).drop("out_degree")
-    return drawn.join(slots.drop("out_degree"), ["id", "slot"]).drop("slot")
+    going = walkers.join(sizes, "id").withColumn("slot", drawn(seed, step, who) % F.col("out_degree")).drop("out_degree")
+    return going.join(slots.drop("out_degree"), ["id", "slot"]).drop("slot")
 
 
 def random_out_edge(graph: Graph, seed: int = 0, step: int = 0) -> DataFrame:

@@ -127,6 +127,16 @@ p AS (SELECT *, more >= 0.8 * base AS x FROM c), q AS (SELECT *, CASE WHEN x THE
 SELECT 0 AS step, one AS edges, CASE WHEN x THEN 0 ELSE more END AS buffered, 0::BIGINT AS removals, x::INT AS version FROM w UNION ALL
 SELECT 1, two, CASE WHEN x OR y THEN 0 ELSE more END, CASE WHEN y THEN 0 ELSE few END, x::INT + y::INT FROM w UNION ALL
 SELECT 2, three, CASE WHEN x OR y OR z THEN 0 ELSE more END, CASE WHEN z THEN 0 ELSE left3 + many END, x::INT + y::INT + z::INT FROM w"""
+
+
+def _drawn(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT"
+
+
+_WALKS = f"""{GRAPH}, sl AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst % 64, dst) - 1 AS slot, count(*) OVER (PARTITION BY src) AS d FROM e),
+r(start, step, id) AS (SELECT i, 0, i FROM range(20) x(i) UNION ALL
+  SELECT r.start, r.step + 1, sl.dst FROM r JOIN sl ON sl.src = r.id AND sl.slot = {_drawn("0", "r.step + 1", "r.start")} % sl.d WHERE r.step < 4)
+SELECT start, step, id FROM r"""
 _CROSS = 15
 
 ORACLES: dict[str, str] = {
@@ -212,6 +222,8 @@ ORACLES: dict[str, str] = {
     "parse_binary": f"{GRAPH} SELECT src, dst FROM e",
     "parse_binary_values": f"{GRAPH} SELECT src, dst, w FROM e",
     "erdos_renyi_check": "SELECT true AS fair, 0::BIGINT AS loops, 0::BIGINT AS twice",
+    "random_weights": f"SELECT src, dst, {_drawn('1', 'src', 'dst', '1')} % 100000000 AS w FROM ({_lattice(20, 2)})",
+    "random_out_edge": _WALKS,
     "random_weights_check": f"{GRAPH} SELECT count(*) AS edges, 0::BIGINT AS outside, true AS apart FROM e",
     "random_walk_check": "SELECT 200::BIGINT AS walks, 0::BIGINT AS jumps, 0::BIGINT AS ended_early",
     "voronoi_check": "SELECT 0::BIGINT AS twice, 0::BIGINT AS without_source, 0::BIGINT AS too_large, 0::BIGINT AS alone",

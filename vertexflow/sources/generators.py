@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vertexflow.functions.scalars import drawn
 from vertexflow.operators.graph import Graph
 
 
@@ -81,7 +82,7 @@ def random_weights(graph: Graph, seed: int = 0, below: int = 100_000_000, name:
     """A whole-number weight in [0, below) for every edge, by a hash of its ends and of its place among parallel ones."""
     place = F.row_number().over(W.partitionBy("src", "dst").orderBy(*[F.col(v) for v in graph.values] or [F.lit(0)]))
     edges = graph.edges.withColumn("_place", place)
-    return Graph(edges.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), "src", "dst", "_place"), F.lit(below))).drop("_place"))
+    return Graph(edges.withColumn(name, drawn(seed, "src", "dst", "_place") % F.lit(below)).drop("_place"))
 
 
 def vertex_sample(vertices: DataFrame, rate: float, seed: int = 0) -> DataFrame:
