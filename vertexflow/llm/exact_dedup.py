@@ -28,8 +28,8 @@ from .worker import state
 
 #: Fingerprints that one owner should get.
 OWNED = 1_000_000
-#: Documents of one sender.
-SENT = 500_000
+#: Documents of one sender at most, and of a bucket of senders' tables.
+SENT, BUCKET = 500_000, 20_000
 #: Rows of 40 bytes that are broadcast; beyond, joins are shuffled with SALTS copies of the smaller side.
 SMALL, SALTS = 250_000, 16
 
@@ -138,7 +138,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (normalise(body) if normalise else body).alias("body"))
-    table = bucketed(_fingerprints(rows, max(1, -(-rows.count() // OWNED))), "sender", rows.rdd.getNumPartitions(), "fingerprints")
+    total = rows.count()
+    table = bucketed(_fingerprints(rows, max(1, -(-total // OWNED))), "sender", -(-total // BUCKET), "fingerprints")
     known = table.where("blob is null").drop("blob")
     bits = duplicate_bitmaps(table.where("blob is not null").select("sender", "owner", "blob"))
 
