@@ -42,6 +42,10 @@ JOINT_STEPS = 12
 TABLE_ROWS = 16_384
 #: Shingles that are walked together.
 WALKED = 1 << 17
+#: Ids that are broadcast.
+FEW = 1_000_000
+#: Bytes of a shingle's hash in whole sets.
+SET_BYTES = 6
 #: Pairs of one document for each copy of its set.
 SPLIT = 1_000
 #: Members of a bucket that meet those of another block in one task.
@@ -167,7 +171,7 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Whole shingle sets as packed sorted 64-bit hashes."""
+    """Whole shingle sets: the first SET_BYTES bytes of their sorted hashes, packed."""
 
     def pack(batches):
         state("near_dedup")
@@ -175,13 +179,20 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             bodies = column(batch, "body")
             for lo, hi in chunks(bodies):
                 sets, first = shingles(words(bodies.slice(lo, hi - lo)), size)
-                flat = pa.py_buffer(sets.tobytes())
-                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * 8).astype(np.int32).tobytes()), flat])
+                flat = np.ascontiguousarray(sets.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES])
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * SET_BYTES).astype(np.int32).tobytes()), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed], ["id", "packed"])
 
     return docs.mapInArrow(pack, "id long, packed binary")
 
 
+def _unpacked(packed: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, SET_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :SET_BYTES] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets have 100 * |intersection| >= percent * |union|."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -203,7 +214,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         state("near_dedup")
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(a, b, strict=True)]
+            keep = [similar(_unpacked(x), _unpacked(y), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     salts = F.ceil(F.col("size") / SPLIT).cast("int")
@@ -228,7 +239,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     def link(key, table):
         ids, roots, own = (table.column(c).to_pylist() for c in ("id", "root", "own"))
-        packed = [np.frombuffer(p.as_buffer(), np.uint64) for p in table.column("packed")]
+        packed = [_unpacked(p) for p in table.column("packed")]
         order = sorted(range(len(ids)), key=lambda i: (len(packed[i]), ids[i]))
         x, y = key[1].as_py(), key[2].as_py()
         group = {r: r for r in roots}
@@ -277,22 +288,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     some, alike = signed.where("n > 0 and id is not null"), ["s1", "s2", "n"]
     reps = materialize(some.groupBy(*alike).agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
     distinct = signed.where("n > 0").join(reps.select(*alike, F.col("rep").alias("id")), [*alike, "id"], "left_semi")
+    distinct = materialize(distinct.select("id", "n", "keys"), "distinct")
     bucketed = distinct.select("id", "n", F.explode("keys").alias("key"))
     least = bucketed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
     heads = least.select("key", F.col("least.id").alias("head"), F.col("least.n").alias("m"), "size", F.col("size").alias("rows"))
-    members = materialize(join_hot(bucketed, materialize(heads, "heads"), "key", "rows", total * bands), "members")
+    heads = materialize(heads, "heads")
+    members = materialize(join_hot(bucketed, heads, "key", "rows", total * bands), "members")
+    discard(distinct, heads)
 
     stars = members.where(f"id != head and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.max("size").alias("size"))
     stars = materialize(stars, "stars")
     within = members.where("size > 2").select("id").union(stars.select(F.col("a").alias("id"))).union(stars.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(bodies.join(within, "id", "left_semi"), size), "sets")
+    within = materialize(within, "within")
+    few = within.count() <= FEW  # then texts are not shuffled to meet the ids
+    sets = materialize(_sets(bodies.join(F.broadcast(within) if few else within, "id", "left_semi"), size), "sets")
     links = materialize(_confirm(stars, sets, percent), "links")
+    discard(stars, within)
     roots = components(links, "a", "b")
 
-    grouped = materialize(members.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "grouped")
+    grouped = members.where("size > 2").select("key", "id", "head", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    grouped = materialize(grouped, "grouped")
+    discard(members, roots)
     mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
     loose = materialize(join_hot(grouped, mixed, "key", "rows", total * bands).where("id != head").select("key", "id", "root", "size"), "loose")
+    discard(grouped)
     more = materialize(_block_links(loose, sets, percent), "more")
+    discard(loose, sets)
     own = join_hot(some, reps, alike, "rows", total).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     final = components(links.union(more).union(own.select("a", "b")), "a", "b")
 
@@ -302,5 +323,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     group = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     out = joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"))
     out = materialize(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "near")
-    discard(signed, reps, members, stars, sets, links, roots, grouped, loose, more, final, classes)
+    discard(signed, reps, links, more, final, classes)
     return out

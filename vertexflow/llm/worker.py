@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
+
 _kept: dict[str, dict] = {}
 
 
@@ -13,4 +19,8 @@ def state(owner: str) -> dict:
     """
     if owner not in _kept:
         _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+            ctypes.CDLL(None).malloc_trim(0)
     return _kept.setdefault(owner, {})
