@@ -42,7 +42,7 @@ JOINT_STEPS = 12
 TABLE_ROWS = 16_384
 #: Shingles that are walked together.
 WALKED = 1 << 17
-#: Ids that are broadcast.
+#: Rows of a few whole numbers that are broadcast at most, so that texts or sets are not shuffled to meet them.
 FEW = 1_000_000
 #: Bytes of a shingle's hash in whole sets.
 SET_BYTES = 6
@@ -223,6 +223,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb")).join(copies, "b")
     two = two.select("b", "pb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
+    if pairs.count() <= FEW:  # then the sets of all ids are not shuffled to meet them
+        salted = F.broadcast(salted)
     return salted.join(one, "a").join(two, ["b", "salt"]).select("a", "b", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
@@ -235,7 +237,8 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = placed.select("key", "id", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    joined = met.join(sets, "id")
+    rows = members.agg(F.sum(blocks)).first()[0] or 0
+    joined = sets.join(F.broadcast(met) if rows <= FEW else met, "id").select("key", "id", "root", "own", "x", "y", "packed")
 
     def link(key, table):
         ids, roots, own = (table.column(c).to_pylist() for c in ("id", "root", "own"))
@@ -300,7 +303,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     stars = materialize(stars, "stars")
     within = members.where("size > 2").select("id").union(stars.select(F.col("a").alias("id"))).union(stars.select(F.col("b").alias("id"))).distinct()
     within = materialize(within, "within")
-    few = within.count() <= FEW  # then texts are not shuffled to meet the ids
+    few = within.count() <= FEW
     sets = materialize(_sets(bodies.join(F.broadcast(within) if few else within, "id", "left_semi"), size), "sets")
     links = materialize(_confirm(stars, sets, percent), "links")
     discard(stars, within)
