@@ -43,6 +43,8 @@ from .worker import state
 
 #: Bytes of text of a chunk; n-grams that one owner should get from all chunks.
 CHUNK, OWNED = 8 << 20, 2_000_000
+#: Most partitions that owners are dealt to; each takes its owners one after the other.
+PARTITIONS = 50_000
 #: Strength of the lower order in bigrams and trigrams.
 STRENGTH = (256.0, 4.0)
 #: Bits of a word's hash, and of an n-gram's: these, or 20 more than a bigram's number in the corpus takes.
@@ -163,6 +165,7 @@ def _counted(texts: DataFrame, bits: int, owners: int) -> DataFrame:
         return pa.table(made, pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())]))
 
     sent = texts.groupBy("chunk").applyInArrow(send, "owner long, chunk long, keys binary, counts binary")
+    sent = sent.repartition(min(owners, PARTITIONS), "owner")
     return sent.groupBy("owner").applyInArrow(answer, "chunk long, owner long, counts binary, tokens long, words long")
 
 
