@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vertexflow.functions import scalars
-from vertexflow.operators import connectivity, partition, programs, rank, relabel, traversal
+from vertexflow.operators import analysis, connectivity, partition, programs, rank, relabel, traversal
 from vertexflow.operators.components import components
 from vertexflow.operators.graph import Dealt, Graph, degrees, edge_slots, random_out_edge, random_walks
 from vertexflow.sources import formats, generators, writers
@@ -113,6 +113,15 @@ def test_blocks_cover_what_they_should(spark):
     assert all(b[0] == a[1] + 1 for a, b in zip(ends, ends[1:], strict=False))
 
 
+def test_fair_draws_from_few_numbers_repeat(spark):
+    """Many draws repeat by chance alone; copies of a draw are still seen."""
+    made = generators.random_weights(generators.grid(spark, 100), below=100_000).edges
+    again = made.where("src % 20 = 0")
+    fair = lambda df: df.agg(analysis.fair_distinct(F.count_distinct("w"), F.count("*"), 100_000)).first()[0]
+    assert made.select("w").distinct().count() < 0.95 * made.count()
+    assert fair(made) and not fair(made.union(again)) and fair(made.limit(0))
+
+
 def test_budget_intervals_match_a_sequential_cut(spark):
     g = random_graph(spark)
     deg = {r.id: r.in_degree + r.out_degree for r in degrees(g, isolated=True).collect()}

@@ -42,6 +42,13 @@ def active_count(vertices: DataFrame, condition: Column) -> DataFrame:
     return vertices.agg(F.coalesce(F.sum(condition.cast("long")), F.lit(0)).alias("active"), F.count("*").alias("total"))
 
 
+def fair_distinct(distinct: Column, draws: Column, below: int) -> Column:
+    """Whether ``draws`` fair draws from ``below`` numbers give about this many different ones: within five deviations and five more."""
+    free = F.exp(-draws / F.lit(float(below)))
+    deviation = F.sqrt(below * free * F.greatest(F.lit(0.0), 1 - (1 + draws / F.lit(float(below))) * free))
+    return F.abs(distinct - below * (1 - free)) <= 5 * deviation + 5
+
+
 def inner_degree_check(graph: Graph, members: DataFrame) -> DataFrame:
     """``id, edges``: members of a strong component with fewer than two edges inside it; none are expected."""
     inside = degrees(graph.within(members)).select("id", (F.col("in_degree") + F.col("out_degree")).alias("edges"))
