@@ -122,6 +122,21 @@ def test_fair_draws_from_few_numbers_repeat(spark):
     assert fair(made) and not fair(made.union(again)) and fair(made.limit(0))
 
 
+def test_edge_balanced_intervals_cut_at_vertices_of_large_graphs(spark):
+    """Ids beyond the number of spans, and a hub that reaches several shares at once."""
+    g = Graph(spark.range(200_000).selectExpr("id as src", "case when id % 3 = 0 then 100001 else (id * 7919) % 1000003 end as dst"))
+    counts = Counter(r.dst for r in g.edges.select("dst").collect())
+    total = counts.total()
+    for parts in (4, 7, 600):
+        cuts, run = [], 0
+        for v in sorted(counts):
+            run += counts[v]
+            if len(cuts) < parts - 1 and run * parts >= total * (len(cuts) + 1):
+                cuts.append(v + 1)
+        ends = [c for c in cuts if c < g.size()] + [g.size()]
+        assert partition.edge_balanced_intervals(g, parts) == [(p, a, b - 1) for p, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+
+
 def test_budget_intervals_match_a_sequential_cut(spark):
     g = random_graph(spark)
     deg = {r.id: r.in_degree + r.out_degree for r in degrees(g, isolated=True).collect()}

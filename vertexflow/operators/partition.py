@@ -99,15 +99,34 @@ def range_partition(graph: Graph, parts: int) -> DataFrame:
 
 
 def edge_balanced_intervals(graph: Graph, parts: int) -> list[tuple[int, int, int]]:
-    """At most ``parts`` intervals of about equal numbers of in-edges."""
-    total = graph.edges.count()
-    sizes = graph.edges.groupBy(F.floor(F.col("dst") / max(1, graph.size() // 65_536)).alias("span")).count()
-    span, cuts, run = max(1, graph.size() // 65_536), [], 0
-    for r in sorted(sizes.collect()):
-        run += r["count"]
-        if len(cuts) < parts - 1 and run >= total * (len(cuts) + 1) / parts:
-            cuts.append((r.span + 1) * span)
-    ends = [c for c in cuts if c < graph.size()] + [graph.size()]
+    """At most ``parts`` intervals of about equal numbers of in-edges.
+
+    One ends at each vertex where the running count reaches the next of ``parts``
+    equal shares.  The count runs over totals of spans of ids, and only spans that
+    may hold a cut, one for each share at most, are looked at vertex by vertex.
+    """
+    size = graph.size()
+    span = max(1, size // SPANS)
+    counts = materialize(graph.edges.groupBy("dst").agg(F.count("*").alias("c")).withColumn("span", F.floor(F.col("dst") / span)), "in-edges")
+    sums = sorted((r.span, r.c) for r in counts.groupBy("span").agg(F.sum("c").alias("c")).collect())
+    total = sum(c for _, c in sums)
+    held, run, met, due = [], 0, 0, 0
+    for s, c in sums:
+        run += c
+        reached = min(parts - 1, run * parts // total)
+        met, due = reached, due + reached - met
+        if due:  # its last vertex ends an interval at least; a vertex that reaches several shares leaves the others to the next ones
+            held.append((s, run - c))
+            due -= 1
+    cuts: list[int] = []
+    for at in range(0, len(held), FETCHED):
+        before = dict(held[at : at + FETCHED])
+        for s, v, c in sorted(counts.where(F.col("span").isin(*before)).select("span", "dst", "c").collect()):
+            before[s] += c
+            if len(cuts) < parts - 1 and before[s] * parts >= total * (len(cuts) + 1):
+                cuts.append(v + 1)
+    discard(counts)
+    ends = [c for c in cuts if c < size] + [size]
     return [(p, a, b - 1) for p, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
 
