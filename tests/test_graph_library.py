@@ -137,6 +137,70 @@ def test_edge_balanced_intervals_cut_at_vertices_of_large_graphs(spark):
         assert partition.edge_balanced_intervals(g, parts) == [(p, a, b - 1) for p, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
 
 
+def _plain_blocks(pairs, roots, levels, stop_ratio):
+    deg = Counter({v: 0 for p in pairs for v in p}) | Counter(b for _, b in pairs)
+    out_of = {v: [b for a, b in pairs if a == v] for p in pairs for v in p}
+    deg = {v: deg[v] for v in out_of}
+    active, out = set(deg), {}
+    while active and len(active) >= len(deg) * stop_ratio:
+        front = {v: v for v in sorted(active, key=lambda v: (-deg[v], v))[:roots]}
+        for level in range(levels):
+            out |= {v: (b, level) for v, b in front.items()}
+            active -= set(front)
+            new = {}
+            for v, b in front.items():
+                for w in out_of[v]:
+                    if w in active:
+                        new[w] = min(b, new.get(w, b))
+            front = new
+    return out
+
+
+@pytest.mark.parametrize("local", [0, 100, 1_000_000])
+def test_multi_source_blocks_match_a_plain_loop(spark, local):
+    """All rounds in one task, none, and the last ones; parallel edges count in the degrees."""
+    g = random_graph(spark, n=120, m=260)
+    pairs = [(r.src, r.dst) for r in g.edges.collect()]
+    made = partition.multi_source_blocks(g, roots=3, levels=3, local_edges=local)
+    assert {r.id: (r.block, r.level) for r in made.collect()} == _plain_blocks(pairs, 3, 3, 0.1)
+
+
+def test_dag_partition_reads_its_edges_once(spark):
+    """The graph may be a long query, and was derived again by every step and round."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    g = random_graph(spark, n=120, m=260)
+    n = g.edges.count()
+    vmap, intervals, moved = partition.dag_partition(Graph(g.edges.mapInPandas(counted, "src long, dst long, w double")), 3, roots=4, levels=3)
+    assert vmap.count() == degrees(g).count() and moved.edges.count() == n and intervals.count() > 0
+    assert seen.value == n
+
+
+def test_greedy_assignment_takes_the_largest_share(spark):
+    rng = random.Random(5)
+    sizes = [(b, rng.randrange(1, 5)) for b in range(200)]
+    links = [(rng.randrange(200), rng.randrange(200), rng.randrange(1, 4)) for _ in range(500)]
+    near = {b: Counter() for b, _ in sizes}
+    for a, b, n in links:
+        if a != b:
+            near[a][b] += n
+            near[b][a] += n
+    size, order = dict(sizes), sorted(dict(sizes), key=lambda b: (-dict(sizes)[b], b))
+    part_of = {b: p for p, b in enumerate(order[:3])}
+    while len(part_of) < len(size):
+        loads = [sum(size[b] for b, q in part_of.items() if q == p) for p in range(3)]
+        part = loads.index(min(loads))
+        ties = {b: sum(n for o, n in near[b].items() if part_of.get(o) == part) for b in size if b not in part_of}
+        met = [b for b in ties if ties[b]]
+        part_of[min(met, key=lambda b: (-ties[b] / near[b].total(), -size[b], b)) if met else next(b for b in order if b not in part_of)] = part
+    assert partition.greedy_assignment(sizes, links, 3) == sorted(part_of.items())
+
+
 def test_budget_intervals_match_a_sequential_cut(spark):
     g = random_graph(spark)
     deg = {r.id: r.in_degree + r.out_degree for r in degrees(g, isolated=True).collect()}

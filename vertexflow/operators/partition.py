@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from vertexflow.plans.loop import Rounds
 from vertexflow.storage import discard, materialize
 
-from .connectivity import bow_tie, split_giant, weak_components
+from .connectivity import bow_tie, weak_components
 from .graph import Dealt, Graph, degrees
 from .relabel import apply_map, group_relabel
-from .traversal import label_levels
+from .traversal import LOCAL_EDGES, blocks_in_one_task, spread
 
 #: Most blocks, and most pairs of them with edges between, that the greedy assignment takes to the driver.
 MAX_BLOCKS, MAX_LINKS = 1_000_000, 5_000_000
@@ -150,28 +151,42 @@ def block_matrix(graph: Graph, blocks: DataFrame) -> DataFrame:
     return graph.edges.join(a, "src").join(b, "dst").groupBy("block", "other").agg(F.count("*").alias("edges"))
 
 
-def multi_source_blocks(graph: Graph, roots: int = 64, levels: int = 6, stop_ratio: float = 0.1, rounds: int = 100) -> DataFrame:
+def multi_source_blocks(graph: Graph, roots: int = 64, levels: int = 6, stop_ratio: float = 0.1, rounds: int = 100, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``id, block, level`` by repeated breadth-first search from the active vertices of largest in-degree.
 
     Each round labels active vertices at levels below ``levels`` with the root that
     reaches them first, the least one on ties.  It ends when fewer than
-    ``stop_ratio`` of the vertices are active or nothing is gained.
+    ``stop_ratio`` of the vertices are active or nothing is gained.  The edges are
+    written once, and again whenever half of the vertices have gone; from
+    ``local_edges`` edges on, one task does the rounds that are left.
     """
-    deg = materialize(degrees(graph).select("id", "in_degree"), "degrees")
-    total, active, out = deg.count(), deg, None
-    left = total
-    for _ in range(rounds):
+    edges = materialize(graph.dedupe(_n=F.count("*")).edges, "edges")
+    ends = edges.select("src", F.lit(0).cast("long").alias("_n")).union(edges.select("dst", "_n")).groupBy(F.col("src").alias("id"))
+    active = materialize(ends.agg(F.sum("_n").alias("in_degree")), "active")
+    total = left = written = active.count()
+    few, found = edges.count() <= local_edges, []
+    for number in range(rounds):
         if not left or left < total * stop_ratio:
             break
+        if left * 2 < written:
+            before, edges, written = edges, materialize(Graph(edges).within(active).edges, "edges"), left
+            discard(before)
+            few = edges.count() <= local_edges
+        if few:
+            found.append(blocks_in_one_task(edges, active, total, roots, levels, stop_ratio, rounds - number))
+            break
         tops = active.orderBy(F.desc("in_degree"), "id").limit(roots).select("id", F.col("id").alias("label"))
-        inside = graph.within(active)
-        found = label_levels(inside, tops, levels - 1).select("id", F.col("label").alias("block"), "level")
-        out = found if out is None else out.unionByName(found)
-        active = materialize(active.join(found, "id", "left_anti"), "active")
-        before, left = left, active.count()
-        if left == before:
+        found.append(spread(edges, tops, levels - 1, active).select("id", F.col("label").alias("block"), "level"))
+        before, active = active, materialize(active.join(found[-1], "id", "left_anti"), "active")
+        discard(before)
+        last, left = left, active.count()
+        if left == last:
             break
-    return out if out is not None else deg.select("id", F.col("id").alias("block"), F.lit(0).cast("long").alias("level")).limit(0)
+    discard(edges)
+    if not found:
+        return active.select("id", F.col("id").alias("block"), F.lit(0).cast("long").alias("level")).limit(0)
+    discard(active)
+    return reduce(DataFrame.unionByName, found)
 
 
 def voronoi_blocks(graph: Graph, rate: float = 0.001, most: int = 1 << 20, growth: int = 10, seed: int = 0, rounds: int = 50, top_rate: float = 0.1, stall: float = 0.9) -> DataFrame:
@@ -247,6 +262,7 @@ def greedy_assignment(sizes: list[tuple[int, int]], links: list[tuple[int, int,
             near[b][a] = near[b].get(a, 0) + n
     crossing = {b: sum(n.values()) for b, n in near.items()}
     ties: list[dict[int, int]] = [{} for _ in range(parts)]
+    best: list[list[tuple[float, int, int, int]]] = [[] for _ in range(parts)]  # heaps by share; entries that ties have outgrown are skipped
     loads, part_of = [0] * parts, {}
 
     def give(block: int, part: int) -> None:
@@ -254,7 +270,8 @@ def greedy_assignment(sizes: list[tuple[int, int]], links: list[tuple[int, int,
         loads[part] += size[block]
         for other, n in near[block].items():
             if other not in part_of:
-                ties[part][other] = ties[part].get(other, 0) + n
+                ties[part][other] = now = ties[part].get(other, 0) + n
+                heapq.heappush(best[part], (-now / crossing[other], -size[other], other, now))
         for t in ties:
             t.pop(block, None)
 
@@ -264,7 +281,10 @@ def greedy_assignment(sizes: list[tuple[int, int]], links: list[tuple[int, int,
     while len(part_of) < len(size):
         part = min(range(parts), key=lambda p: (loads[p], p))
         if ties[part]:
-            block = min(ties[part], key=lambda b: (-ties[part][b] / crossing[b], -size[b], b))
+            while True:
+                *_, block, now = heapq.heappop(best[part])
+                if ties[part].get(block) == now:
+                    break
         else:
             block = next(b for b in rest if b not in part_of)
         give(block, part)
@@ -293,19 +313,22 @@ def dag_partition(graph: Graph, parts: int, roots: int = 64, levels: int = 6, ro
     Left and right, where they are not empty, are partitions of their own; the
     middle is cut into blocks, which are assigned to the others.
     """
+    graph = Graph(materialize(graph.edges, "edges"))
     regions = materialize(bow_tie(graph, root), "regions")
     present = {r.region for r in regions.select("region").distinct().collect()}
     left, right = "left" in present, "right" in present
     middle_parts = max(1, parts - left - right)
-    inner, _ = split_giant(graph, root)
-    blocks = multi_source_blocks(inner, roots, levels).select("id", "block")
     middle = regions.where("region = 'middle'").select("id")
-    blocks = blocks.unionByName(residual_components(inner, blocks))
-    blocks = materialize(middle.join(blocks, "id", "left").select("id", F.coalesce("block", "id").alias("block")), "blocks")
+    inside = materialize(graph.within(middle).edges, "inside")
+    inner = Graph(inside)
+    found = multi_source_blocks(inner, roots, levels).select("id", "block")
+    found = found.unionByName(residual_components(inner, found))
+    blocks = materialize(middle.join(found, "id", "left").select("id", F.coalesce("block", "id").alias("block")), "blocks")
     part = assign_blocks(inner, blocks, middle_parts).withColumn("part", F.col("part") + int(left))
     placed = blocks.join(part, "block").select("id", "part", "block")
     sides = regions.where("region != 'middle'").select("id", F.when(F.col("region") == "left", 0).otherwise(int(left) + middle_parts).alias("part"), F.lit(0).cast("long").alias("block"))
     every = materialize(placed.unionByName(sides), "parts")
+    discard(regions, inside, blocks)
     vmap = group_relabel(every, F.col("part"), F.col("block"))
     sizes = every.groupBy("part").agg(F.count("*").alias("n"))
     end = F.sum("n").over(W.orderBy("part"))

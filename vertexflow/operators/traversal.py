@@ -89,34 +89,75 @@ def _paths_run(frames):
     yield pd.DataFrame({"id": g.ids[met], "distance": distance[met]})
 
 
+def blocks_in_one_task(edges: DataFrame, active: DataFrame, total: int, roots: int, levels: int, stop_ratio: float, rounds: int) -> DataFrame:
+    """``id, block, level``: the rounds of ``partition.multi_source_blocks`` that are left, for ``active`` (id, in_degree) of ``total`` vertices."""
+
+    def run(frames):
+        g = _Local(frames)
+        free = np.zeros(len(g.ids), bool)
+        free[g.starts] = True
+        order = g.starts[np.lexsort((g.starts, -g.values))]
+        left, out = len(order), [pd.DataFrame({"id": [], "block": [], "level": []}, dtype="int64")]
+        for _ in range(rounds):
+            if not left or left < total * stop_ratio:
+                break
+            order = order[free[order]]
+            frontier = np.sort(order[:roots])
+            label, now = np.full(len(g.ids), np.iinfo("int64").max), 0
+            label[frontier] = g.ids[frontier]
+            while len(frontier):
+                free[frontier] = False
+                out.append(pd.DataFrame({"id": g.ids[frontier], "block": label[frontier], "level": np.full(len(frontier), now)}))
+                left -= len(frontier)
+                if now >= levels - 1:
+                    break
+                now += 1
+                edge, at = g.out(frontier)
+                fresh = free[g.dst[edge]]
+                to = g.dst[edge][fresh]
+                np.minimum.at(label, to, label[frontier[at[fresh]]])
+                frontier = np.unique(to)
+        yield pd.concat(out)
+
+    return _in_one_task(edges.select("src", "dst", F.lit(0.0).alias("x")), active.select("id", F.col("in_degree").cast("double").alias("x")), run, "id long, block long, level long")
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def label_levels(graph: Graph, roots: DataFrame, most: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """``id, level, label`` of all vertices that edges lead to from ``roots`` (id, label).
-
-    A vertex takes the least label among those that reach it first.  ``most``: the
-    deepest level.  Roots that repeat keep their least label.
-    """
-    loop, edges = Rounds("levels"), materialize(graph.edges.select("src", "dst").distinct(), "edges")
-    if edges.count() <= local_edges:
-        starts = roots.select("id", F.col("label").cast("double").alias("x"))
-        out = _in_one_task(edges.withColumn("x", F.lit(0.0)), starts, _levels_run(most), "id long, level long, label long")
-        discard(edges)
-        return out
+def spread(edges: DataFrame, roots: DataFrame, most: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """:func:`label_levels` by the distributed loop, over a table of edges; with ``among`` (id) through these vertices only."""
+    loop = Rounds("levels")
     frontier = loop.keep(roots.groupBy("id").agg(F.min("label").alias("label")).select("id", F.lit(0).cast("long").alias("level"), "label"))
     layers, level = [frontier], 0
     while (most is None or level < most) and not frontier.isEmpty():
         level += 1
         reached = edges.join(frontier, edges.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
         reached = reached.join(_union(layers).select("id"), "id", "left_anti")
+        if among is not None:
+            reached = reached.join(among.select("id"), "id", "left_semi")
         frontier = loop.keep(reached.select("id", F.lit(level).cast("long").alias("level"), "label"))
         layers.append(frontier)
         if len(layers) >= MERGE_EVERY:
             layers = [loop.result(_union(layers))]
             frontier = layers[0].where(F.col("level") == level)
-    out = loop.result(_union(layers))
+    return loop.result(_union(layers))
+
+
+def label_levels(graph: Graph, roots: DataFrame, most: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``id, level, label`` of all vertices that edges lead to from ``roots`` (id, label).
+
+    A vertex takes the least label among those that reach it first.  ``most``: the
+    deepest level.  Roots that repeat keep their least label.
+    """
+    edges = materialize(graph.edges.select("src", "dst").distinct(), "edges")
+    if edges.count() <= local_edges:
+        starts = roots.select("id", F.col("label").cast("double").alias("x"))
+        out = _in_one_task(edges.withColumn("x", F.lit(0.0)), starts, _levels_run(most), "id long, level long, label long")
+        discard(edges)
+        return out
+    out = spread(edges, roots, most)
     discard(edges)
     return out
 
