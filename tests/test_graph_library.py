@@ -179,6 +179,7 @@ def test_dag_partition_reads_its_edges_once(spark):
     vmap, intervals, moved = partition.dag_partition(Graph(g.edges.mapInPandas(counted, "src long, dst long, w double")), 3, roots=4, levels=3)
     assert vmap.count() == degrees(g).count() and moved.edges.count() == n and intervals.count() > 0
     assert seen.value == n
+    assert "Window" not in vmap._jdf.queryExecution().toString()  # the map is a table: ranks are not made again for each use
 
 
 def test_greedy_assignment_takes_the_largest_share(spark):

@@ -329,7 +329,7 @@ def dag_partition(graph: Graph, parts: int, roots: int = 64, levels: int = 6, ro
     sides = regions.where("region != 'middle'").select("id", F.when(F.col("region") == "left", 0).otherwise(int(left) + middle_parts).alias("part"), F.lit(0).cast("long").alias("block"))
     every = materialize(placed.unionByName(sides), "parts")
     discard(regions, inside, blocks)
-    vmap = group_relabel(every, F.col("part"), F.col("block"))
+    vmap = materialize(group_relabel(every, F.col("part"), F.col("block")), "vmap")
     sizes = every.groupBy("part").agg(F.count("*").alias("n"))
     end = F.sum("n").over(W.orderBy("part"))
     intervals = sizes.select("part", (end - F.col("n")).alias("start_id"), (end - 1).alias("end_id"))
