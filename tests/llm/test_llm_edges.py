@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -483,3 +484,19 @@ def test_one_word_of_many_mb():
     assert len(both.hashes) == 4 and both.hashes[0] == both.hashes[2]
     parts = list(text.blocks(both, 3))
     assert [len(p.hashes) for p in parts] == [3, 1] and sum(np.diff(p.first) for p in parts).tolist() == [1, 3]
+
+
+def test_hashing_a_chunk_takes_little_beside_the_text():
+    """Six workers of an executor do this at once: prefix sums are held for a part of a chunk only, and hashes stay the same."""
+    rng = np.random.default_rng(4)
+    own = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in rng.integers(1, 12, 120_000)]
+    texts = pa.array([" ".join(own), "ab " + "x" * 400_000 + " cd"])
+    text._power_tables()
+    tracemalloc.start()
+    made = text.words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * texts.nbytes and sum(x.nbytes for x in text._power_tables()) < 4_000_000
+    for i in (0, 77_777, len(own) - 1, len(own), len(own) + 1, len(own) + 2):
+        word = made.data[made.starts[i] : made.ends[i]].tobytes().decode()
+        assert made.hashes[i] == text.words(pa.array([word])).hashes[0]

@@ -30,7 +30,7 @@ from vertexflow.storage import discard, materialize
 
 from .pieces import encode, load, table
 from .text import chunks, column, spaced
-from .worker import state
+from .worker import release, state
 
 #: Pieces that one partition packs.
 PACKED = 200_000
@@ -81,6 +81,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
                         start.append(s)
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
+                release()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "crc"])
 
     return docs.mapInArrow(cut, f"id {id_type}, piece int, start long, length long, crc long")
