@@ -11,7 +11,7 @@ import os
 import numpy as np
 
 from .text import Words, blocks
-from .worker import state
+from .worker import release, state
 
 #: Entries beyond the base tier before the table is cut back to that tier.
 CACHE = 1_000_000
@@ -35,6 +35,7 @@ def load(path: str):
             tok.no_truncation()
             tok.no_padding()
             kept[path] = tok
+            release()  # what reading the file took
     return kept[path]
 
 
@@ -55,8 +56,8 @@ class PieceTable:
 
     def reset(self) -> None:
         keys, counts = self.base if self.base is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.keys, self.slots = keys, np.arange(len(keys))
-        self.counts, self.offsets, self.used = counts.astype(np.int64), np.zeros(len(keys), np.int64), 0
+        self.keys, self.slots = keys, np.arange(len(keys), dtype=np.int32)
+        self.counts, self.offsets, self.used = counts.astype(np.int32), np.zeros(len(keys), np.int64), 0
         self.ids = np.zeros(0, np.uint32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ class PieceTable:
                 if self.keep_ids:
                     flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(counts[-1].sum())))
             counts = np.concatenate(counts)
-            slots[new] = fresh = len(self.counts) + np.arange(len(new))
+            slots[new] = fresh = (len(self.counts) + np.arange(len(new))).astype(np.int32)
             if self.keep_ids:
                 flat = np.concatenate(flat)
                 room = self.used + len(flat)
@@ -96,7 +97,7 @@ class PieceTable:
                 self.ids[self.used : room] = flat
                 self.offsets = np.concatenate([self.offsets, self.used + np.cumsum(counts) - counts])
                 self.used = room
-            self.counts = np.concatenate([self.counts, counts])
+            self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
             keys = np.concatenate([self.keys, known[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.slots = keys[order], np.concatenate([self.slots, fresh])[order]
