@@ -21,6 +21,8 @@ from vertexflow.llm.secrets import scan_secrets
 from vertexflow.llm.token_counts import token_counts
 from vertexflow.llm.url_filter import filter_urls
 from vertexflow.llm.vector_search import nearest
+from vertexflow.operators import components as graph_components
+from vertexflow.storage import materialize
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LONG = "lorem ipsum dolor " * 40_000
@@ -99,6 +101,37 @@ def test_chains_and_dense_groups_match_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_duplicates(df, size=3, percent=85).collect()} == _components(sets, 85)
 
 
+def test_tables_of_whole_numbers_have_files_by_documents_not_by_tasks(spark, monkeypatch):
+    """However many tasks there are, and however often links must be followed; more files give the same groups."""
+    written = {}
+
+    def kept(df, tag):
+        table = materialize(df, tag)
+        written.setdefault(tag, []).append(len(table.inputFiles()))
+        return table
+
+    for module in (near_dedup, graph_components):
+        monkeypatch.setattr(module, "materialize", kept)
+    base = [f"w{i}" for i in range(120)]
+    chain = [" ".join([*(f"n{k}" for k in range(i)), *base[i:]]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate([*chain, *chain, "quite another text"])), "doc_id long, text string").repartition(6)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 7)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for documents in (200_000, 20):
+            monkeypatch.setattr(near_dedup, "FILE_ROWS", documents)
+            written.clear()
+            found.append({r.doc_id: r.component_id for r in near_duplicates(df, size=3, percent=85).collect()})
+            some = {tag: max(n) for tag, n in written.items() if tag not in ("signed", "distinct", "sets", "forest")}
+            assert max(some.values()) <= 1 + 81 // documents and "stars" in some and len(written["stars"]) == 1, some
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == {**{i: 0 for i in range(80)}, 80: 80}
+
+
 def test_signatures_estimate_similarity_and_agree_between_paths():
     rng = np.random.default_rng(0)
     a = rng.integers(1, 1 << 62, 500, dtype=np.uint64)

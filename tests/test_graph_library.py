@@ -64,6 +64,15 @@ def test_components_of_long_chain_and_cycle(spark):
     assert components(chain.limit(0)).count() == 0
 
 
+def test_components_by_one_task_match_rounds(spark):
+    pairs = spark.range(3_000).select((F.col("id") * 7 % 911).alias("src"), (F.col("id") * 13 % 1_500 + 911 * (F.col("id") % 3)).alias("dst")).where("src % 5 = dst % 5").repartition(7)
+    by_rounds = sorted(map(tuple, components(pairs).collect()))
+    one = components(pairs, local_edges=1_000_000)
+    assert sorted(map(tuple, one.collect())) == by_rounds and len({r for _, r in by_rounds}) > 1 and len(one.inputFiles()) == 1
+    assert sorted(map(tuple, components(pairs, local_edges=10).collect())) == by_rounds
+    assert components(pairs.limit(0), local_edges=10).count() == 0
+
+
 def test_pagerank_of_cycle_and_parallel_edges(spark):
     n = 12
     ring = edges(spark, [(i, (i + 1) % n) for i in range(n)])

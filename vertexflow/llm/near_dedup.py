@@ -44,6 +44,10 @@ TABLE_ROWS = 16_384
 WALKED = 1 << 17
 #: Rows of a few whole numbers that are broadcast at most, so that texts or sets are not shuffled to meet them.
 FEW = 1_000_000
+#: Documents for each file of a table of a few whole numbers.
+FILE_ROWS = 200_000
+#: Contracted links that one task finishes.
+LOCAL_LINKS = 1_000_000
 #: Bytes of a shingle's hash in whole sets.
 SET_BYTES = 6
 #: Pairs of one document for each copy of its set.
@@ -288,26 +292,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     signed = materialize(_signed(bodies, size, bands, rows), "signed")
     total = signed.count()
+
+    def thin(df: DataFrame, tag: str) -> DataFrame:
+        """Written in files by the number of documents, not of tasks; for each file on a local disk an executor may start a process."""
+        return materialize(df.repartition(1 + total // FILE_ROWS), tag)
+
     some, alike = signed.where("n > 0 and id is not null"), ["s1", "s2", "n"]
-    reps = materialize(some.groupBy(*alike).agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
+    reps = thin(some.groupBy(*alike).agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
     distinct = signed.where("n > 0").join(reps.select(*alike, F.col("rep").alias("id")), [*alike, "id"], "left_semi")
     distinct = materialize(distinct.select("id", "n", "keys"), "distinct")
     bucketed = distinct.select("id", "n", F.explode("keys").alias("key"))
     least = bucketed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
     heads = least.select("key", F.col("least.id").alias("head"), F.col("least.n").alias("m"), "size", F.col("size").alias("rows"))
-    heads = materialize(heads, "heads")
-    members = materialize(join_hot(bucketed, heads, "key", "rows", total * bands), "members")
+    heads = thin(heads, "heads")
+    members = thin(join_hot(bucketed, heads, "key", "rows", total * bands), "members")
     discard(distinct, heads)
 
     stars = members.where(f"id != head and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.max("size").alias("size"))
-    stars = materialize(stars, "stars")
+    stars = thin(stars, "stars")
     within = members.where("size > 2").select("id").union(stars.select(F.col("a").alias("id"))).union(stars.select(F.col("b").alias("id"))).distinct()
-    within = materialize(within, "within")
+    within = thin(within, "within")
     few = within.count() <= FEW
     sets = materialize(_sets(bodies.join(F.broadcast(within) if few else within, "id", "left_semi"), size), "sets")
-    links = materialize(_confirm(stars, sets, percent), "links")
+    links = thin(_confirm(stars, sets, percent), "links")
     discard(stars, within)
-    roots = components(links, "a", "b")
+    roots = components(links, "a", "b", local_edges=LOCAL_LINKS)
 
     grouped = members.where("size > 2").select("key", "id", "head", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     grouped = materialize(grouped, "grouped")
@@ -315,16 +324,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
     loose = materialize(join_hot(grouped, mixed, "key", "rows", total * bands).where("id != head").select("key", "id", "root", "size"), "loose")
     discard(grouped)
-    more = materialize(_block_links(loose, sets, percent), "more")
+    more = thin(_block_links(loose, sets, percent), "more")
     discard(loose, sets)
     own = join_hot(some, reps, alike, "rows", total).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    final = components(links.union(more).union(own.select("a", "b")), "a", "b")
+    final = components(links.union(more).union(own.select("a", "b")), "a", "b", local_edges=LOCAL_LINKS)
 
     classes = materialize(reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*alike, F.coalesce("root", "rep").alias("root"), "rows"), "roots")
     full = signed.select("id", *alike)
     joined = join_hot(full.where("n > 0"), classes, alike, "rows", total, "left").unionByName(full.where("n = 0").withColumn("root", F.lit(None).cast("long")))
     group = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     out = joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"))
-    out = materialize(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "near")
+    out = thin(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "near")
     discard(signed, reps, links, more, final, classes)
     return out

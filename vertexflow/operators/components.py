@@ -57,21 +57,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", contract: bool = True) -> DataFrame:
+def _roots(forest: DataFrame) -> DataFrame:
+    out = forest.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    out._vertexflow_path = forest._vertexflow_path
+    return out
+
+
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", contract: bool = True, local_edges: int = 0) -> DataFrame:
     """``id, root`` for every vertex that is not itself the smallest of its component.
 
     Edges with a null end and self-loops say nothing; an empty table has no rows.
-    The result is read from the shared folder.
+    Contracted edges that were counted to be ``local_edges`` at most (of FOREST) are
+    finished by union-find in one task.  The result is read from the shared folder.
     """
     pairs = edges.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")).where(f"{src} is not null and {dst} is not null and u > v")
     now = materialize(pairs.mapInPandas(_forest, "u long, v long") if contract else pairs, "forest")
+    if contract and 0 < now.count() <= min(local_edges, FOREST):
+        before, now = now, materialize(now.coalesce(1).mapInPandas(_forest, "u long, v long"), "roots")
+        discard(before)
+        return _roots(now)
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
-            out = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            out._vertexflow_path = now._vertexflow_path
-            return out
+            return _roots(now)
         mark, before = seen, now
         now = materialize(_small_star(_large_star(before)), "stars")
         discard(before)
